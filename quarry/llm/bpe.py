@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -198,6 +199,21 @@ class PrefixTrie:
         return out
 
 
+class _Chunks(dict):
+    """Packed ids by chunk; notes the chunks that it was asked for and did not hold."""
+
+    def __init__(self):
+        super().__init__()
+        self.unknown: set[str] = set()
+
+    def __missing__(self, chunk: str) -> None:
+        self.unknown.add(chunk)
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Codec:
     """Encodes texts as the tokenizers library does with the same file."""
 
@@ -218,20 +234,18 @@ class Codec:
         for text, t in [*merges.ids.items(), *self.special.items()]:
             self.tokens[t] = text
         self.vocab_size = size
-        self.chunks: dict[str, bytes] = {}
+        self.chunks = _Chunks()
 
     def _symbols(self, word: str) -> str:
         return word if word.isascii() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._bytes)
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: set[str]) -> None:
         """Ids of chunks (texts without white space), through the trie."""
-        if len(self.chunks) > MAX_CHUNKS:
-            self.chunks.clear()
         if len(self.trie.last) > MAX_NODES:
             self.trie.clear()
         split = {c: [self._symbols(w) for w in _WORDS.findall(c)] for c in new}
         ids = self.trie.insert_and_encode(list({w for ws in split.values() for w in ws}))
-        ids = {w: np.array(x, "<u4").tobytes() for w, x in ids.items()}
+        ids = {w: _packed(x) for w, x in ids.items()}
         for c, ws in split.items():
             self.chunks[c] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
 
@@ -242,9 +256,9 @@ class Codec:
             if part:
                 words = [w for w, _ in self._split(self._normalize(part))]
                 ids = self.trie.insert_and_encode(list(set(words)))
-                out += [np.array(ids[w], "<u4").tobytes() for w in words]
+                out += [_packed(ids[w]) for w in words]
             if m:
-                out.append(np.array([self.special[m[0]]], "<u4").tobytes())
+                out.append(_packed([self.special[m[0]]]))
                 at = m.end()
         return b"".join(out)
 
@@ -261,23 +275,23 @@ class Codec:
         yield from self._encode_group(group)
 
     def _encode_group(self, texts: list[str]) -> Iterator[bytes]:
-        usual = ["<|" not in t and not _UNUSUAL.search(t) for t in texts]
-        split = [t.lower().split() if ok else None for t, ok in zip(texts, usual)]
+        """Chunks that are not known yet are noted while the others are looked up;
+        they go through the trie together."""
         if len(self.chunks) > MAX_CHUNKS:
             self.chunks.clear()
-        known = self.chunks
-        new = set()
-        for words in split:
-            if words:
-                new.update(words)
-        new = [c for c in new if c not in known]
-        if new:
-            self._learn(new)
-        if any(words and not all(c in known for c in (words[0], words[-1])) for words in split):
-            self._learn([c for c in {c for ws in split if ws for c in ws} if c not in known])
-        get = known.__getitem__
-        for text, words in zip(texts, split):
-            yield self._encode_unusual(text) if words is None else b"".join(map(get, words))
+        known, look = self.chunks, self.chunks.__getitem__
+        split = [None if "<|" in t or _UNUSUAL.search(t) else t.lower().split() for t in texts]
+        found = [None if words is None else list(map(look, words)) for words in split]
+        if known.unknown:
+            self._learn(known.unknown)
+            known.unknown = set()
+        for text, words, got in zip(texts, split, found):
+            if words is None:
+                yield self._encode_unusual(text)
+                continue
+            if None in got:
+                got = [x if x is not None else look(w) for x, w in zip(got, words)]
+            yield b"".join(got)
 
     def decode(self, ids: bytes) -> str:
         """Tokens joined by one space: the file names no decoder."""

@@ -7,11 +7,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, jaccard, packing
+from quarry.llm import bpe, fingerprint, html_text, jaccard, packing, pivot_topk, url_filter
 from quarry.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op1_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op2_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprint.with_edited(fingerprint.fingerprints(table(spark, sf_dir, "documents")))
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint.as_text(F.col("sketch")).alias("fingerprint"),
+        fingerprint.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
 
 def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip(table(spark, sf_dir, "documents"), TOKENIZER)
@@ -21,14 +44,23 @@ def op8_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), shingle=3, similarity=90)
 
 
+def op9_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 QUERIES = {
+    "op1_pivot_topk": op1_pivot_topk,
+    "op2_url_aliases": op2_url_aliases,
+    "op3_scaled_sketch": op3_scaled_sketch,
     "op7_bpe_trie": op7_bpe_trie,
     "op8_jaccard_components": op8_jaccard_components,
+    "op9_text_density": op9_text_density,
     "op10_hilbert_packing": op10_hilbert_packing,
 }
 
