@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, fingerprint, html_text, jaccard, packing, pivot_topk, url_filter
-from quarry.llm.common import table
+from quarry.llm import bpe, fingerprint, html_text, jaccard, packing, pii, pivot_topk, url_filter
+from quarry.llm.common import materialize, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -36,6 +36,19 @@ def op3_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = materialize(pii.candidates(table(spark, sf_dir, "documents")).select("doc_id", "candidates"), "pii-candidates")
+    spans = pii.spans(pii.fit(found))
+    base = F.filter("spans", lambda x: x["base"])
+    rows = found.select("doc_id", spans.alias("spans"))
+    counts = [F.size(F.filter(base, _of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return rows.select("doc_id", *counts, F.sha2(pii.as_text(base).cast("binary"), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
+
+
+def _of_kind(k: int):
+    return lambda x: x["kind"] == k
+
+
 def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -58,6 +71,7 @@ QUERIES = {
     "op1_pivot_topk": op1_pivot_topk,
     "op2_url_aliases": op2_url_aliases,
     "op3_scaled_sketch": op3_scaled_sketch,
+    "op6_weak_supervision_pii": op6_weak_supervision_pii,
     "op7_bpe_trie": op7_bpe_trie,
     "op8_jaccard_components": op8_jaccard_components,
     "op9_text_density": op9_text_density,
