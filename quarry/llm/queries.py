@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, fingerprint, html_text, jaccard, packing, pii, pivot_topk, url_filter
-from quarry.llm.common import materialize, table
+from quarry.llm import bpe, fingerprint, html_text, jaccard, packing, pii, pivot_topk, quality, toxicity, url_filter
+from quarry.llm.common import fold, materialize, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -36,6 +36,20 @@ def op3_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), fold(F.col("doc_id"), 5) == 0
+    model = quality.fit(docs, quality.positives(table(spark, sf_dir, "labels"), ~held_out))
+    rows = quality.score(docs, model)
+    return rows.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), fold(F.col("doc_id"), 4) == 2
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic"))
+    rows = toxicity.score(docs, model)
+    return rows.select("doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = materialize(pii.candidates(table(spark, sf_dir, "documents")).select("doc_id", "candidates"), "pii-candidates")
     spans = pii.spans(pii.fit(found))
@@ -71,6 +85,8 @@ QUERIES = {
     "op1_pivot_topk": op1_pivot_topk,
     "op2_url_aliases": op2_url_aliases,
     "op3_scaled_sketch": op3_scaled_sketch,
+    "op4_pu_quality": op4_pu_quality,
+    "op5_ftrl_toxicity": op5_ftrl_toxicity,
     "op6_weak_supervision_pii": op6_weak_supervision_pii,
     "op7_bpe_trie": op7_bpe_trie,
     "op8_jaccard_components": op8_jaccard_components,
