@@ -1,4 +1,4 @@
-"""Connected components as Spark jobs: least-label exchange with pointer jumping."""
+"""Connected components as Spark jobs: contraction towards least neighbours."""
 
 from __future__ import annotations
 
@@ -8,29 +8,35 @@ from pyspark.sql import functions as F
 from quarry.llm.common import materialize
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, label): label is the least node of the component. Nodes of any orderable
-    type; edges with a null end are ignored, repeated ones and loops do no harm.
+def components(edges: DataFrame, a: str = "a", b: str = "b", hashed: bool = False) -> DataFrame:
+    """(node, label) for every node of an edge between two nodes; label is the least
+    node of its component. Edges with a null end, repeated ones and loops do no harm.
 
-    Each round takes the least label among a node and its neighbours, then replaces
-    labels by their own labels, so paths shorten by half at least. Both joins read
-    written tables, which lets adaptive execution split a node that has very many
-    edges; sums and minima combine before they are shuffled. It ends when no label
-    changes, after a number of rounds that grows as the logarithm of the diameter."""
-    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
+    Each round sends every node to the least of itself and its neighbours, and the
+    edges with them; those that become loops and repeats go, so a star is done in two
+    rounds. Where nodes are in no order that the edges follow, the number of rounds
+    grows as the logarithm of the size; hashed=True makes it so for nodes that are not
+    hashes themselves. At the end the rounds are read back to front. Joins read written
+    tables, which lets adaptive execution split a node with very many edges; minima and
+    distinct edges combine before they are shuffled."""
+    kind = edges.schema[a].dataType
+    key = (lambda c: F.concat(F.lpad(F.hex(F.xxhash64(c)), 16, "0"), c.cast("string"))) if hashed else (lambda c: c)
+    pairs = edges.select(key(F.col(a)).alias("a"), key(F.col(b)).alias("b")).where("a <> b")
     ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialize(pairs.select(F.inline(ways)).distinct(), "cc-edges")
-    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "cc-labels")
-    while True:
-        # Pointer jumping: the label of the label.
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        jumped = materialize(labels.join(up, "label").select("node", F.col("top").alias("label"), F.col("label").alias("was")), "cc-labels")
-        heard = both.join(jumped.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        heard = materialize(heard, "cc-heard")
-        labels = materialize(
-            jumped.join(heard, "node").select("node", F.least("label", "heard").alias("label"), (F.col("heard") < F.col("label")).alias("moved"), (F.col("was") != F.col("label")).alias("jumped")),
-            "cc-labels",
-        )
-        if labels.where("moved or jumped").limit(1).count() == 0:
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
+    now = materialize(pairs.select(F.inline(ways)).distinct(), "cc-edges")
+    rounds: list[DataFrame] = []
+    while not rounds or now.limit(1).count():
+        to = materialize(now.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")), "cc-to")
+        rounds.append(to)
+        half = now.join(to, "a").select(F.col("to").alias("a"), F.col("b"))
+        moved = half.join(to.select(F.col("a").alias("b"), F.col("to").alias("to_b")), "b").where("a <> to_b")
+        now = materialize(moved.select("a", F.col("to_b").alias("b")).distinct(), "cc-edges")
+    labels = rounds.pop()
+    while rounds:
+        later = labels.select(F.col("a").alias("to"), F.col("to").alias("last"))
+        labels = materialize(rounds.pop().join(later, "to", "left").select("a", F.coalesce("last", "to").alias("to")), "cc-labels")
+    if not hashed:
+        return labels.select(F.col("a").alias("node"), F.col("to").alias("label"))
+    named = labels.select(F.substring("a", 17, 1 << 30).cast(kind).alias("node"), "to")
+    least = materialize(named.groupBy("to").agg(F.min("node").alias("label")), "cc-least")
+    return named.join(least, "to").select("node", "label")

@@ -259,8 +259,12 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, similarity: int = 80,
     classes = materialize(sums.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "jaccard-classes")
     keyed = sums.where("id is not null").select(F.explode("keys").alias("key"), "h1")
     shared = keyed.groupBy("key").agg(F.min("h1").alias("head"), F.max("h1").alias("last")).where("head < last").select("key", "head")
-    shared = materialize(shared, "jaccard-keys")
-    edges = keyed.join(shared, "key").where("h1 <> head").select(F.col("h1").alias("a"), F.col("head").alias("b")).distinct()
+    shared = _small(materialize(shared, "jaccard-keys"))
+    heads = keyed.join(shared, "key").where("h1 <> head").groupBy("h1").agg(F.collect_set("head").alias("heads"))
+    # A class and all its keys' heads hang on the least of them: one edge for each class
+    # and few between heads. A class has no more heads than keys.
+    least = F.least(F.col("h1"), F.array_min("heads"))
+    edges = heads.select(F.explode(F.concat(F.array("h1"), F.col("heads"))).alias("a"), least.alias("b"))
     groups = components(edges)
     members = materialize(classes.join(groups, classes.h1 == groups.node).select(F.col("rep").alias("id"), "n", F.col("label").alias("grp")), "jaccard-members")
 
@@ -273,12 +277,12 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, similarity: int = 80,
     placed = placed.select("id", "grp", "blocks", "n", F.when((F.col("blocks") > 1) & pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own)).alias("cells"))
     placed = materialize(placed, "jaccard-placed")
     compare = _compare(shingle, similarity)
-    cells = placed.join(rows, "id").select("id", "grp", F.explode("cells").alias("cell"), "text", F.lit(None).cast("long").alias("label"))
+    cells = rows.join(_small(placed), "id").select("id", "grp", F.explode("cells").alias("cell"), "text", F.lit(None).cast("long").alias("label"))
     links = materialize(cells.groupBy("grp", "cell").applyInPandas(compare, "a long, b long").where("a <> b"), "jaccard-links")
 
     if placed.where("blocks > 1").limit(1).count():
         links = links.union(_across_blocks(placed, rows, links, compare, cell_rows, cell_shingles))
-    final = materialize(components(links), "jaccard-final")
+    final = materialize(components(links, hashed=True), "jaccard-final")
 
     # From classes back to documents.
     named = classes.join(final, classes.rep == final.node, "left").select("h1", "h2", F.coalesce("label", "rep").alias("least"))
@@ -287,10 +291,16 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, similarity: int = 80,
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
+def _small(written: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Marked for broadcast if it has few rows (here of some dozen bytes each); larger
+    ones are shuffled."""
+    return F.broadcast(written) if written.limit(rows + 1).count() <= rows else written
+
+
 def _across_blocks(placed: DataFrame, rows: DataFrame, links: DataFrame, compare, cell_rows: int, cell_shingles: int) -> DataFrame:
     """Links between blocks of large components: all sets outside the largest connected
     part (the rest) against every set."""
-    parts = components(links)
+    parts = components(links, hashed=True)
     large = placed.where("blocks > 1").select("id", "grp", "n")
     large = materialize(large.join(parts, large.id == parts.node, "left").select("id", "grp", "n", F.coalesce("label", "id").alias("label")), "jaccard-large")
     biggest = large.groupBy("grp", "label").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
@@ -305,5 +315,5 @@ def _across_blocks(placed: DataFrame, rows: DataFrame, links: DataFrame, compare
     as_y = F.transform(F.sequence(F.lit(0).cast("long"), F.least(F.col("i"), F.col("rest")) - 1), lambda x: F.struct(x.cast("long").alias("x"), F.col("i").alias("y")))
     pairs = F.when(F.col("main"), as_y).when(F.col("i") == 0, as_x).otherwise(F.concat(as_x, as_y))
     large = materialize(large.select("id", "grp", "label", pairs.alias("cells")), "jaccard-pairs")
-    cells = large.join(rows, "id").select("id", "grp", F.explode("cells").alias("cell"), "text", "label")
+    cells = rows.join(_small(large), "id").select("id", "grp", F.explode("cells").alias("cell"), "text", "label")
     return materialize(cells.groupBy("grp", "cell").applyInPandas(compare, "a long, b long").where("a <> b"), "jaccard-links2")

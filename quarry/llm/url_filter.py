@@ -72,7 +72,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     rows = materialize(rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "settled": settled(F.col("url"))}), "url-rows")
     named = rows.where(F.size("links") > 0).select("url", F.explode("links").alias("b"))
     found = rows.select(F.col("url").alias("a"), F.col("settled").alias("b")).unionByName(named.select(F.col("url").alias("a"), "b")).unionByName(named.select(F.col("b").alias("a"), settled(F.col("b")).alias("b")))
-    groups = materialize(components(found.where("a <> b")), "url-groups")
+    groups = materialize(components(found, hashed=True), "url-groups")
 
     # One decision for each component, from the rules that fit its urls, seen or named.
     node = F.col("node")
