@@ -81,6 +81,12 @@ def op10_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_pivot_topk": op1_pivot_topk,
     "op2_url_aliases": op2_url_aliases,
@@ -92,6 +98,7 @@ QUERIES = {
     "op8_jaccard_components": op8_jaccard_components,
     "op9_text_density": op9_text_density,
     "op10_hilbert_packing": op10_hilbert_packing,
+    "pipeline": pipeline,
 }
 
 SQL: dict[str, str] = {}
