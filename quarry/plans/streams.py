@@ -1,4 +1,33 @@
+"""Registered streaming queries: the events, read as a stream of files."""
+
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from quarry.streaming import windows
+
+
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.tumbling(spark, sf_dir)
+
+
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.sliding(spark, sf_dir)
+
+
+def stream_first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.first_events(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_first_events)}
+
+SQL = {
+    "stream_tumbling": """
+SELECT date_trunc('day', ts) AS started, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""",
+    "stream_sliding": """
+SELECT started, count(*) AS n, count(DISTINCT user_id) AS users FROM (
+  SELECT time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR AS started, user_id FROM events, (SELECT unnest([0, 1, 2, 3]) AS k))
+GROUP BY started""",
+    "stream_first_events": """
+SELECT user_id, event_type, min(ts) AS first_ts FROM events GROUP BY user_id, event_type""",
+}
