@@ -288,7 +288,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, similarity: int = 80,
     named = classes.join(final, classes.rep == final.node, "left").select("h1", "h2", F.coalesce("label", "rep").alias("least"))
     named = materialize(named, "jaccard-named")
     out = sums.select("id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component_id"))
 
 
 def _small(written: DataFrame, rows: int = 1_000_000) -> DataFrame:

@@ -106,6 +106,8 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [(hash_of, y, np.frombuffer(at, "<u4")) for b in batches for hash_of, y, at in zip([xxhash.xxh3_64_intdigest(x) for x in b.column("at").to_pylist()], b.column("y").to_pylist(), b.column("at").to_pylist())]
+        if not seen:
+            return
         seen.sort(key=lambda r: r[:2])  # one order, whichever way the rows came
         found = np.bincount(np.concatenate([at for *_, at in seen]).astype(np.int64), minlength=(1 << SLOT_BITS) + 1)
         use = (found >= least_docs) & (found <= max(12, most_share * len(seen)))
