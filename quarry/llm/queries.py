@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, fingerprint, html_text, jaccard, packing, pii, pivot_topk, quality, toxicity, url_filter
+from quarry.llm import bpe, fingerprint, html_text, jaccard, packing, pii, pivot_topk, quality, sql, toxicity, url_filter
 from quarry.llm.common import fold, materialize, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -101,4 +101,4 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_pivot_topk": sql.TOP_K, "op8_jaccard_components": sql.JACCARD_COMPONENTS}
