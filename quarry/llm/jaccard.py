@@ -7,12 +7,15 @@ is at least similarity (given in hundredths). The result is exact; no link is lo
    a class, found by a 128-bit digest of the set; from here a class counts once.
 2. Candidates. If two sets of sizes up to r link, they differ in at most d of their
    elements, with d = floor(2 r (100 - s) / (100 + s)). The hash space is dealt into
-   d + 1 even parts; then at least one part holds the same elements in both sets. So
-   each set emits one key per part, over its part's elements, for its own size band
-   and, where a partner may lie there, the next. Keys that only one class has go.
-   Classes that share a key are joined to the key's least class: a number of edges
-   in proportion to the keys, not to the pairs. Components of these edges hold every
-   link.
+   m > d even parts; then at least m - d parts hold the same elements in both sets. So
+   each set emits a key for each part, over its part's elements, for its own size band
+   and, where a partner may lie there, the next. A set that shares fewer than m - d of
+   a band's keys with any other class has no link there and goes, exactly; this
+   leaves little but near copies, however many texts share a passage. Empty parts tell
+   nothing: they are not emitted, and count as shared, unless a set has m - d of them.
+   Classes that still share a key are joined to the key's least class: a number of
+   edges in proportion to the keys, not to the pairs. Components of these edges hold
+   every link.
 3. Links. The classes of a candidate component are compared by signature tree: a
    node holds the OR of its sets' bitmaps and the range of their sizes; pairs of nodes
    are walked from the top and dropped when the greatest possible overlap is below the
@@ -35,7 +38,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize
@@ -74,13 +77,18 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 class Bands:
     """Size bands and the greatest difference of two linked sets within one."""
 
-    def __init__(self, similarity: int, step: int = 2):
+    def __init__(self, similarity: int, step: int = 1):
         self.s = similarity
         self.step = step
 
     def differ(self, top: int) -> int:
         return 2 * top * (100 - self.s) // (100 + self.s)
 
+    def parts(self, top: int) -> int:
+        """A quarter more than the differences, and some more for small sets."""
+        d = self.differ(top)
+        return d + 1 + max(4, (d + 1) // 4)
+
     def _top(self, low: int) -> int:
         top = low
         for _ in range(self.step):
@@ -96,50 +104,75 @@ class Bands:
         return [own, self._top(own + 1)] if n * 100 // self.s > own else [own]
 
 
-def keys_of(elements: np.ndarray, tops: list[int], bands: Bands) -> np.ndarray:
-    """One key per part of each band. Parts are even ranges of the hashes, so each is
-    a run of the sorted set; its key mixes the sum of its elements' mixed hashes."""
+def keys_of(elements: np.ndarray, top: int, bands: Bands) -> tuple[np.ndarray, int]:
+    """The keys of one band, and how many of them must be shared. Parts are even ranges
+    of the hashes, so each is a run of the sorted set; its key mixes the sum of its
+    elements' mixed hashes."""
+    d = bands.differ(top)
+    if d == 0:  # only equal sets link, and they are one class already
+        return np.empty(0, np.uint64), 0
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(elements ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
-    out = []
-    for top in tops:
-        d = bands.differ(top)
-        if d == 0:  # only equal sets link, and they are one class already
-            continue
-        parts = d + 1
-        edges = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
-        at = np.concatenate([[0], np.searchsorted(elements, edges), [len(elements)]])
-        part = np.arange(parts, dtype=np.uint64) + np.uint64(top) * np.uint64(1 << 32)
-        out.append(_mix(_mix(part) + (total[at[1:]] - total[at[:-1]])))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
-
-
-def _summaries(size: int, similarity: int):
-    bands = Bands(similarity)
+    parts = bands.parts(top)
+    edges = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
+    at = np.concatenate([[0], np.searchsorted(elements, edges), [len(elements)]])
+    part = np.arange(parts, dtype=np.uint64) + np.uint64(top) * np.uint64(1 << 32)
+    keys = _mix(_mix(part) + (total[at[1:]] - total[at[:-1]]))
+    full = at[1:] > at[:-1]
+    need = parts - d - int((~full).sum())
+    return (keys[full], need) if need > 0 else (keys, 0)
+
 
+def _summaries(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, list[int]] = {}
         for batch in batches:
-            n, one, two, keys, ends = [], [], [], [], [0]
+            n, one, two = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, size)
-                n.append(len(s))
                 digest = xxhash.xxh3_128_intdigest(s.tobytes())
+                n.append(len(s))
                 one.append((digest >> 64) - (1 << 63))
                 two.append((digest & ((1 << 64) - 1)) - (1 << 63))
-                if len(s):
-                    if len(s) not in known:
-                        known[len(s)] = bands.tops(len(s))
-                    keys.append(keys_of(s, known[len(s)], bands))
-                    ends.append(ends[-1] + len(keys[-1]))
-                else:
-                    ends.append(ends[-1])
-            flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists], ["id", "n", "h1", "h2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, pa.int64()) for x in (n, one, two))], ["id", "n", "h1", "h2"])
+
+    return run
+
+
+def _keys(size: int, similarity: int):
+    bands = Bands(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, band, need, keys): a row for each band that a set emits in."""
+        known: dict[int, list[int]] = {}
+        for batch in batches:
+            ids, tops, needs, keys, ends = [], [], [], [], [0]
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+                s = shingle_set(text, size)
+                if not len(s):
+                    continue
+                if len(s) not in known:
+                    known[len(s)] = bands.tops(len(s))
+                for top in known[len(s)]:
+                    got, need = keys_of(s, top, bands)
+                    if len(got):
+                        ids.append(i)
+                        tops.append(top)
+                        needs.append(need)
+                        keys.append(got)
+                        ends.append(ends[-1] + len(got))
+                if ends[-1] > 500_000:
+                    yield _key_batch(ids, tops, needs, keys, ends)
+                    ids, tops, needs, keys, ends = [], [], [], [], [0]
+            yield _key_batch(ids, tops, needs, keys, ends)
 
     return run
 
 
+def _key_batch(ids, tops, needs, keys, ends) -> pa.RecordBatch:
+    flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tops, pa.int32()), pa.array(needs, pa.int32()), lists], ["id", "band", "need", "keys"])
+
+
 class SignatureTree:
     """Sets in the order given, FANOUT to a node, level by level to one root."""
 
@@ -252,21 +285,30 @@ def _compare(size: int, similarity: int):
 def jaccard_components(docs: DataFrame, shingle: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = 4096, cell_shingles: int = 1_000_000, pivots: int = 64) -> DataFrame:
     """(id, n_shingles, component_id) for every document; ids are integers."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sums = materialize(rows.mapInArrow(_summaries(shingle, similarity), "id long, n long, h1 long, h2 long, keys array<long>"), "jaccard-sums")
+    sums = materialize(rows.mapInArrow(_summaries(shingle), "id long, n long, h1 long, h2 long"), "jaccard-sums")
 
-    # Classes of equal sets, and the candidates among them. h1 alone names a class here:
-    # were two classes to share it, they would only be compared in vain.
+    # Classes of equal sets; the least id stands for each.
     classes = materialize(sums.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "jaccard-classes")
-    keyed = sums.where("id is not null").select(F.explode("keys").alias("key"), "h1")
-    shared = keyed.groupBy("key").agg(F.min("h1").alias("head"), F.max("h1").alias("last")).where("head < last").select("key", "head")
-    shared = _small(materialize(shared, "jaccard-keys"))
-    heads = keyed.join(shared, "key").where("h1 <> head").groupBy("h1").agg(F.collect_set("head").alias("heads"))
+    copies = materialize(sums.join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).where("id <> rep").select("id").distinct(), "jaccard-copies")
+    keyed = rows.where("id is not null").join(_small(copies), "id", "left_anti").mapInArrow(_keys(shingle, similarity), "id long, band int, need int, keys array<long>")
+    # Keys of more than one class, once for each class.
+    alike = Window.partitionBy("key")
+    keyed = keyed.select("id", "need", "band", F.explode("keys").alias("key"))
+    keyed = keyed.withColumns({"first": F.min("id").over(alike), "last": F.max("id").over(alike)}).where("first < last")
+    keyed = materialize(keyed.select("id", "band", "need", "key").distinct(), "jaccard-keys")
+    for _ in range(2):  # what goes takes its keys along, so others may go after it
+        enough = materialize(keyed.groupBy("id", "band").agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need").select("id", "band"), "jaccard-enough")
+        left = keyed.join(_small(enough), ["id", "band"])
+        shared = materialize(left.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("key", "head"), "jaccard-shared")
+        linked = materialize(left.join(_small(shared), "key"), "jaccard-keys")
+        keyed = linked.drop("head")
+    heads = linked.where("id <> head").groupBy("id").agg(F.collect_set("head").alias("heads"))
     # A class and all its keys' heads hang on the least of them: one edge for each class
     # and few between heads. A class has no more heads than keys.
-    least = F.least(F.col("h1"), F.array_min("heads"))
-    edges = heads.select(F.explode(F.concat(F.array("h1"), F.col("heads"))).alias("a"), least.alias("b"))
-    groups = components(edges)
-    members = materialize(classes.join(groups, classes.h1 == groups.node).select(F.col("rep").alias("id"), "n", F.col("label").alias("grp")), "jaccard-members")
+    least = F.least(F.col("id"), F.array_min("heads"))
+    edges = heads.select(F.explode(F.concat(F.array("id"), F.col("heads"))).alias("a"), least.alias("b"))
+    groups = components(edges, hashed=True)
+    members = materialize(classes.join(groups, classes.rep == groups.node).select(F.col("rep").alias("id"), "n", F.col("label").alias("grp")), "jaccard-members")
 
     # Cells: one per component, or blocks of a large one with its pivots in each.
     size = members.groupBy("grp").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
