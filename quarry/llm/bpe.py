@@ -19,6 +19,7 @@ text are ignored, whatever their names.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -26,13 +27,15 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A worker forgets its words beyond these counts; bounds its memory.
-MAX_CHUNKS = 900_000
-MAX_NODES = 400_000
+MAX_CHUNKS = 800_000
+MAX_NODES = 500_000
+MAX_PAIRS = 200_000
+TAIL = 4
 #: Texts are worked on in groups of about so many characters.
 GROUP_CHARS = 1_000_000
 
@@ -84,7 +87,7 @@ class _Merges:
                         break
                     gone, x = born[x], parts[x][side]
                 edge[t] = spine
-        self._known: dict[int, bool] = {}
+        self.known: dict[int, bool] = {}
         # A token is reachable when its own text encodes as itself.
         self.sound: dict[int, bool] = {}
         self.order = {t: born.get(t, -1) for t in self.ids.values()}
@@ -115,20 +118,22 @@ class _Merges:
 
     def follows(self, a: int, b: int) -> bool:
         key = a << 20 | b
-        got = self._known.get(key)
+        got = self.known.get(key)
         if got is None:
-            if len(self._known) > 2_000_000:
-                self._known.clear()
-            got = self._known[key] = self.adjacent(a, b)
+            if len(self.known) > MAX_PAIRS:
+                self.known.clear()
+            got = self.known[key] = self.adjacent(a, b)
         return got
 
 
 class PrefixTrie:
-    """Words as paths of symbols. Per node: its children, its depth, its last
-    token, and the node where that token begins."""
+    """Words as paths of symbols. A node is addressed by its prefix and holds the last
+    token of the prefix's encoding and that token's length, as one number."""
 
     def __init__(self, merges: _Merges):
-        self.merges = merges
+        self.follows, self.known = merges.follows, merges.known
+        self.ends: dict[str, tuple] = {}
+        self.ends_word: dict[str, tuple] = {}
         # Tokens by their symbols, the end-of-word mark being part of the last one.
         self.longest = 1
         self.by_text: dict[str, int] = {}
@@ -142,72 +147,82 @@ class PrefixTrie:
         self.clear()
 
     def clear(self) -> None:
-        self.children: list[dict[str, int] | None] = [None]
-        self.last: list[int] = [-1]
-        self.start: list[int] = [-1]
-
-    def insert_and_encode(self, words: list[str]) -> dict[str, list[int]]:
-        """Insert the words (in byte symbols) and encode them, in sorted order: the
-        walk is depth first, and `path` holds the nodes of the current prefix."""
-        out, path, before = {}, [0], ""
-        children, last, start = self.children, self.last, self.start
-        by_text, by_text_end, follows, longest = self.by_text, self.by_text_end, self.merges.follows, self.longest
+        self.nodes: dict[str, int] = {}
+
+    def _ends(self, tail: str, tokens: dict[str, int], ends: dict) -> tuple:
+        """Tokens of up to TAIL symbols that end a prefix with this tail, as (size,
+        token), shortest first. Which they are is kept for each tail."""
+        if len(ends) > MAX_PAIRS:
+            ends.clear()
+        n = len(tail)
+        got = ends[tail] = tuple((size, tokens[tail[n - size :]]) for size in range(1, n + 1) if tail[n - size :] in tokens)
+        return got
+
+    def _last(self, prefix: str, tokens: dict[str, int], ends: dict[str, tuple]) -> int:
+        """The one token that ends the prefix and may follow the last token of what is
+        left, times 256, and its length. Nodes above the prefix are there."""
+        nodes, known, n = self.nodes, self.known, len(prefix)
+        tail = prefix[-TAIL:]
+        for size, t in ends.get(tail) or self._ends(tail, tokens, ends):
+            if size == n:
+                return t << 8 | size
+            pair = nodes[prefix[: n - size]] >> 8 << 20 | t
+            ok = known.get(pair)
+            if ok if ok is not None else self.follows(pair >> 20, t):
+                return t << 8 | size
+        for size in range(TAIL + 1, min(n, self.longest) + 1):
+            t = tokens.get(prefix[n - size :])
+            if t is not None and (size == n or self.follows(nodes[prefix[: n - size]] >> 8, t)):
+                return t << 8 | size
+        raise ValueError(f"no token ends {prefix!r}")
+
+    def insert_and_encode(self, words: list[str]) -> dict[str, bytes]:
+        """Insert the words (in byte symbols) and encode them, packed. In sorted order this
+        is a depth-first walk: each word goes on from the longest prefix that is there."""
+        nodes, last, by_text, by_text_end, out = self.nodes, self._last, self.by_text, self.by_text_end, {}
+        ends, ends_word = self.ends, self.ends_word
         for word in sorted(words):
-            if not word:
-                out[word] = []
+            n = len(word)
+            if not n:
+                out[word] = b""
                 continue
-            n, shared = len(word), 0
-            top = min(n - 1, len(before) - 1)
-            while shared < top and word[shared] == before[shared]:
-                shared += 1
-            del path[shared + 1 :]
-            for depth in range(shared + 1, n):
-                node, symbol = path[-1], word[depth - 1]
-                below = children[node]
-                if below is None:
-                    below = children[node] = {}
-                child = below.get(symbol)
-                if child is None:
-                    child = below[symbol] = len(last)
-                    children.append(None)
-                    for size in range(1, min(depth, longest) + 1):
-                        t = by_text.get(word[depth - size : depth])
-                        if t is not None:
-                            at = path[depth - size]
-                            if at == 0 or follows(last[at], t):
-                                last.append(t)
-                                start.append(at)
-                                break
-                    else:
-                        raise ValueError(f"no token ends the prefix {word[:depth]!r}")
-                path.append(child)
-            for size in range(1, min(n, longest) + 1):
-                t = by_text_end.get(word[n - size :])
-                if t is not None:
-                    at = path[n - size]
-                    if at == 0 or follows(last[at], t):
-                        break
-            else:
-                raise ValueError(f"no token ends the word {word!r}")
-            ids = [t]
+            depth = n - 1
+            while depth and word[:depth] not in nodes:
+                depth -= 1
+            for d in range(depth + 1, n):
+                nodes[word[:d]] = last(word[:d], by_text, ends)
+            node = last(word, by_text_end, ends_word)
+            ids, at = [node >> 8], n - (node & 255)
             while at:
-                ids.append(last[at])
-                at = start[at]
+                node = nodes[word[:at]]
+                ids.append(node >> 8)
+                at -= node & 255
             ids.reverse()
-            out[word] = ids
-            before = word
+            out[word] = _packed(ids)
         return out
 
 
 class _Chunks(dict):
-    """Packed ids by chunk; notes the chunks that it was asked for and did not hold."""
+    """Packed ids by chunk; notes the chunks that it was asked for and did not hold.
+    When it is full its content becomes the old one, out of which chunks that are met
+    again come back; those that are not are forgotten the next time."""
 
     def __init__(self):
         super().__init__()
         self.unknown: set[str] = set()
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, chunk: str) -> None:
-        self.unknown.add(chunk)
+    def __missing__(self, chunk: str) -> bytes | None:
+        ids = self.old.get(chunk)
+        if ids is None:
+            self.unknown.add(chunk)
+        else:
+            self[chunk] = ids
+        return ids
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -241,13 +256,16 @@ class Codec:
 
     def _learn(self, new: set[str]) -> None:
         """Ids of chunks (texts without white space), through the trie."""
-        if len(self.trie.last) > MAX_NODES:
+        if len(self.trie.nodes) > MAX_NODES:
             self.trie.clear()
-        split = {c: [self._symbols(w) for w in _WORDS.findall(c)] for c in new}
-        ids = self.trie.insert_and_encode(list({w for ws in split.values() for w in ws}))
-        ids = {w: _packed(x) for w, x in ids.items()}
+        known = self.chunks
+        split = {c: [c] if c.isalpha() else _WORDS.findall(c) for c in new}
+        words = {w for ws in split.values() for w in ws if w in new or w not in known}
+        symbols = {w: self._symbols(w) for w in words}
+        ids = self.trie.insert_and_encode(list(symbols.values()))
+        packed = {w: ids[s] for w, s in symbols.items()}
         for c, ws in split.items():
-            self.chunks[c] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
+            known[c] = packed[c] if len(ws) == 1 else b"".join([packed[w] if w in packed else known[w] for w in ws])
 
     def _encode_unusual(self, text: str) -> bytes:
         out, at = [], 0
@@ -256,7 +274,7 @@ class Codec:
             if part:
                 words = [w for w, _ in self._split(self._normalize(part))]
                 ids = self.trie.insert_and_encode(list(set(words)))
-                out += [_packed(ids[w]) for w in words]
+                out += [ids[w] for w in words]
             if m:
                 out.append(_packed([self.special[m[0]]]))
                 at = m.end()
@@ -274,24 +292,36 @@ class Codec:
                 group, chars = [], 0
         yield from self._encode_group(group)
 
-    def _encode_group(self, texts: list[str]) -> Iterator[bytes]:
+    def _encode_group(self, texts: list[str]) -> list[bytes]:
         """Chunks that are not known yet are noted while the others are looked up;
-        they go through the trie together."""
-        if len(self.chunks) > MAX_CHUNKS:
-            self.chunks.clear()
+        they go through the trie together. Python's search for cycles, which would walk
+        all of these again and again, rests meanwhile."""
+        resting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_all(texts)
+        finally:
+            if resting:
+                gc.enable()
+
+    def _encode_all(self, texts: list[str]) -> list[bytes]:
+        if len(self.chunks) > MAX_CHUNKS // 2:
+            self.chunks.turn()
         known, look = self.chunks, self.chunks.__getitem__
         split = [None if "<|" in t or _UNUSUAL.search(t) else t.lower().split() for t in texts]
         found = [None if words is None else list(map(look, words)) for words in split]
         if known.unknown:
             self._learn(known.unknown)
             known.unknown = set()
+        out = []
         for text, words, got in zip(texts, split, found):
             if words is None:
-                yield self._encode_unusual(text)
+                out.append(self._encode_unusual(text))
                 continue
             if None in got:
                 got = [x if x is not None else look(w) for x, w in zip(got, words)]
-            yield b"".join(got)
+            out.append(b"".join(got))
+        return out
 
     def decode(self, ids: bytes) -> str:
         """Tokens joined by one space: the file names no decoder."""
@@ -313,32 +343,44 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     tokenizer is the path of the tokenizer file, the same on every executor."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer)
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "ids": list(c.encode(pdf["text"].tolist()))})
+        for batch in batches:
+            ids = list(c.encode(batch.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.binary())], ["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, ids binary").select(F.col("id").alias(id_col), "ids")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids binary").select(F.col("id").alias(id_col), "ids")
 
 
 def roundtrip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): digests of a text's ids and of
     what they decode to, without moving either out of the worker."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer)
-        for pdf in batches:
+        for batch in batches:
             n, a, b = [], [], []
-            for ids in c.encode(pdf["text"].tolist()):
+            for ids in c.encode(batch.column("text").to_pylist()):
                 n.append(len(ids) // 4)
                 a.append(hashlib.sha256(ids).hexdigest())
                 b.append(hashlib.sha256(c.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
-            yield pd.DataFrame({"id": pdf["id"], "n": n, "a": a, "b": b})
+            columns = [batch.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .mapInPandas(run, f"id {kind}, n long, a string, b string")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("a").alias("ids_sha256"), F.col("b").alias("decoded_sha256"))
-    )
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return out.withColumnRenamed("id", id_col)
+
+
+def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(id, text) from what encode() gave; null ids decode as the empty text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(tokenizer)
+        for batch in batches:
+            texts = [c.decode(x or b"") for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], ["id", "text"])
+
+    kind = encoded.schema[id_col].dataType.simpleString()
+    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)

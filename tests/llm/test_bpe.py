@@ -46,7 +46,7 @@ def test_trie_computes_shared_prefixes_once():
     trie = bpe.codec(TOKENIZER).trie
     trie.clear()
     trie.insert_and_encode(["interest", "interested", "interesting"])
-    assert len(trie.last) == 1 + len("interestin") + 1  # one branch: e of interested
+    assert len(trie.nodes) == len("interestin") + 1  # one branch: the e of interested
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +63,8 @@ def test_rows_and_nulls(odd):
         want.append((doc, len(e), hashlib.sha256(struct.pack(f"<{len(e)}I", *e)).hexdigest(), hashlib.sha256(LIB.decode(e, skip_special_tokens=False).encode()).hexdigest()))
     assert got == sorted(want, key=repr)
     assert bpe.encode(odd.limit(0), TOKENIZER).count() == 0
+
+
+def test_decode(odd):
+    texts = {r.doc_id: r.text for r in bpe.decode(bpe.encode(odd, TOKENIZER), TOKENIZER).collect()}
+    assert texts[1] == "hello</w> world</w> 's</w>" and texts[2] == texts[2**60] == ""
