@@ -296,12 +296,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, similarity: int = 80,
     keyed = keyed.select("id", "need", "band", F.explode("keys").alias("key"))
     keyed = keyed.withColumns({"first": F.min("id").over(alike), "last": F.max("id").over(alike)}).where("first < last")
     keyed = materialize(keyed.select("id", "band", "need", "key").distinct(), "jaccard-keys")
-    for _ in range(2):  # what goes takes its keys along, so others may go after it
-        enough = materialize(keyed.groupBy("id", "band").agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need").select("id", "band"), "jaccard-enough")
-        left = keyed.join(_small(enough), ["id", "band"])
-        shared = materialize(left.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("key", "head"), "jaccard-shared")
-        linked = materialize(left.join(_small(shared), "key"), "jaccard-keys")
-        keyed = linked.drop("head")
+    enough = materialize(keyed.groupBy("id", "band").agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need").select("id", "band"), "jaccard-enough")
+    left = keyed.join(_small(enough), ["id", "band"]).select("id", "key")
+    shared = materialize(left.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("key", "head"), "jaccard-shared")
+    linked = left.join(_small(shared), "key")
     heads = linked.where("id <> head").groupBy("id").agg(F.collect_set("head").alias("heads"))
     # A class and all its keys' heads hang on the least of them: one edge for each class
     # and few between heads. A class has no more heads than keys.
