@@ -109,9 +109,12 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
         if not seen:
             return
         seen.sort(key=lambda r: r[:2])  # one order, whichever way the rows came
-        found = np.bincount(np.concatenate([at for *_, at in seen]).astype(np.int64), minlength=(1 << SLOT_BITS) + 1)
+        found = np.zeros((1 << SLOT_BITS) + 1, np.int32)
+        for *_, at in seen:  # a text's slots are distinct
+            found[at] += 1
         use = (found >= least_docs) & (found <= max(12, most_share * len(seen)))
-        seen = [(y, np.append(at[use[at]], 1 << SLOT_BITS).astype(np.int64)) for _, y, at in seen]
+        for i, (_, y, at) in enumerate(seen):  # the unfiltered ones go one by one
+            seen[i] = (y, np.append(at[use[at]], np.uint32(1 << SLOT_BITS)).astype(np.int32))
         ftrl = Ftrl()
         for _ in range(epochs):
             for y, at in seen:
