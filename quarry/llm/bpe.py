@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A worker forgets its words beyond these counts; bounds its memory.
-MAX_CHUNKS = 800_000
-MAX_NODES = 500_000
-MAX_PAIRS = 200_000
+MAX_CHUNKS = 500_000
+MAX_NODES = 300_000
+MAX_PAIRS = 150_000
 TAIL = 4
 #: Texts are worked on in groups of about so many characters.
 GROUP_CHARS = 1_000_000
