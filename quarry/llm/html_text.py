@@ -7,10 +7,15 @@ greatest sum. The least density on the path from it to the body is the threshold
 outside the root's subtree, a block counts as content too if its own density and
 those of its ancestors below the path reach the threshold.
 
-Elements whose tag, role or names (class, id) say that they are menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles or comments of readers
-take no part in the densities and give no text. A header inside an article belongs
-to it.
+Elements whose tag or role says that they are menus, headers, footers, sidebars,
+notices, scripts or styles take no part in the densities and give no text, unless a
+menu and the like holds a main element. A header inside an article belongs to it.
+Names (class, id) and forms say less, as a page's frame may be `has-sidebar` or one
+form: such an element is left out only if it has no article or main with text below
+it and does not hold most of the text, links aside, of the body or of its article. One
+with a name that says nothing else (`ad`, `comments`) is left out also where it holds
+most, if an article or main has text outside it. If nothing is left, names and forms
+are disregarded.
 
 Edge cases: null html is the empty page, whose text is empty. Unclosed elements end
 where their parent ends, a paragraph where the next block begins. A comment or
@@ -38,8 +43,10 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 ENDS_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 # What is not content, by tag, by role and by the words of class and id.
-DROP_TAGS = frozenset("nav footer aside form button select svg math object audio video canvas dialog menu head".split()) | RAW
-DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
+DROP_TAGS = frozenset("button select svg math object audio video canvas head".split()) | RAW
+BESIDE_TAGS = frozenset("nav footer aside dialog menu".split())
+BESIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar".split())
+TEXT_TAGS = frozenset("article main".split())
 DROP_NAMES = frozenset(
     "ad ads advert adverts advertisement adsense adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login "
     "sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus reply replies respond share sharing social related recommended widget pagination pager tags skip".split()
@@ -47,6 +54,9 @@ DROP_NAMES = frozenset(
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+# How surely an element is no content.
+FORM, NAMED, BESIDE, DROP = 1, 2, 3, 4
+
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -54,7 +64,7 @@ class Page:
     """A page's elements as parallel lists; node 0 is the document."""
 
     def __init__(self, text: str):
-        self.tag, self.parent, self.dropped, self.link = ["#document"], [-1], [False], [False]
+        self.tag, self.parent, self.doubt, self.link = ["#document"], [-1], [0], [False]
         self.runs: list[tuple[int, str]] = []  # (node, text) in page order; "" is a block's border
         self._open = [0]
         self._parse(text)
@@ -140,7 +150,7 @@ class Page:
         tag.append(name)
         self.parent.append(up)
         self.link.append(self.link[up] or name == "a")
-        self.dropped.append(self.dropped[up] or self._not_content(name, rest))
+        self.doubt.append(self._not_content(name, rest))
         if name not in INLINE:
             self.runs.append((node, ""))
         if name not in VOID and not rest.endswith("/"):
@@ -148,20 +158,80 @@ class Page:
         elif name == "br":
             self.runs.append((up, ""))
 
-    def _not_content(self, name: str, rest: str) -> bool:
+    def _not_content(self, name: str, rest: str) -> int:
         if name in DROP_TAGS:
-            return True
+            return DROP
+        if name in BESIDE_TAGS:
+            return BESIDE
         if name == "header":
-            return not any(self.tag[x] in ("article", "main") for x in self._open)
+            return 0 if any(self.tag[x] in TEXT_TAGS for x in self._open) else BESIDE
+        doubt = FORM if name == "form" else 0
         if rest and name not in ("html", "body", "article", "main") and ("=" in rest):
             for m in _NAMES.finditer(rest):
                 value = m[2] or m[3] or m[4] or ""
                 if m[1].lower() == "role":
-                    if value.lower() in DROP_ROLES:
-                        return True
-                elif any(w.lower() in DROP_NAMES for w in _WORD.findall(value)):
-                    return True
-        return False
+                    if value.lower() in BESIDE_ROLES:
+                        return BESIDE
+                    if value.lower() == "form":
+                        doubt = max(doubt, FORM)
+                else:
+                    for one in value.split():
+                        words = [w.lower() in DROP_NAMES for w in _WORD.findall(one)]
+                        if any(words):
+                            doubt = max(doubt, NAMED if all(words) else FORM)
+        return doubt
+
+    def dropped(self) -> tuple[list[bool], list[bool]]:
+        """Which nodes are no content, and which lie in one that is content only since
+        it holds most of the text."""
+        n = len(self.tag)
+        tag, parent, doubt = self.tag, self.parent, self.doubt
+        out, most = [False] * n, [False] * n
+        main = [t == "main" for t in tag]
+        for i in range(n - 1, 0, -1):
+            main[parent[i]] |= main[i] and doubt[i] != DROP
+        beside = [False] * n
+        for i in range(1, n):
+            beside[i] = (beside[parent[i]] or doubt[i] == BESIDE) and tag[i] != "main"
+            out[i] = out[parent[i]] or doubt[i] == DROP or beside[i] and not main[i]
+        if not any(doubt[i] in (FORM, NAMED) and not out[i] for i in range(1, n)):
+            return out, most
+        chars, plain = [0] * n, [0] * n  # with links and without
+        for node, run in self.runs:
+            if run and not out[node]:
+                size = len(run.strip())
+                chars[node] += size
+                if not self.link[node]:
+                    plain[node] += size
+        holds, article = [False] * n, [0] * n
+        for i in range(n - 1, 0, -1):
+            if not out[i]:
+                chars[parent[i]] += chars[i]
+                plain[parent[i]] += plain[i]
+                holds[parent[i]] |= holds[i] or tag[i] in TEXT_TAGS and chars[i] > 0
+        told = 0  # text of all articles
+        for i in range(1, n):
+            article[i] = article[parent[i]]
+            if tag[i] in TEXT_TAGS and not out[i]:
+                told += 0 if article[i] else plain[i]
+                article[i] = i
+        body = next((i for i in range(n) if tag[i] == "body" and chars[i]), 0)
+        sure = out
+        out = list(sure)
+        for i in range(1, n):
+            out[i] |= out[parent[i]]
+            most[i] = most[parent[i]]
+            if doubt[i] in (FORM, NAMED) and not out[i] and not holds[i]:
+                large = 2 * plain[i] > plain[body]
+                if doubt[i] == NAMED:
+                    large = large and told <= (plain[i] if article[i] else 0)
+                else:
+                    large = large or article[i] > 0 and 2 * plain[i] > plain[article[i]]
+                out[i] = not large
+                most[i] |= large
+        if not any(run.strip() and not out[node] for node, run in self.runs):
+            return sure, most
+        return out, most
 
 
 def main_text(text: str | None) -> str:
@@ -169,7 +239,8 @@ def main_text(text: str | None) -> str:
     page = Page(text or "")
     n = len(page.tag)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-    parent, dropped = page.parent, page.dropped
+    parent = page.parent
+    dropped, most = page.dropped()
     for node, run in page.runs:
         if run and not dropped[node]:
             size = len(run.strip())
@@ -229,6 +300,8 @@ def main_text(text: str | None) -> str:
             state[i] = 2
         elif up == 1 and (dense[i] >= threshold or page.tag[i] in INLINE):
             state[i] = 2
+        elif most[root] and page.tag[i] in TEXT_TAGS:
+            state[i] = 2  # a doubtful root does not displace an article
     out = []
     for node, run in page.runs:
         if not run:

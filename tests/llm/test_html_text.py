@@ -32,6 +32,34 @@ def test_pages(page, want):
     assert main_text(page) == want
 
 
+TEXT = "<h1>Head</h1>" + "".join(f"<p>Paragraph {i} of the text, which goes on for a while.</p>" for i in range(4))
+WANT = "Head " + " ".join(f"Paragraph {i} of the text, which goes on for a while." for i in range(4))
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<div class='content has-sidebar'><article>%s</article><div class='sidebar'>Aside words</div></div>",
+        "<div id='page' class='no-sidebar'><main>%s</main></div>",
+        "<div class='related-work'>%s</div>",
+        "<form method=post action='/'><div class='sidebar'>Aside words</div>%s</form>",
+        "<form role=form><article>%s</article></form>",
+        "<article><div class='body share-enabled'>%s</div><div class='share'>Share this</div></article>",
+        "<div class='sidebar'>%s</div>",
+        "<nav><a href='/'>Home</a><main>%s</main></nav>",
+        "<article>%s</article><div id='comments'>" + "<p>A comment that is long and goes on for quite a while.</p>" * 40 + "</div>",
+    ],
+)
+def test_names_do_not_empty_a_page(inner):
+    assert main_text(AROUND % (inner % TEXT)) == WANT
+
+
+def test_a_doubtful_root_does_not_displace_an_article():
+    got = main_text(AROUND % ("<div><article><p>One.</p><p>Two.</p></article></div><div class='related-work'>" + TEXT * 3 + "</div>"))
+    assert "One. Two." in got and WANT in got
+    assert main_text("<body><div class='menu'><a href='/'>Only</a></div></body>") == "Only"
+
+
 def test_density_alone_finds_the_text():
     """Nothing in the names of the elements tells."""
     menu = "<div>" + "".join(f"<div><a href='/{i}'>Item {i}</a></div>" for i in range(12)) + "</div>"
