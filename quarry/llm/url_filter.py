@@ -71,17 +71,21 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), named_links(F.col(url_col), F.col(html_col)).alias("links"))
     rows = materialize(rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "settled": settled(F.col("url"))}), "url-rows")
     named = rows.where(F.size("links") > 0).select("url", F.explode("links").alias("b"))
-    found = rows.select(F.col("url").alias("a"), F.col("settled").alias("b")).unionByName(named.select(F.col("url").alias("a"), "b")).unionByName(named.select(F.col("b").alias("a"), settled(F.col("b")).alias("b")))
+    # Nodes: "=" and a url, or "~" and a settled url, which may hold "://" in its query.
+    real, bare = lambda c: F.concat(F.lit("="), c), lambda c: F.concat(F.lit("~"), c)
+    found = rows.select(real(F.col("url")).alias("a"), bare(F.col("settled")).alias("b"))
+    found = found.unionByName(named.select(real(F.col("url")).alias("a"), real(F.col("b")).alias("b")))
+    found = found.unionByName(named.select(real(F.col("b")).alias("a"), bare(settled(F.col("b"))).alias("b")))
     groups = materialize(components(found, hashed=True), "url-groups")
 
     # One decision for each component, from the rules that fit its urls, seen or named.
-    node = F.col("node")
-    at = F.when(F.locate("://", node) > 0, node).otherwise(F.concat(F.lit("http://"), node))
-    by_rule = longest_rule(host_of(at), path_of(at), rules)["verdict"]
     # A settled url stands for its group and is no url of its own.
-    own = groups.where(F.locate("://", node) > 0).select("label", by_rule.alias("v")).groupBy("label").agg(F.max(F.col("v") == "block").alias("blocked"), F.max(F.col("v") == "allow").alias("allowed"))
+    groups = groups.where(F.col("node").startswith("=")).select(F.expr("substring(node, 2)").alias("node"), F.expr("substring(label, 2)").alias("label"))
+    groups = groups.where(F.locate("://", "node") > 0)
+    by_rule = longest_rule(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"]
+    own = groups.select("label", by_rule.alias("v")).groupBy("label").agg(F.max(F.col("v") == "block").alias("blocked"), F.max(F.col("v") == "allow").alias("allowed"))
     own = materialize(own, "url-decisions")
-    decided = materialize(groups.where(F.locate("://", node) > 0).join(own, "label"), "url-decided")
+    decided = materialize(groups.join(own, "label"), "url-decided")
     out = rows.join(decided, rows.url == decided.node, "left")
     fit = longest_rule(F.col("host"), F.col("path"), rules)
     blocked = F.coalesce(F.col("blocked"), F.lit(False)) & ~F.coalesce(F.col("allowed"), F.lit(False))

@@ -27,6 +27,19 @@ def test_aliases(spark):
     assert got[5] == got[6] == got[11] == (None, "allow")
 
 
+def test_urls_in_parameters_are_no_urls(spark):
+    pages = [
+        (1, "http://good.com/r?u=http://spam.org/es/1", None),
+        (2, "https://www.good.com/r/?u=http://spam.org/es/1", None),
+        (3, "http://bad.com/en/x?u=http://example.com/en/7", "<link rel=canonical href='http://q.info/1'>"),
+        (4, "http://q.info/1", None),
+        (5, "http://archive.info/http://spam.org/es/1", None),
+    ]
+    got = {r.page_id: r for r in judge(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES).collect()}
+    assert {i: (r.rule, r.verdict) for i, r in got.items()} == {1: (None, "allow"), 2: (None, "allow"), 3: ("com/en/", "block"), 4: (None, "block"), 5: (None, "allow")}
+    assert got[1].alias == got[2].alias == "http://good.com/r?u=http://spam.org/es/1"
+
+
 def plain(url):
     """Host, path, rule and verdict without aliases."""
     _, found, rest = (url or "").partition("://")
