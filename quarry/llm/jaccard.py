@@ -25,7 +25,7 @@ is at least similarity (given in hundredths). The result is exact; no link is lo
    outside the component's largest connected part against all others.
 
 Edge cases: null or wordless text has an empty set, size 0, and links with nothing,
-so its component is its own id. A text of fewer words than a shingle is one shingle.
+so its component is its own id, or that of the id's other texts. A text of fewer words than a shingle is one shingle.
 Rows that repeat an id and its text are one document; of different texts under one id,
 each row keeps its own set and they count as connected. A null id stays alone. An empty table gives no rows. Other columns are ignored.
 """
@@ -122,17 +122,23 @@ def keys_of(elements: np.ndarray, top: int, bands: Bands) -> tuple[np.ndarray, i
     return (keys[full], need) if need > 0 else (keys, 0)
 
 
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed numbers."""
+    digest = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)
+
+
 def _summaries(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, one, two = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, size)
-                digest = xxhash.xxh3_128_intdigest(s.tobytes())
+                h1, h2 = _digest(s)
                 n.append(len(s))
-                one.append((digest >> 64) - (1 << 63))
-                two.append((digest & ((1 << 64) - 1)) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, pa.int64()) for x in (n, one, two))], ["id", "n", "h1", "h2"])
+                one.append(h1)
+                two.append(h2)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), *(pa.array(x, pa.int64()) for x in (n, one, two))], ["id", "t", "n", "h1", "h2"])
 
     return run
 
@@ -141,14 +147,16 @@ def _keys(size: int, similarity: int):
     bands = Bands(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, band, need, keys): a row for each band that a set emits in."""
+        """(id, band, need, keys): a row for each band that a set emits in. The id is
+        the first half of the set's digest."""
         known: dict[int, list[int]] = {}
         for batch in batches:
             ids, tops, needs, keys, ends = [], [], [], [], [0]
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+            for text in batch.column("text").to_pylist():
                 s = shingle_set(text, size)
                 if not len(s):
                     continue
+                i = _digest(s)[0]
                 if len(s) not in known:
                     known[len(s)] = bands.tops(len(s))
                 for top in known[len(s)]:
@@ -266,37 +274,43 @@ class SignatureTree:
 
 def _compare(size: int, similarity: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Connected parts of one cell's sets. Sets with a label are known to be
-        connected with the others of that label."""
+        """Connected parts of one cell's sets, by the names of their classes. Sets with
+        a label are known to be connected with the others of that label."""
         sets = [shingle_set(t, size) for t in pdf["text"]]
-        order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]), len(sets[i])))
+        order = sorted((i for i in range(len(sets)) if len(sets[i])), key=lambda i: (int(sets[i][0]), len(sets[i])))
+        if not order:
+            return pd.DataFrame({"a": [], "b": []}, dtype=str)
         tree = SignatureTree([sets[i] for i in order], similarity)
-        first: dict[int, int] = {}
+        first: dict[str, int] = {}
         for at, i in enumerate(order):
             label = pdf["label"].iat[i]
             if label is not None and label == label:
-                tree.unite(first.setdefault(int(label), at), at)
-        ids = pdf["id"].to_numpy()[order]
-        return pd.DataFrame({"a": ids, "b": ids[tree.connect()]})
+                tree.unite(first.setdefault(label, at), at)
+        names = np.array(["%d %d" % _digest(sets[i]) for i in order], object)
+        return pd.DataFrame({"a": names, "b": names[tree.connect()]})
 
     return run
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = 4096, cell_shingles: int = 1_000_000, pivots: int = 64) -> DataFrame:
     """(id, n_shingles, component_id) for every document; ids are integers."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sums = materialize(rows.mapInArrow(_summaries(shingle), "id long, n long, h1 long, h2 long"), "jaccard-sums")
-
-    # Classes of equal sets; the least id stands for each.
-    classes = materialize(sums.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "jaccard-classes")
-    copies = materialize(sums.join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).where("id <> rep").select("id").distinct(), "jaccard-copies")
-    keyed = rows.where("id is not null").join(_small(copies), "id", "left_anti").mapInArrow(_keys(shingle, similarity), "id long, band int, need int, keys array<long>")
+    # t tells the texts of one id apart.
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
+    sums = materialize(rows.mapInArrow(_summaries(shingle), "id long, t long, n long, h1 long, h2 long"), "jaccard-sums")
+
+    # Classes of equal sets; the row of the least id stands for each. From here a class
+    # goes by its digest, since an id may have texts in several classes.
+    classes = sums.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min(F.struct("id", "t")).alias("r"), F.max("n").alias("n"))
+    classes = materialize(classes.select("h1", "h2", F.col("r.id").alias("rep"), F.col("r.t").alias("t"), "n", F.concat_ws(" ", "h1", "h2").alias("name")), "jaccard-classes")
+    copies = sums.join(classes.select("h1", "h2", "rep", F.col("t").alias("rep_t")), ["h1", "h2"]).where("id <> rep or t <> rep_t")
+    copies = materialize(copies.select("id", "t").distinct(), "jaccard-copies")
+    keyed = rows.where("id is not null").join(_small(copies), ["id", "t"], "left_anti").mapInArrow(_keys(shingle, similarity), "id long, band int, need int, keys array<long>")
     # Keys of more than one class, once for each class.
     alike = Window.partitionBy("key")
     keyed = keyed.select("id", "need", "band", F.explode("keys").alias("key"))
     keyed = keyed.withColumns({"first": F.min("id").over(alike), "last": F.max("id").over(alike)}).where("first < last")
     keyed = materialize(keyed.select("id", "band", "need", "key").distinct(), "jaccard-keys")
-    enough = materialize(keyed.groupBy("id", "band").agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need").select("id", "band"), "jaccard-enough")
+    enough = materialize(keyed.groupBy("id", "band").agg(F.count("*").alias("c"), F.min("need").alias("need")).where("c >= need").select("id", "band"), "jaccard-enough")
     left = keyed.join(_small(enough), ["id", "band"]).select("id", "key")
     shared = materialize(left.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("key", "head"), "jaccard-shared")
     linked = left.join(_small(shared), "key")
@@ -306,28 +320,37 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, similarity: int = 80,
     least = F.least(F.col("id"), F.array_min("heads"))
     edges = heads.select(F.explode(F.concat(F.array("id"), F.col("heads"))).alias("a"), least.alias("b"))
     groups = components(edges, hashed=True)
-    members = materialize(classes.join(groups, classes.rep == groups.node).select(F.col("rep").alias("id"), "n", F.col("label").alias("grp")), "jaccard-members")
+    members = materialize(classes.join(groups, classes.h1 == groups.node).select(F.col("rep").alias("id"), "t", "name", "n", F.col("label").alias("grp")), "jaccard-members")
 
     # Cells: one per component, or blocks of a large one with its pivots in each.
     size = members.groupBy("grp").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
     size = size.select("grp", "rows", F.greatest(F.ceil(F.col("rows") / cell_rows), F.ceil(F.col("shingles") / cell_shingles)).alias("blocks"))
     placed = members.join(materialize(size, "jaccard-sizes"), "grp")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    pivot = F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("rows") / pivots)) == 0
-    placed = placed.select("id", "grp", "blocks", "n", F.when((F.col("blocks") > 1) & pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own)).alias("cells"))
+    own = F.pmod(F.xxhash64("name"), F.col("blocks"))
+    pivot = F.pmod(F.xxhash64("name", F.lit(1)), F.ceil(F.col("rows") / pivots)) == 0
+    placed = placed.select("id", "t", "name", "grp", "blocks", "n", F.when((F.col("blocks") > 1) & pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own)).alias("cells"))
     placed = materialize(placed, "jaccard-placed")
     compare = _compare(shingle, similarity)
-    cells = rows.join(_small(placed), "id").select("id", "grp", F.explode("cells").alias("cell"), "text", F.lit(None).cast("long").alias("label"))
-    links = materialize(cells.groupBy("grp", "cell").applyInPandas(compare, "a long, b long").where("a <> b"), "jaccard-links")
+    cells = rows.join(_small(placed), ["id", "t"]).select("grp", F.explode("cells").alias("cell"), "text", F.lit(None).cast("string").alias("label"))
+    links = materialize(cells.groupBy("grp", "cell").applyInPandas(compare, "a string, b string").where("a <> b"), "jaccard-links")
 
     if placed.where("blocks > 1").limit(1).count():
         links = links.union(_across_blocks(placed, rows, links, compare, cell_rows, cell_shingles))
-    final = materialize(components(links, hashed=True), "jaccard-final")
-
-    # From classes back to documents.
-    named = classes.join(final, classes.rep == final.node, "left").select("h1", "h2", F.coalesce("label", "rep").alias("least"))
-    named = materialize(named, "jaccard-named")
-    out = sums.select("id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
+    # Classes of one id count as connected: ids with several, or with an empty set too.
+    digest = F.when(F.col("n") > 0, F.struct("h1", "h2"))
+    several = sums.where("id is not null").groupBy("id").agg(F.min(digest).alias("first"), F.max(digest).alias("last"), F.max(F.col("n") == 0).alias("empty"))
+    several = several.where((F.col("first") != F.col("last")) | F.col("empty")).where("first is not null")
+    several = materialize(several.select("id", "first", (F.col("first") != F.col("last")).alias("differ")), "jaccard-several")
+    same = sums.where("n > 0").join(several.where("differ"), "id")
+    same = same.select(F.concat_ws(" ", "h1", "h2").alias("a"), F.concat_ws(" ", "first.h1", "first.h2").alias("b")).where("a <> b").distinct()
+    final = components(links.unionByName(same), hashed=True)
+
+    # From classes back to documents: the least id of all classes of a component.
+    final = materialize(classes.join(final, classes.name == final.node, "left").select("h1", "h2", "rep", "label"), "jaccard-final")
+    least = materialize(final.where("label is not null").groupBy("label").agg(F.min("rep").alias("least")), "jaccard-least")
+    named = materialize(final.join(least, "label", "left").select("h1", "h2", F.coalesce("least", "rep").alias("least")), "jaccard-named")
+    beside = sums.where("n = 0").join(several.select("id", "first"), "id", "left").select("id", "n", "first.h1", "first.h2")
+    out = sums.where("n > 0").select("id", "n", "h1", "h2").unionByName(beside).join(named, ["h1", "h2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component_id"))
 
 
@@ -341,19 +364,19 @@ def _across_blocks(placed: DataFrame, rows: DataFrame, links: DataFrame, compare
     """Links between blocks of large components: all sets outside the largest connected
     part (the rest) against every set."""
     parts = components(links, hashed=True)
-    large = placed.where("blocks > 1").select("id", "grp", "n")
-    large = materialize(large.join(parts, large.id == parts.node, "left").select("id", "grp", "n", F.coalesce("label", "id").alias("label")), "jaccard-large")
+    large = placed.where("blocks > 1").select("id", "t", "name", "grp", "n")
+    large = materialize(large.join(parts, large.name == parts.node, "left").select("id", "t", "name", "grp", "n", F.coalesce("label", "name").alias("label")), "jaccard-large")
     biggest = large.groupBy("grp", "label").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
     large = materialize(large.join(materialize(biggest, "jaccard-main"), "grp").withColumn("main", F.col("label") == F.col("main")), "jaccard-split")
     half = lambda rows: F.greatest(F.ceil(2 * F.count(F.when(rows, 1)) / cell_rows), F.ceil(2 * F.coalesce(F.sum(F.when(rows, F.col("n"))), F.lit(0)) / cell_shingles))
     counts = large.groupBy("grp").agg(half(~F.col("main")).alias("rest"), half(F.col("main")).alias("mains")).where("rest > 0")
     large = large.join(materialize(counts, "jaccard-halves"), "grp")
-    i = F.when(F.col("main"), F.col("rest") + F.pmod(F.xxhash64("id", F.lit(2)), F.col("mains"))).otherwise(F.pmod(F.xxhash64("id", F.lit(2)), F.col("rest")))
+    i = F.when(F.col("main"), F.col("rest") + F.pmod(F.xxhash64("name", F.lit(2)), F.col("mains"))).otherwise(F.pmod(F.xxhash64("name", F.lit(2)), F.col("rest")))
     large = large.withColumn("i", i.cast("long"))
     # Cells are pairs (x, y), x <= y and x a block of the rest.
     as_x = F.transform(F.sequence(F.col("i"), F.col("rest") + F.col("mains") - 1), lambda y: F.struct(F.col("i").alias("x"), y.cast("long").alias("y")))
     as_y = F.transform(F.sequence(F.lit(0).cast("long"), F.least(F.col("i"), F.col("rest")) - 1), lambda x: F.struct(x.cast("long").alias("x"), F.col("i").alias("y")))
     pairs = F.when(F.col("main"), as_y).when(F.col("i") == 0, as_x).otherwise(F.concat(as_x, as_y))
-    large = materialize(large.select("id", "grp", "label", pairs.alias("cells")), "jaccard-pairs")
-    cells = rows.join(_small(large), "id").select("id", "grp", F.explode("cells").alias("cell"), "text", "label")
-    return materialize(cells.groupBy("grp", "cell").applyInPandas(compare, "a long, b long").where("a <> b"), "jaccard-links2")
+    large = materialize(large.select("id", "t", "grp", "label", pairs.alias("cells")), "jaccard-pairs")
+    cells = rows.join(_small(large), ["id", "t"]).select("grp", F.explode("cells").alias("cell"), "text", "label")
+    return materialize(cells.groupBy("grp", "cell").applyInPandas(compare, "a string, b string").where("a <> b"), "jaccard-links2")

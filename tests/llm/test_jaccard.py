@@ -58,6 +58,16 @@ def test_odd_rows(spark):
     assert jaccard_components(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limits", [{}, {"cell_rows": 2, "pivots": 1}])
+def test_several_texts_of_one_id(spark, limits):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(1, one), (5, one), (5, two), (9, two + " more"), (9, two + " more"), (20, three), (20, None), (20, " "), (12, three + " more"), (30, None), (40, "alone"), (40, three.upper())]
+    rows += [(50 + i, two + f" more{i}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(i, len(shingle_set(t, 3)), 30 if i == 30 else 12 if i in (12, 20, 40) else 1) for i, t in rows]
+    assert sorted(tuple(r) for r in jaccard_components(docs, 3, 90, **limits).collect()) == sorted(want)
+
+
 def test_keys_meet_whenever_sets_link():
     rng, bands = np.random.default_rng(0), Bands(90)
     for n in (10, 19, 20, 57, 300, 1500):
