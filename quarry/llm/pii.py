@@ -213,7 +213,7 @@ def fit(rows: DataFrame, col: str = "candidates", rounds: int = 50) -> dict:
                     table[k, j, c] = got / got.sum()
     x = _features(kind, votes, size)
     w = np.zeros(x.shape[1])
-    rows_w = np.minimum(n, 1e6) / max(1.0, n.max()) + 1e-3
+    rows_w = n / n.max() + 1e-3
     for _ in range(60):  # Newton's method
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (rows_w * (q - p)) + 1e-3 * w

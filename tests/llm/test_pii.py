@@ -79,3 +79,19 @@ def test_nothing_to_find(spark):
     found = pii.candidates(docs)
     assert [r.s for r in found.select(pii.spans(pii.fit(found)).alias("s")).collect()] == [[], []]
     assert pii.candidates(docs.limit(0)).count() == 0
+
+
+def test_the_fit_is_alike_at_every_size(spark):
+    from quarry.llm import pii
+
+    def weights(scale):
+        parts = []
+        for base, vote, n in ((True, 1, 900), (False, 1, 700), (False, -1, 500), (False, 0, 40)):
+            one = F.struct(F.lit(0).alias("kind"), F.lit(base).alias("base"), *[F.lit(vote).alias(v) for v in pii.LABELERS], F.lit(2).alias("size"))
+            parts.append(spark.range(n).select(F.array_repeat(one, scale).alias("candidates")))
+        rows = parts[0]
+        for more in parts[1:]:
+            rows = rows.unionByName(more)
+        return pii.fit(rows)["weights"]
+
+    assert max(abs(a - b) for a, b in zip(weights(1000), weights(8000))) < 0.01
