@@ -230,39 +230,45 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class Codec:
-    """Encodes texts as the tokenizers library does with the same file."""
+    """Encodes texts as the tokenizers library does with the same file, words by the trie."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        lib = Tokenizer.from_file(path)
-        self._normalize, self._split = lib.normalizer.normalize_str, lib.pre_tokenizer.pre_tokenize_str
+        self.lib = Tokenizer.from_file(path)
+        self._normalize, self._split = self.lib.normalizer.normalize_str, self.lib.pre_tokenizer.pre_tokenize_str
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self._special = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)))
-        merges = _Merges(spec["model"])
-        self.trie = PrefixTrie(merges)
         self._bytes = _byte_alphabet()
-        size = max([*merges.ids.values(), *self.special.values()]) + 1
-        self.tokens = [""] * size
-        for text, t in [*merges.ids.items(), *self.special.items()]:
-            self.tokens[t] = text
-        self.vocab_size = size
+        vocab = spec["model"]["vocab"]
+        self.vocab_size = max([*vocab.values(), *self.special.values()]) + 1
         self.chunks = _Chunks()
+        self._prepare(spec["model"])
+
+    def _prepare(self, model: dict) -> None:
+        self.trie = PrefixTrie(_Merges(model))
+        self.tokens = [""] * self.vocab_size
+        for text, t in [*model["vocab"].items(), *self.special.items()]:
+            self.tokens[t] = text
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Packed ids of words in byte symbols."""
+        if len(self.trie.nodes) > MAX_NODES:
+            self.trie.clear()
+        return self.trie.insert_and_encode(words)
 
     def _symbols(self, word: str) -> str:
         return word if word.isascii() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._bytes)
 
     def _learn(self, new: set[str]) -> None:
-        """Ids of chunks (texts without white space), through the trie."""
-        if len(self.trie.nodes) > MAX_NODES:
-            self.trie.clear()
+        """Ids of chunks (texts without white space)."""
         known = self.chunks
         split = {c: [c] if c.isalpha() else _WORDS.findall(c) for c in new}
         words = {w for ws in split.values() for w in ws if w in new or w not in known}
         symbols = {w: self._symbols(w) for w in words}
-        ids = self.trie.insert_and_encode(list(symbols.values()))
+        ids = self._encode_words(list(symbols.values()))
         packed = {w: ids[s] for w, s in symbols.items()}
         for c, ws in split.items():
             known[c] = packed[c] if len(ws) == 1 else b"".join([packed[w] if w in packed else known[w] for w in ws])
@@ -273,15 +279,15 @@ class Codec:
             part = text[at : m.start() if m else len(text)]
             if part:
                 words = [w for w, _ in self._split(self._normalize(part))]
-                ids = self.trie.insert_and_encode(list(set(words)))
+                ids = self._encode_words(list(set(words)))
                 out += [ids[w] for w in words]
             if m:
-                out.append(_packed([self.special[m[0]]]))
+                out.append(self.pack([self.special[m[0]]]))
                 at = m.end()
         return b"".join(out)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Packed ids of each text."""
         group, chars = [], 0
         for text in texts:
             text = text or ""
@@ -323,6 +329,10 @@ class Codec:
             out.append(b"".join(got))
         return out
 
+    @staticmethod
+    def pack(ids: list[int]) -> bytes:
+        return _packed(ids)
+
     def decode(self, ids: bytes) -> str:
         """Tokens joined by one space: the file names no decoder."""
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -21,6 +21,7 @@ other than the id and the text are ignored.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,20 +75,44 @@ def curve_numbers(vectors: np.ndarray, bits: int = BITS) -> np.ndarray:
     return hilbert_number(scaled.astype(np.int64), bits)
 
 
+class Codec(bpe.Codec):
+    """Ids packed as narrow as the vocabulary allows; a word that the worker has not met
+    yet goes through the tokenizers library's model, which costs less than the trie where
+    prefixes are not asked for."""
+
+    def _prepare(self, model: dict) -> None:
+        self._model = self.lib.model.tokenize
+        self.kind, self._letter = ("<u2", "H") if self.vocab_size <= 1 << 16 else ("<u4", "I")
+
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self._letter}", *ids)
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        return {w: self.pack([t.id for t in self._model(w)]) for w in words}
+
+
+_CODECS: dict[str, Codec] = {}
+
+
+def codec_of(path: str) -> Codec:
+    """One codec for each file in a worker; it keeps the words that it has met."""
+    if path not in _CODECS:
+        _CODECS[path] = Codec(path)
+    return _CODECS[path]
+
+
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """(id, number, ids): ids as unsigned 16-bit integers where the vocabulary allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, project = bpe.codec(tokenizer), projection()
-        kind = "<u2" if codec.vocab_size <= 1 << 16 else "<u4"
-        end = np.array([end_id], kind).tobytes()
+        codec, project = codec_of(tokenizer), projection()
+        end = codec.pack([end_id])
         for batch in batches:
             vectors, packed = [], []
             for raw in codec.encode(batch.column("text").to_pylist()):
-                ids = np.frombuffer(raw, "<u4")
-                counts = np.bincount(ids % SLOTS, minlength=SLOTS).astype(np.float32)
+                counts = np.bincount(np.frombuffer(raw, codec.kind) % SLOTS, minlength=SLOTS).astype(np.float32)
                 vectors.append(counts @ project / max(1e-9, np.sqrt(counts @ counts)))
-                packed.append(ids.astype(kind).tobytes() + end)
+                packed.append(raw + end)
             numbers = curve_numbers(np.array(vectors).reshape(-1, DIMS))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(numbers, pa.int64()), pa.array(packed, pa.binary())], ["id", "number", "ids"])
 
@@ -148,8 +173,7 @@ def pack(docs: DataFrame, tokenizer: str, max_len: int = 2048, end_id: int = 1,
     out = f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = bpe.codec(tokenizer)
-        width = "<u2" if codec.vocab_size <= 1 << 16 else "<u4"
+        width = codec_of(tokenizer).kind
         stream = _Stream(TaskContext.get().partitionId() * STRIDE, max_len)
         kind = None
 
