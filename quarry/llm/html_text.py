@@ -12,10 +12,12 @@ notices, scripts or styles take no part in the densities and give no text, unles
 menu and the like holds a main element. A header inside an article belongs to it.
 Names (class, id) and forms say less, as a page's frame may be `has-sidebar` or one
 form: such an element is left out only if it has no article or main with text below
-it and does not hold most of the text, links aside, of the body or of its article. One
-with a name that says nothing else (`ad`, `comments`) is left out also where it holds
-most, if an article or main has text outside it. If nothing is left, names and forms
-are disregarded.
+it and does not hold most of the text, links aside, of the body or of its article. A
+whole class that says nothing else (`ad`, `comment-list`) is left out also where it holds
+most, if an article or main has text outside it. One that says more (`related-work`,
+`no-sidebar`) or may well name a topic (`social`, `tags`) counts only against an element
+whose text is links for the greater part. If nothing is left, names and forms are
+disregarded.
 
 Edge cases: null html is the empty page, whose text is empty. Unclosed elements end
 where their parent ends, a paragraph where the next block begins. A comment or
@@ -38,24 +40,27 @@ from pyspark.sql import functions as F
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow ms msqrt msub msup mtext q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDS_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 # What is not content, by tag, by role and by the words of class and id.
-DROP_TAGS = frozenset("button select svg math object audio video canvas head".split()) | RAW
+DROP_TAGS = frozenset("button select svg object audio video canvas head".split()) | RAW
 BESIDE_TAGS = frozenset("nav footer aside dialog menu".split())
 BESIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar".split())
 TEXT_TAGS = frozenset("article main".split())
 DROP_NAMES = frozenset(
     "ad ads advert adverts advertisement adsense adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login "
-    "sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus reply replies respond share sharing social related recommended widget pagination pager tags skip".split()
+    "sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus reply replies respond share sharing widget pagination pager".split()
 )
+# Names that may be those of a topic, and words that say nothing beside others.
+TOPIC_NAMES = frozenset("side social related recommended tags skip".split())
+PLAIN_NAMES = frozenset("area bar block box bottom buttons col column container content global group inner item items left links list main outer page panel primary right row secondary section site slot thread top unit wrap wrapper".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # How surely an element is no content.
-FORM, NAMED, BESIDE, DROP = 1, 2, 3, 4
+HINT, FORM, NAMED, BESIDE, DROP = 1, 2, 3, 4, 5
 
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -176,9 +181,11 @@ class Page:
                         doubt = max(doubt, FORM)
                 else:
                     for one in value.split():
-                        words = [w.lower() in DROP_NAMES for w in _WORD.findall(one)]
-                        if any(words):
-                            doubt = max(doubt, NAMED if all(words) else FORM)
+                        words = {w.lower() for w in _WORD.findall(one)} - PLAIN_NAMES
+                        if words and words <= DROP_NAMES:
+                            doubt = max(doubt, NAMED)
+                        elif words & (DROP_NAMES | TOPIC_NAMES):
+                            doubt = max(doubt, HINT)
         return doubt
 
     def dropped(self) -> tuple[list[bool], list[bool]]:
@@ -194,7 +201,7 @@ class Page:
         for i in range(1, n):
             beside[i] = (beside[parent[i]] or doubt[i] == BESIDE) and tag[i] != "main"
             out[i] = out[parent[i]] or doubt[i] == DROP or beside[i] and not main[i]
-        if not any(doubt[i] in (FORM, NAMED) and not out[i] for i in range(1, n)):
+        if not any(doubt[i] in (HINT, FORM, NAMED) and not out[i] for i in range(1, n)):
             return out, most
         chars, plain = [0] * n, [0] * n  # with links and without
         for node, run in self.runs:
@@ -221,14 +228,14 @@ class Page:
         for i in range(1, n):
             out[i] |= out[parent[i]]
             most[i] = most[parent[i]]
-            if doubt[i] in (FORM, NAMED) and not out[i] and not holds[i]:
+            if doubt[i] in (HINT, FORM, NAMED) and not out[i] and not holds[i]:
                 large = 2 * plain[i] > plain[body]
                 if doubt[i] == NAMED:
                     large = large and told <= (plain[i] if article[i] else 0)
                 else:
                     large = large or article[i] > 0 and 2 * plain[i] > plain[article[i]]
-                out[i] = not large
                 most[i] |= large
+                out[i] = not large and (doubt[i] != HINT or 2 * plain[i] < chars[i])
         if not any(run.strip() and not out[node] for node, run in self.runs):
             return sure, most
         return out, most

@@ -47,6 +47,10 @@ WANT = "Head " + " ".join(f"Paragraph {i} of the text, which goes on for a while
         "<article><div class='body share-enabled'>%s</div><div class='share'>Share this</div></article>",
         "<div class='sidebar'>%s</div>",
         "<nav><a href='/'>Home</a><main>%s</main></nav>",
+        "<div class='post social-science'><article>%s</article></div>",
+        "<article><div class='tags'>%s</div></article>",
+        "<div class='post ad-free'>%s</div><div class='comment-list'><p>A short one.</p></div>",
+        "<div class='post'>%s</div><div class='related-posts'><a href='/1'>Another text</a> <a href='/2'>A third</a></div>",
         "<article>%s</article><div id='comments'>" + "<p>A comment that is long and goes on for quite a while.</p>" * 40 + "</div>",
     ],
 )
@@ -60,6 +64,27 @@ def test_a_doubtful_root_does_not_displace_an_article():
     assert main_text("<body><div class='menu'><a href='/'>Only</a></div></body>") == "Only"
 
 
+LONG = "<p>" + "Words that go on and on, as texts do. " * 60 + "</p>"
+
+
+@pytest.mark.parametrize("name", ["related-work", "social-science", "tags", "no-sidebar", "skip", "side"])
+@pytest.mark.parametrize("frame", ["<article>%s</article>", "<div>%s</div>"])
+def test_names_do_not_cut_a_part_out(frame, name):
+    got = main_text(AROUND % (frame % (LONG + f"<section class='{name}'>{TEXT}</section>" + LONG)))
+    assert WANT in got and got.count("Words that go on") == 120
+    links = f"<div class='{name}'>" + "".join(f"<a href='/{i}'>Another page {i}</a> " for i in range(9)) + "</div>"
+    assert "Another page" not in main_text(AROUND % (frame % (LONG + links)))
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "cookie-notice", "site-footer", "ad-slot"])
+def test_whole_names_leave_a_part_out(name):
+    assert main_text(AROUND % f"<article>{TEXT}</article><div class='x {name}'><p>Not of the text, but quite long all the same.</p></div>") == WANT
+
+
+def test_formulas_stay():
+    assert main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p></article>") == "Let x=2 be."
+
+
 def test_density_alone_finds_the_text():
     """Nothing in the names of the elements tells."""
     menu = "<div>" + "".join(f"<div><a href='/{i}'>Item {i}</a></div>" for i in range(12)) + "</div>"
