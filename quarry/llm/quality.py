@@ -3,22 +3,26 @@
 A text gives some statistics of its characters, words and lines; each is cut into
 bins, and a score adds a weight per bin. The weights minimise the non-negative
 unbiased risk of positive-unlabelled learning: trusted positives are labelled rows of
-quality 1, the unlabelled texts are a sample of the documents themselves, and rows
-labelled 0 are never used. The class prior is estimated from the same samples: the
-least ratio, over thresholds of a first classifier that tells positives from
-unlabelled ones, of the unlabelled share above to the positives' share above.
+quality 1, the unlabelled texts are the documents themselves, and rows labelled 0 are
+never used. The bins' edges are quantiles over all documents. The class prior is the
+least ratio, over thresholds of a first classifier that tells positives from unlabelled
+texts, of the share of all documents above to the positives' share above; documents and
+positives that the first classifier has learned from (half of them, by a hash of the id)
+do not count.
 
-Learning uses bounded samples (max_positive, max_unlabelled rows, the first by a hash
-of their ids); scoring reads every whole text.
+The gradient steps alone use bounded samples (max_positive, max_unlabelled ids, the first
+by a hash; of an id's rows the one of the least statistics); all else reads every whole
+text.
 
 Edge cases: null text counts as empty and is scored like any text. Without positives
 or documents every score is 0.5. Repeated rows get equal scores; an id that is labelled
-more than once counts as positive if any of its labels is. Null labels are no labels.
+more than once counts as positive if any of its labels is. Null labels are no labels, and
+rows of a null id are not learned from. Other columns are ignored or, by score(), kept;
+one of the score's name is replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
@@ -26,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import materialize
+
 STATISTICS = 14
 BINS = 12
 _BYTES = np.arange(256)
@@ -48,31 +54,20 @@ def statistics(text: str | None) -> list[float]:
     """Shares of kinds of characters, repeats of words and lines, and lengths."""
     text = text or ""
     raw = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
-    size = max(1, len(text))
     words = text.split()
     n = max(1, len(words))
     lines = [x for x in text.split("\n") if x]
-    again = sum(map(eq, words, words[1:])) / max(1, n - 1)
     return [
-        *(_GROUPS @ raw / size).tolist(),
-        again if n >= 20 else again * n / 20,  # a few words repeat by chance
+        *(_GROUPS @ raw / max(1, raw.sum())).tolist(),
+        sum(map(eq, words, words[1:])) / (n + 20),  # in a short text words may repeat by chance
         len(set(words)) / n ** 0.9,
         1 - len(set(lines)) / max(1, len(lines)),
         np.log1p(len(words)),
-        size / n,
+        len(text) / n,
         n / max(1, len(lines)) / 100,
     ]
 
 
-def _measured(extra: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [statistics(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in extra), pa.array(x, pa.list_(pa.float64()))], [*extra, "x"])
-
-    return run
-
-
 class Model:
     """Bin edges and a weight per bin."""
 
@@ -105,69 +100,109 @@ def _minimise(model: Model, p: np.ndarray, u: np.ndarray, gradient, steps: int =
     model.weights, model.bias = w[:-1], w[-1]
 
 
-def learn(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 5) -> Model:
-    """Statistics of trusted positives and of unlabelled texts (rows x STATISTICS)."""
-    if not len(positive) or not len(unlabelled):
-        return Model()
-    # Edges are quantiles of the unlabelled texts, denser in the tails.
-    cuts = [0.01, 0.03, 0.06, 0.1, 0.25, 0.5, 0.75, 0.9, 0.94, 0.97, 0.99]
-    model = Model(np.quantile(unlabelled, cuts, axis=0).T)
-    p, u = model.bins(positive), model.bins(unlabelled)
-    sigmoid = lambda f: 1 / (1 + np.exp(-np.clip(f, -30, 30)))
-
-    # Class prior, on halves that the first classifier has not seen.
-    rng = np.random.default_rng(seed)
-    side_p, side_u = rng.random(len(p)) < 0.5, rng.random(len(u)) < 0.5
-    if min(side_p.sum(), (~side_p).sum(), side_u.sum(), (~side_u).sum()) > 0:
-        a, b = p[side_p], u[side_u]
-        _minimise(model, a, b, lambda fp, fu: ((sigmoid(fp) - 1) / len(fp), sigmoid(fu) / len(fu)))
-        s_p, s_u = np.sort(model.score(positive[~side_p])), np.sort(model.score(unlabelled[~side_u]))
-        at = s_p[: max(1, len(s_p) // 20)]  # thresholds that at most one positive in 20 is below
-        above_p = 1 - np.searchsorted(s_p, at) / len(s_p)
-        above_u = 1 - np.searchsorted(s_u, at) / len(s_u)
-        prior = float(np.clip((above_u / above_p).min(), 0.05, 0.98))
-    else:
-        prior = 0.5
-
-    def nn_pu(fp: np.ndarray, fu: np.ndarray):
-        """Sigmoid loss. Where the unlabelled texts' part of the risk is negative, it is
-        not to be lowered further: its gradient is turned round."""
-        sp, su = sigmoid(fp), sigmoid(fu)
-        dp, du = prior * sp * (1 - sp) / len(fp), su * (1 - su) / len(fu)
-        return (-2 * dp, du) if su.mean() >= prior * sp.mean() else (dp, -du)
-
-    _minimise(model, p, u, nn_pu)
-    model.prior = prior
+def _sigmoid(f: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+
+
+def tell_apart(edges: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+    """The first classifier: positives against unlabelled texts (rows x STATISTICS)."""
+    model = Model(edges)
+    _minimise(model, model.bins(positive), model.bins(unlabelled), lambda fp, fu: ((_sigmoid(fp) - 1) / len(fp), _sigmoid(fu) / len(fu)))
+    return model
+
+
+def risk_gradient(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the non-negative risk with the sigmoid loss, by the sums of positive and of
+    unlabelled rows. Where the unlabelled texts' part of the risk is negative, it is not to
+    be lowered further: its gradient is turned round."""
+    sp, su = _sigmoid(fp), _sigmoid(fu)
+    dp, du = prior * sp * (1 - sp) / len(fp), su * (1 - su) / len(fu)
+    return (-2 * dp, du) if su.mean() >= prior * sp.mean() else (dp, -du)
+
+
+def learn(edges: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
+    """The classifier itself (rows x STATISTICS)."""
+    model = Model(edges, prior=prior)
+    _minimise(model, model.bins(positive), model.bins(unlabelled), lambda fp, fu: risk_gradient(fp, fu, prior))
     return model
 
 
-def fit(docs: DataFrame, positive_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = 10_000, max_unlabelled: int = 20_000) -> Model:
-    """positive_ids: one column of the ids of trusted positives."""
+def measure(text: Column) -> Column:
+    """The statistics of each text, array<double>."""
+
+    @F.arrow_udf("array<double>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([statistics(t) for t in texts.to_pylist()], pa.list_(pa.float64()))
+
+    return run(text)
+
+
+def _matrix(x: pa.Array) -> np.ndarray:
+    return np.array(x.flatten(), float).reshape(-1, STATISTICS)
+
+
+def score_of(x: Column, model: Model) -> Column:
+    """The probability of good quality, by a text's statistics."""
+
+    @F.arrow_udf("double")
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.array(model.score(_matrix(rows)), pa.float64())
+
+    return run(x)
+
+
+def _above(x: Column, model: Model, thresholds: np.ndarray) -> Column:
+    """How many of the (sorted) thresholds a text's score reaches."""
+
+    @F.arrow_udf("int")
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(thresholds, model.score(_matrix(rows)), side="right"), pa.int32())
+
+    return run(x)
+
+
+#: Quantiles of the bins' edges, denser in the tails.
+CUTS = [0.01, 0.03, 0.06, 0.1, 0.25, 0.5, 0.75, 0.9, 0.94, 0.97, 0.99]
+
+
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, x): the statistics of every document, written to the shared folder."""
+    return materialize(docs.select(F.col(id_col).alias("id"), measure(F.col(text_col)).alias("x")), "quality-statistics")
+
+
+def fit(measured: DataFrame, positive_ids: DataFrame, max_positive: int = 10_000, max_unlabelled: int = 20_000) -> Model:
+    """measured: what measured() gave of the documents. positive_ids: one column of the ids
+    of trusted positives."""
     first = lambda ids, n: ids.orderBy(F.xxhash64("id"), "id").limit(n)
-    named = lambda df: df.select(F.col(df.columns[0]).alias("id")).where("id is not null").distinct()
-    ids = first(named(positive_ids), max_positive).withColumn("p", F.lit(True)).unionByName(first(named(docs.select(id_col)), max_unlabelled).withColumn("p", F.lit(False)))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
-    got = rows.select("p", "text").mapInArrow(_measured(["p"]), "p boolean, x array<double>").toPandas()
+    known = lambda df: df.select(F.col(df.columns[0]).alias("id")).where("id is not null").distinct()
+    ids = first(known(positive_ids), max_positive).withColumn("p", F.lit(True)).unionByName(first(known(measured), max_unlabelled).withColumn("p", F.lit(False)))
+    seen = F.xxhash64("id", F.lit(1)) % 2 == 0  # what the first classifier learns from
+    got = measured.join(F.broadcast(ids), "id").groupBy("id", "p").agg(F.min("x").alias("x")).select("p", seen.alias("seen"), "x").toPandas()
     x = np.array(got["x"].tolist(), float).reshape(-1, STATISTICS)
-    mark = got["p"].to_numpy(bool)
     order = np.lexsort(x.T)  # one result whatever the order of rows
-    x, mark = x[order], mark[order]
-    return learn(x[mark], x[~mark])
+    x, p, seen_rows = x[order], got["p"].to_numpy(bool)[order], got["seen"].to_numpy(bool)[order]
+    if not p.any() or p.all():
+        return Model()
+    edges = measured.agg(*[F.percentile_approx(F.get("x", F.lit(j)), CUTS, 10_000).alias(f"q{j}") for j in range(STATISTICS)]).first()
+    edges = np.array([list(e) for e in edges], float)
+    prior = 0.5
+    if all((p == a)[seen_rows == b].any() for a in (True, False) for b in (True, False)):
+        model = tell_apart(edges, x[p & seen_rows], x[~p & seen_rows])
+        scores = np.sort(model.score(x[p & ~seen_rows]))
+        at = scores[: max(1, len(scores) // 20)]  # thresholds that at most one positive in 20 is below
+        above_p = 1 - np.searchsorted(scores, at) / len(scores)
+        counts = measured.where(F.col("id").isNotNull() & ~seen).groupBy(_above(F.col("x"), model, at).alias("n")).count().collect()
+        reached = np.zeros(len(at) + 1)
+        for r in counts:
+            reached[r["n"]] += r["count"]
+        above_u = (reached.sum() - np.cumsum(reached)[:-1]) / reached.sum()
+        prior = float(np.clip((above_u / above_p).min(), 0.05, 0.98))
+    return learn(edges, x[p], x[~p], prior)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "quality_score") -> DataFrame:
     """docs with the probability of good quality. A column of that name is replaced."""
-    from pyspark.sql import types as T
-
-    keep = [c for c in docs.columns if c != out_col]
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(out_col, T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([statistics(t) for t in batch.column(text_col).to_pylist()], float).reshape(-1, STATISTICS)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x), pa.float64())], [*keep, out_col])
-
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.withColumn(out_col, score_of(measure(F.col(text_col)), model))
 
 
 def positives(labels: DataFrame, train: Column) -> DataFrame:

@@ -3,14 +3,12 @@ parameters over its whole table."""
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, fingerprint, html_text, jaccard, packing, pii, pivot_topk, quality, sql, toxicity, url_filter
+from quarry.llm import bpe, fingerprint, html_text, jaccard, packing, pii, pipeline, pivot_topk, quality, sql, toxicity, url_filter
 from quarry.llm.common import fold, materialize, table
-
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+from quarry.llm.pipeline import TOKENIZER
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -37,10 +35,11 @@ def op3_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), fold(F.col("doc_id"), 5) == 0
-    model = quality.fit(docs, quality.positives(table(spark, sf_dir, "labels"), ~held_out))
-    rows = quality.score(docs, model)
-    return rows.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+    held_out = lambda c: fold(F.col(c), 5) == 0
+    measured = quality.measured(table(spark, sf_dir, "documents"))
+    model = quality.fit(measured, quality.positives(table(spark, sf_dir, "labels"), ~held_out("doc_id")))
+    rows = measured.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), quality.score_of(F.col("x"), model).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
 def op5_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +80,6 @@ def op10_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES = {
     "op1_pivot_topk": op1_pivot_topk,
     "op2_url_aliases": op2_url_aliases,
@@ -98,7 +91,7 @@ QUERIES = {
     "op8_jaccard_components": op8_jaccard_components,
     "op9_text_density": op9_text_density,
     "op10_hilbert_packing": op10_hilbert_packing,
-    "pipeline": pipeline,
+    "pipeline": pipeline.run,
 }
 
 SQL: dict[str, str] = {"op1_pivot_topk": sql.TOP_K, "op8_jaccard_components": sql.JACCARD_COMPONENTS}
