@@ -1,76 +1,6 @@
-"""The corpus pipeline: documents in, packed training sequences out.
+"""The corpus pipeline, see quarry.llm.pipeline: STAGES, run(spark, sf_dir) over documents,
+and ORACLE_SQL."""
 
-STAGES are applied in order. Each takes the documents that the one before kept, and all
-but the last return the columns of documents. A document whose stage would meet nulls
-or empty texts is treated as that stage's operator says; none is dropped for being
-empty."""
+from quarry.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from quarry.llm import jaccard, packing, pii, quality, toxicity
-from quarry.llm.common import fold, materialize, table
-from quarry.llm.queries import TOKENIZER
-
-#: Documents scored below are rejected, as are those at or above for toxicity.
-LEAST_QUALITY, LEAST_TOXIC = 0.3, 0.3
-
-
-def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
-    trusted = quality.positives(table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
-    scored = quality.score(docs, quality.fit(docs, trusted), out_col="_quality_score")
-    return scored.where(F.col("_quality_score") >= LEAST_QUALITY).select(docs.columns)
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not reject."""
-    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 4) != 2).select("doc_id", "toxic")
-    scored = toxicity.score(docs, toxicity.fit(docs, labels), out_col="_toxic_score")
-    return scored.where(F.col("_toxic_score") < LEAST_TOXIC).select(docs.columns)
-
-
-def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, 0.8 alike) the document of
-    the least id; a null id stays."""
-    groups = materialize(jaccard.jaccard_components(docs.select("doc_id", "text"), shingle=5, similarity=80).select("doc_id", "component_id"), "pipeline-groups")
-    gone = groups.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-
-
-def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind in brackets; n_chars follows."""
-    found = materialize(pii.candidates(docs, out_col="_candidates"), "pipeline-candidates")
-    text = pii.redact(F.coalesce("text", F.lit("")), F.col("_spans"))
-    rows = found.withColumn("_spans", pii.spans(pii.fit(found, "_candidates"), "_candidates"))
-    rows = rows.withColumn("text", F.when(F.size("_spans") > 0, text).otherwise(F.col("text")))
-    rows = rows.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(docs.columns)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
-    pieces = packing.pack(docs.select("doc_id", "text"), TOKENIZER)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
-
-
-STAGES = [
-    ("quality", keep_quality),
-    ("toxicity", drop_toxic),
-    ("near_duplicates", one_of_each_group),
-    ("personal_data", redact_personal),
-    ("packing", pack),
-]
-
-#: The stages learn models and walk graphs, which SQL cannot express.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
