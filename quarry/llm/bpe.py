@@ -203,27 +203,26 @@ class PrefixTrie:
 
 
 class _Chunks(dict):
-    """Packed ids by chunk; notes the chunks that it was asked for and did not hold.
-    When it is full its content becomes the old one, out of which chunks that are met
-    again come back; those that are not are forgotten the next time."""
+    """Packed ids by chunk. When it is full its content becomes the old one, out of which
+    chunks that are met again come back; those that are not are forgotten the next time."""
 
     def __init__(self):
         super().__init__()
-        self.unknown: set[str] = set()
         self.old: dict[str, bytes] = {}
 
-    def __missing__(self, chunk: str) -> bytes | None:
-        ids = self.old.get(chunk)
-        if ids is None:
-            self.unknown.add(chunk)
-        else:
-            self[chunk] = ids
-        return ids
-
     def turn(self) -> None:
         self.old = dict(self)
         self.clear()
 
+    def unknown(self, chunks: set[str]) -> set[str]:
+        """Those that are neither here nor among the old ones, which come back."""
+        new = chunks - self.keys()
+        if self.old:
+            back = new & self.old.keys()
+            self.update(zip(back, map(self.old.__getitem__, back)))
+            new -= back
+        return new
+
 
 def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
@@ -265,13 +264,13 @@ class Codec:
     def _learn(self, new: set[str]) -> None:
         """Ids of chunks (texts without white space)."""
         known = self.chunks
-        split = {c: [c] if c.isalpha() else _WORDS.findall(c) for c in new}
-        words = {w for ws in split.values() for w in ws if w in new or w not in known}
+        mixed = {c: _WORDS.findall(c) for c in new if not c.isalpha()}
+        words = new - mixed.keys()
+        words |= known.unknown({w for ws in mixed.values() for w in ws} - words)
         symbols = {w: self._symbols(w) for w in words}
         ids = self._encode_words(list(symbols.values()))
-        packed = {w: ids[s] for w, s in symbols.items()}
-        for c, ws in split.items():
-            known[c] = packed[c] if len(ws) == 1 else b"".join([packed[w] if w in packed else known[w] for w in ws])
+        known.update((w, ids[s]) for w, s in symbols.items())
+        known.update((c, b"".join(map(known.__getitem__, ws))) for c, ws in mixed.items())
 
     def _encode_unusual(self, text: str) -> bytes:
         out, at = [], 0
@@ -299,8 +298,7 @@ class Codec:
         yield from self._encode_group(group)
 
     def _encode_group(self, texts: list[str]) -> list[bytes]:
-        """Chunks that are not known yet are noted while the others are looked up;
-        they go through the trie together. Python's search for cycles, which would walk
+        """Chunks that are not known yet are encoded together. Python's search for cycles, which would walk
         all of these again and again, rests meanwhile."""
         resting = gc.isenabled()
         gc.disable()
@@ -313,21 +311,10 @@ class Codec:
     def _encode_all(self, texts: list[str]) -> list[bytes]:
         if len(self.chunks) > MAX_CHUNKS // 2:
             self.chunks.turn()
-        known, look = self.chunks, self.chunks.__getitem__
         split = [None if "<|" in t or _UNUSUAL.search(t) else t.lower().split() for t in texts]
-        found = [None if words is None else list(map(look, words)) for words in split]
-        if known.unknown:
-            self._learn(known.unknown)
-            known.unknown = set()
-        out = []
-        for text, words, got in zip(texts, split, found):
-            if words is None:
-                out.append(self._encode_unusual(text))
-                continue
-            if None in got:
-                got = [x if x is not None else look(w) for x, w in zip(got, words)]
-            out.append(b"".join(got))
-        return out
+        self._learn(self.chunks.unknown(set().union(*(words for words in split if words))))
+        look = self.chunks.__getitem__
+        return [self._encode_unusual(t) if words is None else b"".join(map(look, words)) for t, words in zip(texts, split)]
 
     @staticmethod
     def pack(ids: list[int]) -> bytes:

@@ -38,3 +38,23 @@ def test_odd_documents(spark):
         if name != "quality":  # it may judge such texts as it likes
             stage(spark, docs, SF).collect()
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_one_document_of_each_group(spark):
+    one = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, one, 1), (3, one, 2), (4, one + " more", 3), (9, "another text of a few words", 4), (9, "and a second of this id", 5), (None, one, 6), (7, None, 7), (7, None, 8), (8, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
+    got = cp.STAGES[2][1](spark, docs, SF)
+    assert got.schema == docs.schema
+    kept = sorted((r.doc_id or 0, r.text or "") for r in got.collect())
+    assert kept == [(0, one), (3, one), (7, ""), (8, ""), (9, "and a second of this id")]
+
+
+def test_columns_of_the_stages_names_stay(spark):
+    names = ["_score", "_candidates", "_spans", "component_id", "label", "count", "row"]
+    rows = [(i, f"Some fine words to keep, number {i}, written to a@mail.com by hand.", "en", "s", 5, *[i] * len(names)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for name, stage in cp.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.schema == docs.schema, name
+        assert all(r[n] == r.doc_id for r in got.collect() for n in names)
