@@ -304,12 +304,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, similarity: int = 80,
     classes = materialize(classes.select("h1", "h2", F.col("r.id").alias("rep"), F.col("r.t").alias("t"), "n", F.concat_ws(" ", "h1", "h2").alias("name")), "jaccard-classes")
     copies = sums.join(classes.select("h1", "h2", "rep", F.col("t").alias("rep_t")), ["h1", "h2"]).where("id <> rep or t <> rep_t")
     copies = materialize(copies.select("id", "t").distinct(), "jaccard-copies")
-    keyed = rows.where("id is not null").join(_small(copies), ["id", "t"], "left_anti").mapInArrow(_keys(shingle, similarity), "id long, band int, need int, keys array<long>")
-    # Keys of more than one class, once for each class.
-    alike = Window.partitionBy("key")
-    keyed = keyed.select("id", "need", "band", F.explode("keys").alias("key"))
-    keyed = keyed.withColumns({"first": F.min("id").over(alike), "last": F.max("id").over(alike)}).where("first < last")
-    keyed = materialize(keyed.select("id", "band", "need", "key").distinct(), "jaccard-keys")
+    reps = rows.where("id is not null").join(_small(copies), ["id", "t"], "left_anti")
+    keyed = materialize(_shared_keys(reps, _keys(shingle, similarity)).distinct(), "jaccard-keys")
     enough = materialize(keyed.groupBy("id", "band").agg(F.count("*").alias("c"), F.min("need").alias("need")).where("c >= need").select("id", "band"), "jaccard-enough")
     left = keyed.join(_small(enough), ["id", "band"]).select("id", "key")
     shared = materialize(left.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("key", "head"), "jaccard-shared")
@@ -328,10 +324,11 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, similarity: int = 80,
     placed = members.join(materialize(size, "jaccard-sizes"), "grp")
     own = F.pmod(F.xxhash64("name"), F.col("blocks"))
     pivot = F.pmod(F.xxhash64("name", F.lit(1)), F.ceil(F.col("rows") / pivots)) == 0
-    placed = placed.select("id", "t", "name", "grp", "blocks", "n", F.when((F.col("blocks") > 1) & pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own)).alias("cells"))
-    placed = materialize(placed, "jaccard-placed")
+    placed = materialize(placed.select("id", "t", "name", "grp", "blocks", "n", own.alias("own"), ((F.col("blocks") > 1) & pivot).alias("pivot")), "jaccard-placed")
     compare = _compare(shingle, similarity)
-    cells = rows.join(_small(placed), ["id", "t"]).select("grp", F.explode("cells").alias("cell"), "text", F.lit(None).cast("string").alias("label"))
+    in_cells = F.when(F.col("pivot"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own"))
+    here = _small(placed.select("id", "t", "grp", "blocks", "own", "pivot"))
+    cells = rows.join(here, ["id", "t"]).select("grp", F.explode(in_cells).alias("cell"), "text", F.lit(None).cast("string").alias("label"))
     links = materialize(cells.groupBy("grp", "cell").applyInPandas(compare, "a string, b string").where("a <> b"), "jaccard-links")
 
     if placed.where("blocks > 1").limit(1).count():
@@ -354,9 +351,27 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, similarity: int = 80,
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component_id"))
 
 
+def _shared_keys(reps: DataFrame, keys, one_in: int = 128, hot: int = 64) -> DataFrame:
+    """(id, band, need, key) of the keys that more than one class has.
+
+    A window over the key tells them apart with one shuffle. Keys that very many classes
+    share are dealt out by class as well: those that occur `hot` times and in two classes
+    among one text in one_in, by a hash of the id, are known to be shared. All others are
+    decided by the window, whose groups are thereby short."""
+    emitted = lambda rows: rows.mapInArrow(keys, "id long, band int, need int, keys array<long>").select("id", "band", "need", F.explode("keys").alias("key"))
+    some = emitted(reps.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0))
+    often = some.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("first"), F.max("id").alias("last"))
+    often = materialize(often.where(f"c >= {hot} and first < last").select("key", F.lit(True).alias("often")), "jaccard-often")
+    rows = emitted(reps)
+    rows = rows.join(_small(often), "key", "left") if often.limit(1).count() else rows.withColumn("often", F.lit(None).cast("boolean"))
+    alike = Window.partitionBy("key", F.when(F.col("often"), F.col("id")))
+    rows = rows.withColumns({"first": F.min("id").over(alike), "last": F.max("id").over(alike)})
+    return rows.where("often or first < last").select("id", "band", "need", "key")
+
+
 def _small(written: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """Marked for broadcast if it has few rows (here of some dozen bytes each); larger
-    ones are shuffled."""
+    """Marked for broadcast if it has few rows (here of numbers and a digest or two, under
+    150 bytes each); larger ones are shuffled."""
     return F.broadcast(written) if written.limit(rows + 1).count() <= rows else written
 
 
@@ -377,6 +392,6 @@ def _across_blocks(placed: DataFrame, rows: DataFrame, links: DataFrame, compare
     as_x = F.transform(F.sequence(F.col("i"), F.col("rest") + F.col("mains") - 1), lambda y: F.struct(F.col("i").alias("x"), y.cast("long").alias("y")))
     as_y = F.transform(F.sequence(F.lit(0).cast("long"), F.least(F.col("i"), F.col("rest")) - 1), lambda x: F.struct(x.cast("long").alias("x"), F.col("i").alias("y")))
     pairs = F.when(F.col("main"), as_y).when(F.col("i") == 0, as_x).otherwise(F.concat(as_x, as_y))
-    large = materialize(large.select("id", "t", "grp", "label", pairs.alias("cells")), "jaccard-pairs")
-    cells = rows.join(_small(large), ["id", "t"]).select("grp", F.explode("cells").alias("cell"), "text", "label")
+    large = materialize(large.select("id", "t", "grp", "label", "main", "i", "rest", "mains"), "jaccard-pairs")
+    cells = rows.join(_small(large), ["id", "t"]).select("grp", F.explode(pairs).alias("cell"), "text", "label")
     return materialize(cells.groupBy("grp", "cell").applyInPandas(compare, "a string, b string").where("a <> b"), "jaccard-links2")

@@ -68,6 +68,23 @@ def test_several_texts_of_one_id(spark, limits):
     assert sorted(tuple(r) for r in jaccard_components(docs, 3, 90, **limits).collect()) == sorted(want)
 
 
+def test_hot_keys_are_dealt_out(spark):
+    """A key of many classes is kept without the window, and no other key with it."""
+    from quarry.llm import jaccard
+
+    made = {f"t{i}": ([7, 100 + i % 50] if i % 2 else [7, 1000 + i]) for i in range(400)}
+
+    def keys(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            yield jaccard._key_batch([int(t[1:]) for t in texts], [1] * len(texts), [0] * len(texts), [np.array(made[t], np.uint64) for t in texts], range(0, 2 * len(texts) + 1, 2))
+
+    rows = spark.createDataFrame([(i, i, f"t{i}") for i in range(400)], "id long, t long, text string")
+    want = sorted((i, 1, 0, k) for i in range(400) for k in made[f"t{i}"] if k < 1000)
+    for one_in, hot in ((1, 64), (2, 16), (1, 2), (1, 10**6)):
+        assert sorted(map(tuple, jaccard._shared_keys(rows, keys, one_in, hot).collect())) == want
+
+
 def test_keys_meet_whenever_sets_link():
     rng, bands = np.random.default_rng(0), Bands(90)
     for n in (10, 19, 20, 57, 300, 1500):
