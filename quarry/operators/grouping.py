@@ -1,10 +1,13 @@
-"""Groups of rows: the first few of each, and runs without a long gap."""
+"""Groups of rows: the first few of each, places in large ones, and runs without a long
+gap."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.sources.shared import materialize
+
 
 def first_of_each(df: DataFrame, by: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first n rows of each group, with their rank from 1. Spark keeps n rows of a
@@ -18,3 +21,24 @@ def sessions(df: DataFrame, by: str, time: str, gap_seconds: int) -> DataFrame:
     at = F.col(time).cast("timestamp")
     grouped = df.groupBy(by, F.session_window(at, f"{gap_seconds} seconds").alias("w")).agg(F.count("*").alias("rows"), F.max(at).alias("ended"))
     return grouped.select(by, F.col("w.start").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "rows")
+
+
+def places(df: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """df with _row, _rank, _dense (from 1) and _upto, the number of rows up to and with
+    the row's equals, by `order` within the group, and _rows, the group's size.
+
+    A group need not fit into one task: rows are sorted by range over group and order,
+    counted within each range, and lifted by the counts of the group's ranges before, from
+    a table with one row for each group and range. Equal rows lie in one range."""
+    spark = df.sparkSession
+    number = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(df.repartitionByRange(number, by, *order).withColumn("_range", F.spark_partition_id()), "places")
+    w = Window.partitionBy("_range", by).orderBy(*order)
+    local = dealt.withColumns({"_row": F.row_number().over(w), "_rank": F.rank().over(w), "_dense": F.dense_rank().over(w), "_upto": F.count("*").over(w)})
+    sizes = dealt.groupBy("_range", by).agg(F.count("*").alias("n"), F.count_distinct(F.struct(*order)).alias("d"))
+    before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    lifts = sizes.select(F.col("_range").alias("_r"), F.col(by).alias("_by"), zero("n").alias("_n"), zero("d").alias("_d"), F.sum("n").over(Window.partitionBy(by)).alias("_rows"))
+    out = local.join(lifts, (F.col("_range") == F.col("_r")) & F.col(by).eqNullSafe(F.col("_by")))
+    lifted = {"_row": "_n", "_rank": "_n", "_dense": "_d", "_upto": "_n"}
+    return out.select(*df.columns, *[(F.col(c) + F.col(by_)).alias(c) for c, by_ in lifted.items()], "_rows")

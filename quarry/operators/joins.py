@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 def as_of_join(left: DataFrame, right: DataFrame, by: str, time: str, values: list[str], span_seconds: int = 86_400) -> DataFrame:
     """left with, for each row, the values of right's latest row of the same `by` at or
     before `time`; null where there is none. Of right's rows at one time the greatest
-    values count.
+    values count. Columns of left that are named like a value are replaced. Names that
+    begin with `_` and are used here (_by, _at, _v, _span, _side) must not occur in left.
 
     Both sides are dealt by key and span of time, so that a key with very many rows is
     many groups. A row whose span has nothing earlier takes the last values of the
     nearest span before, from a table with one row for each key and span."""
+    clash = {"_by", "_at", "_v", "_span", "_side"} & {c.lower() for c in left.columns}
+    if clash:
+        raise ValueError(f"left has columns named {sorted(clash)}")
     marked = F.struct(*[F.col(v) for v in values])
     span = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / span_seconds)
     right = right.select(F.col(by).alias("_by"), F.col(time).alias("_at"), marked.alias("_v")).withColumn("_span", span("_at")).where("_by is not null and _at is not null")
@@ -27,12 +31,12 @@ def as_of_join(left: DataFrame, right: DataFrame, by: str, time: str, values: li
     before = Window.partitionBy("_by").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select("_by", "_span", F.last("_last", ignorenulls=True).over(before)["_v"].alias("_before"))
     out = found.join(spans, ["_by", "_span"], "left").withColumn("_v", F.coalesce("_v", "_before"))
-    return out.select(*left.columns, *[F.col("_v")[v].alias(v) for v in values])
+    return out.select(*[c for c in left.columns if c not in values], *[F.col("_v")[v].alias(v) for v in values])
 
 
 def within_join(left: DataFrame, right: DataFrame, by: str, time: str, seconds: int, prefix: str = "next_") -> DataFrame:
     """Pairs of a left row and a right row of the same `by` that is up to `seconds`
-    later. The right side's columns get the prefix.
+    later. The right side's columns get the prefix; left may not have such names, nor _span.
 
     Time is cut into spans of that length: a left row meets its own span and the next,
     so the join is an equi-join with a filter."""
