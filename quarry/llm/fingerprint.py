@@ -3,14 +3,19 @@
 The sketch of a text holds every hash of its word shingles below a fixed fraction of
 the hash range, and the least hash if there is none such. A sketch grows with its text,
 so those of very unequal texts still compare: the share of one sketch's hashes that
-the other holds estimates containment. Sketches merge by union.
+the other holds estimates containment. Sketches merge: the union's hashes below the
+fraction, or its least one if there is none such, are the sketch of both texts' shingles
+together. Shingles across the border of two texts are in none of their sketches.
 
 A shingle is `words` words in a row (of fewer, the whole text is one); words are what
-white space separates, A-Z lower-cased.
+white space separates, in lower case.
 
 Edge cases: null text counts as empty. Texts without words have the empty sketch; the
 likeness of two empty sketches is 1, of one and a not empty one 0. Equal texts have
-equal sketches. Texts are taken whole.
+equal sketches. Texts are taken whole, however long. Rows of a null id have no next one;
+of several rows of one id the next is that of the next text, then of the next id. Columns
+beside the id and the text are ignored by fingerprints() and kept by with_next(), whatever
+their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import materialize, unused
 
 HASH_BITS = 48
 
@@ -31,13 +36,17 @@ def sketch(text: Column, words: int = 5, one_in: int = 8) -> Column:
     def of(h: Column) -> Column:
         last = F.greatest(F.size(h) - words, F.lit(0))
         every = F.transform(F.sequence(F.lit(0), last), lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(h, i + j) for j in range(words)]), 64 - HASH_BITS))
-        kept = lambda a: F.when(F.exists(a, low), F.filter(a, low)).otherwise(F.array(F.array_min(a)))
-        low = lambda x: x < (1 << HASH_BITS) // one_in
-        return F.when(F.size(h) > 0, F.array_sort(F.array_distinct(_with(every, kept)))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(h) > 0, F.array_sort(F.array_distinct(_with(every, lambda a: _retained(a, one_in))))).otherwise(F.array().cast("array<bigint>"))
 
     return _with(hashes, of)
 
 
+def _retained(hashes: Column, one_in: int) -> Column:
+    """Those below the fraction, or the least of some if none is."""
+    low = lambda x: x < (1 << HASH_BITS) // one_in
+    return F.when(F.exists(hashes, low), F.filter(hashes, low)).otherwise(F.slice(F.array_sort(hashes), 1, 1))
+
+
 def _with(value: Column, body) -> Column:
     """body(value) with value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -60,9 +69,9 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
-def merge(a: Column, b: Column) -> Column:
-    """The sketch of two texts together."""
-    return F.array_sort(F.array_union(a, b))
+def merge(a: Column, b: Column, one_in: int = 8) -> Column:
+    """The sketch of two texts' shingles together, from sketches of the same fraction."""
+    return F.array_sort(_with(F.array_union(a, b), lambda x: _retained(x, one_in)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, one_in: int = 8) -> DataFrame:
@@ -102,16 +111,17 @@ def with_next(rows: DataFrame, columns: list[str], shift: int = 11, broadcast_ro
     if not heads.limit(1).count():
         return rows.select("*", *[F.lit(None).cast(rows.schema[c].dataType).alias(f"next_{c}") for c in columns])
     ends = heads.agg(F.max("bucket").alias("top"), F.min("head").alias("first"), F.count("*").alias("n")).first()
-    marks = heads.select(F.col("head").alias("id"), F.coalesce("before", F.lit(ends["top"])).alias("before"))
+    bucket, extra, at, before, place = (unused(rows, f"_{n}") for n in ("bucket", "extra", "at", "before", "place"))
+    marks = heads.select(F.col("head").alias("id"), F.coalesce("before", F.lit(ends["top"])).alias(before))
     marks = F.broadcast(marks) if ends["n"] <= broadcast_rows else marks
-    own = F.struct(F.shiftright("id", shift).alias("bucket"), F.lit(False).alias("extra"), F.col("id").alias("at"))
+    fields = lambda b, e, i: F.struct(b.alias(bucket), F.lit(e).alias(extra), i.alias(at))
+    own = fields(F.shiftright("id", shift), False, F.col("id"))
     # After the last id of all comes the first: there it sorts behind every other.
-    ahead = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("extra"), F.lit((1 << 63) - 1).cast("long").alias("at"))
-    dealt = rows.where("id is not null").join(marks, "id", "left").withColumn("place", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, ahead)))).select("*", "place.*").drop("place", "before")
-    order = [F.col("extra"), F.col("at"), *[F.col(c) for c in columns]]
-    w = Window.partitionBy("bucket").orderBy(*order)
+    ahead = fields(F.col(before), True, F.lit((1 << 63) - 1).cast("long"))
+    dealt = rows.where("id is not null").join(marks, "id", "left").withColumn(place, F.explode(F.when(F.col(before).isNull(), F.array(own)).otherwise(F.array(own, ahead)))).select("*", f"{place}.*").drop(place, before)
+    w = Window.partitionBy(bucket).orderBy(extra, at, *columns)
     ahead_of = {f"next_{c}": F.lead(c).over(w) for c in columns}
-    out = dealt.withColumns(ahead_of).where("not extra").drop("bucket", "extra", "at")
+    out = dealt.withColumns(ahead_of).where(~F.col(extra)).drop(bucket, extra, at)
     return out.unionByName(rows.where("id is null"), allowMissingColumns=True)
 
 

@@ -223,7 +223,8 @@ class SignatureTree:
     def possible(self, level: int, a: range, b: range) -> np.ndarray:
         """Which pairs of nodes may hold a link: greatest overlap against least need."""
         ma, mb = slice(a.start, a.stop), slice(b.start, b.stop)
-        common = np.bitwise_count(self.maps[level][ma][:, None, :] & self.maps[level][mb][None, :, :]).sum(axis=2, dtype=np.int64)
+        right = self.maps[level][mb]  # row by row, since bitmaps may be wide
+        common = np.array([np.bitwise_count(row & right).sum(axis=1, dtype=np.int64) for row in self.maps[level][ma]])
         more = np.minimum(self.excess[level][ma][:, None], self.excess[level][mb][None, :])
         most = np.minimum(common + more, np.minimum(self.high[level][ma][:, None], self.high[level][mb][None, :]))
         la, lb = self.low[level][ma][:, None], self.low[level][mb][None, :]

@@ -5,15 +5,18 @@ their check (octets, Luhn, number of digits) are no base spans. The method may a
 spans: candidates are the failing matches and looser patterns (emails and phone numbers
 written in other ways). Labelers vote on every candidate: shape (regex), validity,
 gazetteer (issuers, top domains, area prefixes), context words before it, and what it
-is set off by. Candidates with the same votes are counted together, over all documents;
-from these counts, whose number is bounded by the number of vote patterns,
-expectation-maximisation estimates each labeler's reliability, base spans being known
-to be true, and a logistic span classifier is fitted to the estimated labels. It is
-applied to all candidates as a column expression.
+is set off by. A labeler that has nothing to say abstains (0). Candidates with the same
+votes are counted together, over all documents; from these counts, whose number is bounded
+by the number of vote patterns, expectation-maximisation estimates each labeler's
+reliability within each kind, base spans being known to be true, with what all kinds
+together tell of the labeler as the prior. No labeler is trusted more than another from the
+start, and what is only held to be true weighs no more than the base spans of its kind. A logistic span classifier is fitted to the estimated labels and applied to all
+candidates as a column expression.
 
 Positions count code points; ends are exclusive.
 
-Edge cases: null text counts as empty. A document without candidates has no spans.
+Edge cases: null text counts as empty. The given columns stay, but for one of the name of
+the candidates, which is replaced. A document without candidates has no spans.
 Without any candidate at all, no span is added. Texts are taken whole. The patterns
 are written so that Java's matcher neither recurses on long matches nor tries a run
 of characters from each of its places. Repeated rows give repeated results.
@@ -53,7 +56,7 @@ LISTED = {
     "card": r"^(4|5[1-5]|2[2-7]|3[47]|6011|65|35)",
     "phone": r"^(\+(1|33|34|44|49|39|7|8[126]|9[0158])|\(?[2-9][0-9]{2})",
 }
-SHAPE = {"email": r"^[A-Za-z0-9][^ ]*[A-Za-z]$", "ip": r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$", "card": r"^([0-9]{16}|[0-9]{15}|[0-9]{4}([ -][0-9]{4}){3})$", "phone": r"^(\+[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ .-]?[0-9]{2,4}[ .-]?[0-9]{2,4}"}
+SHAPE = {"email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]* ?[@(\[][^@]*[A-Za-z]$", "ip": r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$", "card": r"^([0-9]{16}|[0-9]{15}|[0-9]{4}([ -][0-9]{4}){3})$", "phone": r"^(\+[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ .-]?[0-9]{2,4}[ .-]?[0-9]{2,4}"}
 NEAR = {
     "email": r"(?i)\b(e-?mail|mail|contact|write|correo|courriel)\b",
     "ip": r"(?i)\b(ip|address|host|server|adresse|direcci)",
@@ -127,7 +130,7 @@ def luhn(digits: Column) -> Column:
 
 def _valid(kind: str, x: Column) -> Column:
     if kind == "email":
-        return F.lit(True)
+        return F.lit(True)  # there is nothing to check
     if kind == "ip":
         short = F.transform(F.split(x, r"\."), lambda p: F.regexp_replace(p, "^0+(?=[0-9])", ""))
         return F.forall(short, lambda p: (F.length(p) <= 3) & (F.lpad(p, 3, "0") <= "255"))
@@ -159,7 +162,7 @@ def candidates(docs: DataFrame, text_col: str = "text", out_col: str = "candidat
                 x["end"].alias("end"),
                 (ok if base else F.lit(False)).alias("base"),
                 vote(x["text"].rlike(SHAPE[kind])).alias("shape"),
-                vote(ok).alias("valid"),
+                (F.lit(0) if kind == "email" else vote(ok)).alias("valid"),
                 F.when(x["text"].rlike(LISTED[kind]), 1).otherwise(0).alias("listed"),
                 F.when(x["before"].rlike(NEAR[kind]), 1).otherwise(0).alias("near"),
                 vote(~lead.rlike(r"[\p{L}\p{N}_=\"]") & ~x["after"].rlike(r"[\p{L}\p{N}_\"]")).alias("apart"),
@@ -193,24 +196,26 @@ def fit(rows: DataFrame, col: str = "candidates", rounds: int = 50) -> dict:
     votes = np.array([[r[v] + 1 for v in LABELERS] for r in counts])
     size = np.array([r["size"] for r in counts])
     n = np.array([r["count"] for r in counts], float)
-    # Votes are taken to be right rather than wrong at the start, as pseudo-counts.
+    # Votes are taken to be right rather than wrong, as pseudo-counts.
     lean = np.repeat(np.array([[[4.0, 2.0, 1.0], [1.0, 2.0, 4.0]]]), len(LABELERS), 0)  # by labeler and class: votes -1, 0, 1
-    lean[LABELERS.index("valid"), 1] = [0.05, 0.05, 20.0]  # true data hardly ever fails its check
-    table = np.repeat((lean / lean.sum(2, keepdims=True))[None], len(KINDS), 0)
-    prior = np.full(len(KINDS), 0.2)
+    p = np.where(base, 1.0, 0.2)
     for _ in range(rounds):
-        log = np.log(np.stack([1 - prior[kind], prior[kind]], 1))
-        for j in range(len(LABELERS)):
-            log += np.log(table[kind, j, :, votes[:, j]])
-        p = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
-        p = np.where(base, 1.0, p)
+        prior, seen = np.zeros(len(KINDS)), np.zeros((len(KINDS), *lean.shape))
         for k in range(len(KINDS)):
-            rest = (kind == k) & ~base
+            own, rest = kind == k, (kind == k) & ~base
             prior[k] = (1 + (n * p)[rest].sum()) / (5 + n[rest].sum())
+            # What is only held to be true weighs no more than what is known to be.
+            trust = min(1.0, n[own & base].sum() / max(1e-9, (n * p)[rest].sum()))
             for j in range(len(LABELERS)):
-                for c, share in ((0, 1 - p), (1, p)):
-                    got = np.array([(n * share)[(kind == k) & (votes[:, j] == v)].sum() for v in range(3)]) + lean[j, c]
-                    table[k, j, c] = got / got.sum()
+                seen[k, j, 0] = np.bincount(votes[own, j], (n * (1 - p))[own], 3)
+                seen[k, j, 1] = np.bincount(votes[own, j], (n * np.where(base, 1.0, p * trust))[own], 3)
+        every = seen.sum(axis=0) + lean  # all kinds, which a kind's own votes outweigh
+        table = seen + lean.sum(axis=2, keepdims=True) * every / every.sum(axis=2, keepdims=True)
+        table /= table.sum(axis=3, keepdims=True)
+        log = np.log(np.stack([1 - prior[kind], prior[kind]], 1))
+        for j in range(len(LABELERS)):
+            log += np.log(table[kind, j, :, votes[:, j]])
+        p = np.where(base, 1.0, 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50))))
     x = _features(kind, votes, size)
     w = np.zeros(x.shape[1])
     rows_w = n / n.max() + 1e-3

@@ -10,16 +10,19 @@ The stated queries meet all rows in a grid of cells, each of a block of queries
 block of candidates, both of bounded size; a query's best k of each cell then meet in
 a last ranking, k rows per cell.
 
+How many are skipped depends on the vectors: of clustered ones most, of directions without
+clusters in many dimensions few, since all of them are about equally far apart.
+
 Edge cases: vectors that are null or hold null or non-finite components take no part.
 Only vectors of one length are compared. A query's own id is never a candidate, however
 often it occurs; other repeated rows count each. Ties go to the smaller id. A query
-without candidates gives no rows. Null ids take no part.
+without candidates gives no rows. Null ids take no part. Scores are exact; components and
+scores that do not fit into a long are held at its ends. Other columns are ignored,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -35,54 +38,80 @@ def whole_numbers(vector: Column, scale: int = 256) -> Column:
     return F.when(vector.isNotNull() & ~bad, F.transform(x, lambda v: F.floor(v * scale)))
 
 
-def _cell(k: int, pivots: dict[int, np.ndarray]):
+LONG = (1 << 63) - 1
+
+
+class Cell:
+    """Candidates of one length with their distances to the pivots."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, pivots: np.ndarray):
+        self.ids, self.whole, self.v = ids, v, v.astype(np.float64)
+        self.pivots = pivots.astype(np.float64)
+        self.norm, self.far = (self.v * self.v).sum(axis=1), self._far(self.v)
+        self.evaluated = 0
+
+    def _far(self, x: np.ndarray) -> np.ndarray:
+        """Distances from each row of x to each pivot, in slices."""
+        parts = np.array_split(x, max(1, len(x) * self.pivots.shape[1] * len(self.pivots) // (1 << 22)))
+        return np.concatenate([np.sqrt(((p[:, None, :] - self.pivots[None]) ** 2).sum(axis=2)) for p in parts])
+
+    def _scores(self, at: np.ndarray, x: np.ndarray, exact: bool) -> list[int]:
+        self.evaluated += len(at)
+        if exact:
+            return (self.v[at] @ x).astype(np.int64).tolist()
+        return [max(-LONG - 1, min(LONG, sum(int(a) * int(b) for a, b in zip(self.whole[i], x)))) for i in at]
+
+    def best(self, query: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """The k best of one query, as (-score, id). Candidates go by their bound; none is
+        left out whose bound reaches the k-th score, rounding allowed for."""
+        x = q.astype(np.float64)
+        norm = x @ x
+        exact = np.abs(x).max() * np.abs(self.v).max() * len(x) < 1 << 53
+        apart = np.abs(self.far - self._far(x[None])).max(axis=1)
+        bound = (self.norm + norm - apart * apart) / 2 + 1e-9 * (self.norm + norm)
+        left = np.flatnonzero(self.ids != query)
+        best: list[tuple[int, int]] = []
+        step = 4 * k
+        while len(left):
+            if len(left) > step:
+                order = np.argpartition(-bound[left], step)
+                part, left = left[order[:step]], left[order[step:]]
+            else:
+                part, left = left, left[:0]
+            best = sorted([*best, *zip((-s for s in self._scores(part, x if exact else q, exact)), self.ids[part].tolist())])[:k]
+            if len(best) == k:
+                left = left[bound[left] >= -best[-1][0]]
+            step *= 4
+        return best
+
+
+def _compare(k: int, pivots: dict[int, np.ndarray]):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = pdf[pdf["is_query"]]
-        rows = pdf[~pdf["is_query"]]
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        if not len(asks) or not len(rows):
-            return empty
-        q, v = np.array(asks["v"].tolist(), np.int64), np.array(rows["v"].tolist(), np.int64)
-        ids = rows["id"].to_numpy(np.int64)
-        pivot = pivots[v.shape[1]]
-        far = lambda x: np.sqrt(((x[:, None, :] - pivot[None]) ** 2).sum(axis=2, dtype=np.float64))
-        to_v = np.concatenate([far(x) for x in np.array_split(v, max(1, len(v) // 256))])
-        norm_v = (v * v).sum(axis=1)
+        asks, rows = pdf[pdf["is_query"]], pdf[~pdf["is_query"]]
         out = []
-        for qid, x in zip(asks["id"].to_numpy(np.int64), q):
-            apart = np.abs(to_v - far(x[None])).max(axis=1) * (1 - 1e-9) - 1e-6
-            bound = (norm_v + (x * x).sum() - np.maximum(apart, 0) ** 2) / 2
-            order = np.argsort(-bound, kind="stable")
-            best: list[tuple[int, int]] = []
-            at, step = 0, 64
-            while at < len(order):
-                if len(best) == k and bound[order[at]] < -best[-1][0]:
-                    break
-                part = order[at : at + step]
-                part_ids, scores = ids[part], v[part] @ x
-                ok = part_ids != qid
-                if len(best) == k:
-                    ok &= scores >= -best[-1][0]
-                best = sorted([*best, *zip((-scores[ok]).tolist(), part_ids[ok].tolist())])[:k]
-                at, step = at + step, min(step * 2, 1024)
-            out += [(qid, i, -s) for s, i in best]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64") if out else empty
+        if len(asks) and len(rows):
+            cell = Cell(rows["id"].to_numpy(np.int64), np.stack(rows["v"].to_list()), pivots[key[0]])
+            for query, q in zip(asks["id"].tolist(), asks["v"]):
+                out += [(query, i, -s) for s, i in cell.best(query, q, k)]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, number_pivots: int = 64, query_block: int = 1024, row_block: int = 8192) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, number_pivots: int = 128, query_block: int = 8192, row_block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the k greatest inner products of each query."""
     v = vectors.select(F.col(id_col).cast("long").alias("id"), whole_numbers(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where("id is not null and v is not null and size(v) > 0")
     v = materialize(v.withColumn("dim", F.size("v")), "topk-vectors")
     counts = {r["dim"]: r for r in v.groupBy("dim").agg(F.count("*").alias("n"), F.sum(F.col("is_query").cast("long")).alias("q")).collect()}
     if not counts:
         return v.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("score"))
-    # Pivots: a bounded number of vectors of each length, the first by a hash.
-    rank = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("v"), "id"))
-    least = v.select("dim", "v", "id").where(F.pmod(F.xxhash64("v"), F.greatest(F.lit(1), F.lit(max(r["n"] for r in counts.values()) // (number_pivots * 64)))) == 0)
+    # Pivots: a bounded number of distinct vectors of each length, the first by a hash,
+    # found in a share of the rows that a hash picks.
+    share = F.create_map(*[F.lit(x) for d, r in counts.items() for x in (d, max(1, r["n"] // (number_pivots * 64)))])[F.col("dim")]
+    rank = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("v"), "v"))
+    some = v.where(F.pmod(F.xxhash64("v", F.lit(1)), share) == 0).select("dim", "v").distinct().withColumn("r", rank)
     pivots: dict[int, list] = {}
-    for r in least.withColumn("r", rank).where(F.col("r") <= number_pivots).select("dim", "v").collect():
+    for r in some.where(F.col("r") <= number_pivots).select("dim", "v").collect():
         pivots.setdefault(r["dim"], []).append(list(r["v"]))
     table = {d: np.array(pivots.get(d, [[0] * d]), np.int64) for d in counts}
 
@@ -91,6 +120,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     grid = lambda n: F.sequence(F.lit(0), n.cast("int") - 1)
     asks = v.where("is_query").select("dim", F.pmod(F.xxhash64("id"), F.col("blocks.q")).cast("int").alias("qb"), F.explode(grid(F.col("blocks.v"))).alias("vb"), "id", "v", F.lit(True).alias("is_query"))
     rows = v.where("blocks.q > 0").select("dim", F.explode(grid(F.col("blocks.q"))).alias("qb"), F.pmod(F.xxhash64("id", "v"), F.col("blocks.v")).cast("int").alias("vb"), "id", "v", F.lit(False).alias("is_query"))
-    best = asks.unionByName(rows).groupBy("dim", "qb", "vb").applyInPandas(_cell(k, table), "query_id long, vec_id long, score long")
+    best = asks.unionByName(rows).groupBy("dim", "qb", "vb").applyInPandas(_compare(k, table), "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

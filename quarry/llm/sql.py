@@ -28,3 +28,73 @@ reach AS (
   SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
 SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, m.least AS component_id
 FROM sets JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) m ON sets.doc_id = m.a"""
+
+
+_SCHEME = "'^[A-Za-z][A-Za-z0-9+.-]*:"
+
+
+def _host(u: str) -> str:
+    return f"translate(coalesce(regexp_extract({u}, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _path(u: str) -> str:
+    return f"coalesce(regexp_extract({u}, '://[^/?#]*([^?#]*)', 1), '')"
+
+
+def _rule(host: str, path: str, rules: list[tuple[str, str]], pick: int) -> str:
+    """The verdict (pick 0) or the rule (1) of the longest rule that fits."""
+    whens = ""
+    for one in sorted(rules, key=lambda r: -len(r[1])):
+        name, slash, rest = one[1].partition("/")
+        whens += f" WHEN ({host} = '{name}' OR ends_with({host}, '.{name}')) AND starts_with({path}, '{slash}{rest}') THEN '{one[pick]}'"
+    return f"CASE{whens} END"
+
+
+def _resolved(u: str, b: str) -> str:
+    path, site = f"regexp_extract({u}, '^[^?#]*')", f"regexp_extract({b}, '^([^/?#]*://[^/?#]*)', 1)"
+    folder = f"regexp_replace({_path(b)}, '[^/]*\\z', '')"
+    full = f"CASE WHEN starts_with({path}, '/') THEN {path} WHEN {folder} = '' THEN '/' || {path} ELSE {folder} || {path} END"
+    kept = f"list_reduce(string_split(substr({full}, 2), '/'), lambda acc, x: CASE WHEN x = '..' THEN acc[:-2] WHEN x = '.' THEN acc ELSE list_append(acc, x) END, CAST([] AS VARCHAR[]))"
+    undotted = f"regexp_replace('/' || array_to_string({kept}, '/') || CASE WHEN regexp_matches({full}, '/\\.\\.?\\z') THEN '/' ELSE '' END, '^/+\\z', '/')"
+    return f"""CASE WHEN regexp_matches({u}, {_SCHEME}//') THEN {u}
+      WHEN regexp_matches({u}, {_SCHEME}') OR {site} = '' THEN NULL
+      WHEN starts_with({u}, '//') THEN regexp_extract({b}, '^([^:/?#]*)://', 1) || ':' || {u}
+      WHEN {path} = '' THEN regexp_extract({b}, '^[^?#]*') || {u}
+      ELSE {site} || {undotted} || substr({u}, length({path}) + 1) END"""
+
+
+def _settled(u: str) -> str:
+    kept = f"list_filter(string_split(regexp_extract({u}, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|gclid|fbclid|ref)='))"
+    bare = f"regexp_replace({_host(u)}, '^www\\.|:(80|443)\\z', '', 'g') || regexp_replace({_path(u)}, '/+\\z', '')"
+    return f"CASE WHEN contains({u}, '://') THEN {bare} || CASE WHEN len({kept}) > 0 THEN '?' || array_to_string(list_sort({kept}), '&') ELSE '' END END"
+
+
+def url_aliases(rules: list[tuple[str, str]]) -> str:
+    """Verdicts over pages: rules, and components of redirects and canonical links."""
+    plain = lambda u: f"regexp_replace({u}, '(?i)&(amp|#38|#x26);', '&', 'g')"
+    value = "\\s*=\\s*[\"'']?"
+    target = value + "([^\"''\\s>]+)"
+    return rf"""
+WITH RECURSIVE tags AS (
+  SELECT DISTINCT url, html, unnest(regexp_extract_all(html, '(?i)<link\b[^>]*|<meta\b[^>]*')) AS tag FROM pages WHERE contains(url, '://')),
+raw AS (
+  SELECT url, html, CASE
+    WHEN regexp_matches(tag, '(?i)^<link\b[^>]*\brel{value}canonical\b') THEN regexp_extract(tag, '(?i)^<link\b[^>]*\bhref{target}', 1)
+    WHEN regexp_matches(tag, '(?i)^<meta\b[^>]*\bhttp-equiv{value}refresh\b') THEN regexp_extract(tag, '(?i)^<meta\b[^>]*\burl{target}', 1) END AS u,
+    nullif(regexp_extract(html, '(?i)<base\b[^>]*\bhref{target}', 1), '') AS base FROM tags),
+based AS (SELECT url, {plain("u")} AS u, {plain("base")} AS base FROM raw WHERE u <> ''),
+placed AS (SELECT url, u, coalesce({_resolved("base", "url")}, url) AS b FROM based),
+named AS (SELECT DISTINCT url, link FROM (SELECT url, {_resolved("u", "b")} AS link FROM placed) WHERE link IS NOT NULL),
+found AS (
+  SELECT '=' || url AS a, '~' || {_settled("url")} AS b FROM pages
+  UNION SELECT '=' || url, '=' || link FROM named
+  UNION SELECT '=' || link, '~' || {_settled("link")} FROM named),
+edges AS (SELECT a, b FROM found WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM found WHERE a IS NOT NULL AND b IS NOT NULL),
+reach AS (SELECT a, a AS b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+nodes AS (SELECT a, substr(b, 2) AS u FROM reach WHERE starts_with(a, '=') AND starts_with(b, '=')),
+told AS (SELECT a, {_rule(_host("u"), _path("u"), rules, 0)} AS v FROM nodes),
+decided AS (SELECT substr(a, 2) AS url, bool_or(v = 'block') AND NOT coalesce(bool_or(v = 'allow'), false) AS blocked FROM told GROUP BY a),
+rows AS (SELECT page_id, url, {_host("url")} AS host, {_path("url")} AS path FROM pages)
+SELECT page_id, host, path, {_rule("host", "path", rules, 1)} AS rule,
+  coalesce({_rule("host", "path", rules, 0)}, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
+FROM rows LEFT JOIN decided ON rows.url = decided.url"""

@@ -8,9 +8,13 @@ tracking parameters) and to the page's canonical link, and the connected compone
 of these edges are the aliases. A component with a url that a rule blocks is blocked,
 unless it also has one that a rule allows: an explicit allow takes precedence.
 
+Links are resolved against the page's url or its base element; `&amp;` in them stands for
+an ampersand. Links of schemes without "://" are no urls.
+
 Edge cases: null urls and those without "://" have an empty host and path, no rule and
 no aliases, and are allowed. Null html has no edges. Pages that repeat a url share its
-decision. An empty table gives no rows.
+decision. An empty table gives no rows. Whole pages are searched, however long. Other
+columns are ignored, whatever their names; rows of a null id are judged like others.
 """
 
 from __future__ import annotations
@@ -48,21 +52,59 @@ def settled(url: Column) -> Column:
     tracking parameters and last slash. Null without "://"."""
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     kept = F.filter(F.split(query, "&"), lambda p: ~p.rlike(r"^(utm_[a-z]+|gclid|fbclid|ref)=") & (p != ""))
-    bare = F.concat(F.regexp_replace(host_of(url), r"^www\.|:(80|443)$", ""), F.regexp_replace(path_of(url), r"/+$", ""))
+    bare = F.concat(F.regexp_replace(host_of(url), r"^www\.|:(80|443)\z", ""), F.regexp_replace(path_of(url), r"/+\z", ""))
     return F.when(F.locate("://", url) > 0, F.when(F.size(kept) > 0, F.concat(bare, F.lit("?"), F.array_join(F.array_sort(kept), "&"))).otherwise(bare))
 
 
-def named_links(url: Column, html: Column) -> Column:
-    """Urls that the page names as its canonical link or refreshes to."""
-    canonical = F.when(F.locate("canonical", html) > 0, F.regexp_extract_all(html, F.lit(r"""(?i)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""), 1))
-    refresh = F.when(F.locate("http-equiv", F.lower(html)) > 0, F.regexp_extract_all(html, F.lit(r"""(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""), 1))
+def _with(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _undotted(path: Column) -> Column:
+    """A path without the segments . and .., the latter with the one before them."""
     none = F.array().cast("array<string>")
-    scheme, site = F.regexp_extract(url, r"^([^:/?#]*)://", 1), F.regexp_extract(url, r"^([^/?#]*://[^/?#]*)", 1)
-    whole = F.transform(
-        F.concat(F.coalesce(canonical, none), F.coalesce(refresh, none)),
-        lambda u: F.when(F.locate("://", u) > 0, u).when(u.startswith("//"), F.concat(scheme, F.lit(":"), u)).when(u.startswith("/"), F.concat(site, u)),
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+
+    kept = F.aggregate(F.split(F.substring(path, 2, 1 << 30), "/"), none, step)
+    ends = F.when(path.rlike(r"/\.\.?\z"), F.lit("/")).otherwise(F.lit(""))
+    return F.regexp_replace(F.concat(F.lit("/"), F.array_join(kept, "/"), ends), r"^/+\z", "/")
+
+
+def resolved(link: Column, base: Column) -> Column:
+    """What a page at base means by a link; null if that is no url."""
+    site = F.regexp_extract(base, r"^([^/?#]*://[^/?#]*)", 1)
+    own = F.regexp_extract(base, r"^[^?#]*", 0)
+    folder = F.regexp_replace(path_of(base), r"[^/]*\z", "")
+    path = F.regexp_extract(link, r"^[^?#]*", 0)
+    after = F.substring(link, F.length(path) + 1, F.length(link))
+    full = F.when(path.startswith("/"), path).when(folder == "", F.concat(F.lit("/"), path)).otherwise(F.concat(folder, path))
+    return (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (site == ""), F.lit(None).cast("string"))
+        .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"^([^:/?#]*)://", 1), F.lit(":"), link))
+        .when(path == "", F.concat(own, after))
+        .otherwise(F.concat(site, _undotted(full), after))
     )
-    return F.filter(whole, lambda u: u.isNotNull())
+
+
+def named_links(url: Column, html: Column) -> Column:
+    """Urls that the page names as its canonical link or refreshes to."""
+    none, low = F.array().cast("array<string>"), F.lower(html)
+    found = lambda guard, pattern: F.when(F.locate(guard, low) > 0, F.regexp_extract_all(html, F.lit(pattern), 1))
+    canonical = found("canonical", r"""(?i)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""")
+    refresh = found("http-equiv", r"""(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)""")
+    bases = found("<base", r"""(?i)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""")
+    plain = lambda u: F.regexp_replace(u, "(?i)&(amp|#38|#x26);", "&")
+
+    def links(c: Column) -> Column:
+        base = F.coalesce(resolved(plain(F.get(bases, F.lit(0))), url), url)
+        return _with(base, lambda b: F.filter(F.transform(c, lambda u: resolved(plain(u), b)), lambda u: u.isNotNull()))
+
+    every = F.concat(F.coalesce(canonical, none), F.coalesce(refresh, none))
+    return F.when(F.locate("://", url) > 0, _with(every, lambda c: F.when(F.size(c) > 0, links(c)).otherwise(none))).otherwise(none)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -4,12 +4,13 @@ import hashlib
 import random
 import struct
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quarry.llm import bpe
-from quarry.llm.queries import TOKENIZER
+from quarry.llm import bpe, packing
+from quarry.llm.queries import TOKENIZER, op7_bpe_trie
 
 LIB = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
@@ -28,6 +29,8 @@ def texts():
 
 def test_like_the_library():
     codec, cases = bpe.codec(TOKENIZER), texts()
+    narrow = packing.codec_of(TOKENIZER)
+    assert [np.frombuffer(x, narrow.kind).tolist() for x in narrow.encode(cases)] == [ids(x) for x in codec.encode(cases)]
     for text, raw in zip(cases, codec.encode(cases), strict=True):
         want = LIB.encode(text, add_special_tokens=False).ids
         assert ids(raw) == want, text
@@ -68,3 +71,13 @@ def test_rows_and_nulls(odd):
 def test_decode(odd):
     texts = {r.doc_id: r.text for r in bpe.decode(bpe.encode(odd, TOKENIZER), TOKENIZER).collect()}
     assert texts[1] == "hello</w> world</w> 's</w>" and texts[2] == texts[2**60] == ""
+
+
+def test_query_over_all_documents(spark, sf_dir):
+    rows = {r.doc_id: tuple(r)[1:] for r in op7_bpe_trie(spark, sf_dir).collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert len(rows) == len(docs)
+    for r in docs:
+        e = LIB.encode(r.text or "", add_special_tokens=False).ids
+        decoded = LIB.decode(e, skip_special_tokens=False)
+        assert rows[r.doc_id] == (len(e), hashlib.sha256(struct.pack(f"<{len(e)}I", *e)).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())

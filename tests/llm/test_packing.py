@@ -56,10 +56,30 @@ def test_repeats_and_null_ids(spark):
     assert sum(r.length for r in rows) == 9 and {r.doc_id for r in rows} == {None, 4}
 
 
-def test_query_digests(spark, sf_dir):
+def test_query_over_all_documents(spark, sf_dir):
+    """Every piece of every document, no padding, and neighbours that are alike."""
     rows = op10_hilbert_packing(spark, sf_dir).collect()
     lib = Tokenizer.from_file(TOKENIZER)
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    for r in rows[:200]:
-        ids = [*lib.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 1][r.start : r.start + r.length]
-        assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+    ids = {r.doc_id: [*lib.encode(r.text or "", add_special_tokens=False).ids, 1] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    pieces, sequences = defaultdict(list), defaultdict(int)
+    for r in rows:
+        got = np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4")
+        assert r.ids_crc32 == zlib.crc32(got.tobytes()) and r.doc_tokens == len(ids[r.doc_id])
+        pieces[r.doc_id].append((r.start, r.length))
+        sequences[r.sequence_id] += r.length
+    assert set(pieces) == set(ids)
+    for doc, found in pieces.items():
+        assert sum(n for _, n in found) == len(ids[doc]) and [s for s, _ in sorted(found)] == np.cumsum([0, *[n for _, n in sorted(found)]])[:-1].tolist()
+    assert all(n == 2048 or n & (n - 1) == 0 for n in sequences.values())
+    full = sum(n == 2048 for n in sequences.values()) * 2048
+    assert full > 0.8 * sum(sequences.values())
+
+    def vector(doc):
+        counts = np.bincount(np.array(ids[doc]) % 1024, minlength=1024).astype(float)
+        return counts / np.sqrt(counts @ counts)
+
+    walk = list(dict.fromkeys(r.doc_id for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset))))
+    vectors = {d: vector(d) for d in walk}
+    alike = np.mean([vectors[a] @ vectors[b] for a, b in zip(walk, walk[1:])])
+    mixed = np.random.default_rng(0).permutation(walk).tolist()
+    assert alike > 1.2 * np.mean([vectors[a] @ vectors[b] for a, b in zip(mixed, mixed[1:])])

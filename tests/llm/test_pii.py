@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import pii
+from quarry.llm.common import materialize
 
 
 def luhn(digits):
@@ -74,6 +75,55 @@ def test_labelers_add_and_refuse(spark):
     assert set(model["reliability"]) == set(pii.KINDS)
 
 
+CANDIDATES = "candidates array<struct<kind:int,start:bigint,end:bigint,base:boolean,shape:int,valid:int,listed:int,near:int,apart:int,size:int>>"
+
+
+def made_votes(right, n=4000, seed=8):
+    """Candidates of one kind with votes that are right so often; (true, row)."""
+    rnd, rows = random.Random(seed), []
+    for i in range(n):
+        true = rnd.random() < 0.5
+        votes = [(1 if true else -1) * (1 if rnd.random() < right[v] else -1) for v in pii.LABELERS]
+        votes = [max(0, x) if v in ("listed", "near") else x for v, x in zip(pii.LABELERS, votes)]  # these say yes or nothing
+        rows.append((true, (3, i, i + 12, true and rnd.random() < 0.3, *votes, 3)))
+    return rows
+
+
+def test_reliabilities_are_recovered(spark):
+    right = {"shape": 0.9, "valid": 0.6, "listed": 0.8, "near": 0.7, "apart": 0.85}
+    rows = made_votes(right)
+    model = pii.fit(spark.createDataFrame([([r],) for _, r in rows], CANDIDATES))
+    for j, v in enumerate(pii.LABELERS):
+        for c in (0, 1):
+            seen = [r[4 + j] for true, r in rows if true == bool(c)]
+            for vote in (-1, 0, 1):
+                assert abs(model["reliability"]["phone"][v][c][vote + 1] - seen.count(vote) / len(seen)) < 0.06, (v, c, vote)
+
+
+def test_two_labelers_outvote_a_third(spark):
+    """Whichever the third is, also the check: it is trusted as far as the others bear it out."""
+    for weak in ("shape", "valid", "apart"):
+        right = {v: 0.5 if v in ("listed", "near") else 0.6 if v == weak else 0.93 for v in pii.LABELERS}
+        model = pii.fit(spark.createDataFrame([([r],) for _, r in made_votes(right)], CANDIDATES))
+        yes = {v: 0 if v in ("listed", "near") else -1 if v == weak else 1 for v in pii.LABELERS}
+        no = {v: -x for v, x in yes.items()}
+        ask = [(3, 0, 12, False, *yes.values(), 3), (3, 20, 32, False, *no.values(), 3)]
+        got = spark.createDataFrame([(ask,)], CANDIDATES).select(pii.spans(model).alias("s")).first().s
+        assert [x.start for x in got] == [0], weak
+
+
+def test_what_is_added_to_the_given_documents(spark):
+    """At sf0.1: whatever is added is a phone number or an email written another way, and
+    no number that fails its check."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    found = materialize(pii.candidates(docs), "pii-test")
+    rows = found.select("text", F.explode(F.filter(pii.spans(pii.fit(found)), lambda x: ~x["base"])).alias("s")).collect()
+    added = [(r.s.kind, r.text[r.s.start : r.s.end]) for r in rows]
+    assert len(added) >= 2
+    for kind, text in added:
+        assert kind in (0, 3) and (kind == 0 or 10 <= len(re.sub("[^0-9]", "", text)) <= 15), text
+
+
 def test_nothing_to_find(spark):
     docs = spark.createDataFrame([(1, "clean", "c"), (None, None, None)], "doc_id long, text string, candidates string")
     found = pii.candidates(docs)

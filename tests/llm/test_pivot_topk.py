@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm.pivot_topk import top_k
+from quarry.llm.pivot_topk import LONG, Cell, top_k
 
 
 def brute(rows, is_query, k):
@@ -35,3 +35,44 @@ def test_repeated_rows_and_empty(spark):
     assert got == [(0, 1, 7, 65536), (0, 2, 7, 65536)]
     assert top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
     assert top_k(df, F.lit(None).cast("boolean")).count() == 0
+
+
+def test_clusters_are_skipped():
+    """Of clustered vectors a small share is evaluated, and the result is that of all."""
+    rng = np.random.default_rng(3)
+    middles = rng.normal(0, 200, (40, 16))
+    v = np.floor(middles[rng.integers(0, 40, 4000)] + rng.normal(0, 4, (4000, 16))).astype(np.int64)
+    ids, k = np.arange(4000), 5
+    cell = Cell(ids, v, np.unique(v, axis=0)[rng.permutation(3000)[:64]])
+    for query in range(0, 4000, 100):
+        scores = v @ v[query]
+        want = sorted((-int(s), i) for i, s in enumerate(scores) if i != query)[:k]
+        assert cell.best(query, v[query], k) == want
+    assert cell.evaluated < 0.25 * 40 * 4000
+
+
+@pytest.mark.parametrize("big", [3e9, 1e15, 1e30])
+def test_large_components(spark, big):
+    rows = [(0, [big, 1.0]), (1, [big / 2, 3.0]), (2, [7.0, -2.0]), (3, [-big, 5.0]), (4, [big / 2, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = lambda x: max(-LONG - 1, min(LONG, int(np.floor(x * 256))))
+    v = {i: [whole(x) for x in e] for i, e in rows}
+    want = sorted((-max(-LONG - 1, min(LONG, sum(a * b for a, b in zip(v[0], v[i])))), i) for i in (1, 2, 3, 4))
+    for k in (1, 4):
+        got = [(-r.score, r.vec_id) for r in top_k(df, F.col("vec_id") == 0, k=k).orderBy("rank").collect()]
+        assert got == want[:k]
+
+
+def test_copies_do_not_take_all_pivots(spark, monkeypatch):
+    from quarry.llm import pivot_topk
+
+    seen = {}
+
+    def noted(k, pivots, compare=pivot_topk._compare):
+        seen.update(pivots)
+        return compare(k, pivots)
+
+    monkeypatch.setattr(pivot_topk, "_compare", noted)
+    df = spark.range(3000).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 3 == 0, F.array(F.lit(0.5), F.lit(0.5))).when(F.col("id") < 2990, F.array(F.rand(1), F.rand(2))).otherwise(F.array(F.rand(1), F.rand(2), F.lit(0.1))).alias("embedding"))
+    top_k(df, F.col("vec_id") == 0, number_pivots=8).collect()
+    assert sorted(seen) == [2, 3] and len(seen[2]) == len({tuple(x) for x in seen[2].tolist()}) == 8 and len(seen[3]) > 3 and (seen[3] != 0).any()
