@@ -47,42 +47,50 @@ class Cell:
     def __init__(self, ids: np.ndarray, v: np.ndarray, pivots: np.ndarray):
         self.ids, self.whole, self.v = ids, v, v.astype(np.float64)
         self.pivots = pivots.astype(np.float64)
-        self.norm, self.far = (self.v * self.v).sum(axis=1), self._far(self.v)
+        self.norm, self.high = (self.v * self.v).sum(axis=1), np.abs(self.v).max()
+        self.far = np.array([np.sqrt(((self.v - p) ** 2).sum(axis=1)) for p in self.pivots], np.float32)
         self.evaluated = 0
 
-    def _far(self, x: np.ndarray) -> np.ndarray:
-        """Distances from each row of x to each pivot, in slices."""
-        parts = np.array_split(x, max(1, len(x) * self.pivots.shape[1] * len(self.pivots) // (1 << 22)))
-        return np.concatenate([np.sqrt(((p[:, None, :] - self.pivots[None]) ** 2).sum(axis=2)) for p in parts])
+    def _bounds(self, x: np.ndarray) -> np.ndarray:
+        """What no inner product with x exceeds, rounding allowed for."""
+        own = np.sqrt(((self.pivots - x) ** 2).sum(axis=1)).astype(np.float32)
+        apart = self.far - own[:, None]
+        apart = np.abs(apart, out=apart).max(axis=0) - np.float32(4e-7) * max(self.far.max(), own.max())
+        apart, norm = np.maximum(apart, 0).astype(np.float64), self.norm + x @ x
+        return (norm - apart * apart) / 2 + 1e-9 * norm
 
-    def _scores(self, at: np.ndarray, x: np.ndarray, exact: bool) -> list[int]:
+    def _scores(self, at: np.ndarray, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Whole numbers: as doubles while sums are below 2^53, else by Python's integers."""
         self.evaluated += len(at)
-        if exact:
-            return (self.v[at] @ x).astype(np.int64).tolist()
-        return [max(-LONG - 1, min(LONG, sum(int(a) * int(b) for a, b in zip(self.whole[i], x)))) for i in at]
+        if np.abs(x).max() * self.high * len(x) < 1 << 53:
+            # A large share is not gathered first.
+            return ((self.v @ x)[at] if 8 * len(at) > len(self.v) else self.v[at] @ x).astype(np.int64)
+        return np.array([max(-LONG - 1, min(LONG, sum(int(a) * int(b) for a, b in zip(self.whole[i], q)))) for i in at], np.int64)
 
     def best(self, query: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best of one query, as (-score, id). Candidates go by their bound; none is
-        left out whose bound reaches the k-th score, rounding allowed for."""
+        """The k best of one query, as (score, id). Candidates go by their bound; none is
+        left out whose bound reaches the k-th score."""
         x = q.astype(np.float64)
-        norm = x @ x
-        exact = np.abs(x).max() * np.abs(self.v).max() * len(x) < 1 << 53
-        apart = np.abs(self.far - self._far(x[None])).max(axis=1)
-        bound = (self.norm + norm - apart * apart) / 2 + 1e-9 * (self.norm + norm)
+        bound = self._bounds(x)
         left = np.flatnonzero(self.ids != query)
-        best: list[tuple[int, int]] = []
+        score, ids = np.empty(0, np.int64), np.empty(0, np.int64)
         step = 4 * k
         while len(left):
-            if len(left) > step:
-                order = np.argpartition(-bound[left], step)
-                part, left = left[order[:step]], left[order[step:]]
-            else:
-                part, left = left, left[:0]
-            best = sorted([*best, *zip((-s for s in self._scores(part, x if exact else q, exact)), self.ids[part].tolist())])[:k]
-            if len(best) == k:
-                left = left[bound[left] >= -best[-1][0]]
-            step *= 4
-        return best
+            part, left = left, left[:0]
+            if len(part) > step:
+                order = np.argpartition(-bound[part], step)
+                part, left = part[order[:step]], part[order[step:]]
+            score, ids = np.concatenate([score, self._scores(part, q, x)]), np.concatenate([ids, self.ids[part]])
+            if len(score) > k:
+                some = score >= np.partition(score, len(score) - k)[len(score) - k]
+                score, ids = score[some], ids[some]
+                order = np.lexsort((ids, ~score))[:k]  # ~ turns the order of all longs round
+                score, ids = score[order], ids[order]
+            if len(score) == k:
+                left = left[bound[left] >= score[-1]]
+            step = step * 4 if 8 * len(left) < len(self.ids) else len(left)
+        order = np.lexsort((ids, ~score))
+        return list(zip(score[order].tolist(), ids[order].tolist()))
 
 
 def _compare(k: int, pivots: dict[int, np.ndarray]):
@@ -92,13 +100,13 @@ def _compare(k: int, pivots: dict[int, np.ndarray]):
         if len(asks) and len(rows):
             cell = Cell(rows["id"].to_numpy(np.int64), np.stack(rows["v"].to_list()), pivots[key[0]])
             for query, q in zip(asks["id"].tolist(), asks["v"]):
-                out += [(query, i, -s) for s, i in cell.best(query, q, k)]
+                out += [(query, i, s) for s, i in cell.best(query, q, k)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, number_pivots: int = 128, query_block: int = 8192, row_block: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, number_pivots: int = 64, query_block: int = 8192, row_block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the k greatest inner products of each query."""
     v = vectors.select(F.col(id_col).cast("long").alias("id"), whole_numbers(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where("id is not null and v is not null and size(v) > 0")
     v = materialize(v.withColumn("dim", F.size("v")), "topk-vectors")
