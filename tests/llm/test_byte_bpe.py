@@ -1,0 +1,95 @@
+"""Against merging by ranks in plain Python, the library on whole texts, and round trips."""
+
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+import regex
+
+from quarry.llm import byte_bpe
+from quarry.llm.queries import BYTE_RANKS, op13_byte_bpe
+
+PATTERN = regex.compile(public_tokenizers.PATTERN)
+
+
+def merged(piece, ranks):
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 1:
+        best = min(range(len(parts) - 1), key=lambda i: (ranks.get(parts[i] + parts[i + 1], 1 << 60), i))
+        if parts[best] + parts[best + 1] not in ranks:
+            break
+        parts[best : best + 2] = [parts[best] + parts[best + 1]]
+    return [ranks[p] for p in parts]
+
+
+def plain(text, ranks):
+    return [i for m in PATTERN.finditer(text) for i in merged(m[0].encode(), ranks)]
+
+
+def texts():
+    rnd = random.Random(3)
+    alphabet = "abcdeinthrs  aaaa'st'll0123.,!$<|>éßñüÉÜİΣςσ日本😀́ \u0085\x1c​　ǅ²½\n\t\r"
+    out = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(1500)]
+    return out + ["", " ", "  ", "a  ", "<|endoftext|>", "\x00 a", "x" * 300, " " * 300 + "x", "\n" * 40, "it's 'll we'd"]
+
+
+def test_like_merging_by_ranks():
+    ranks = byte_bpe.ranks_of(BYTE_RANKS)
+    c = byte_bpe.codec(BYTE_RANKS)
+    for text in texts():
+        ids = c.encode(text)
+        assert ids.tolist() == plain(text, ranks), text
+        assert c.decode(ids) == text.encode()
+
+
+def test_parts_change_nothing():
+    """Texts cut as often as can be, and runs of white space encoded as a match."""
+    ranks = byte_bpe.ranks_of(BYTE_RANKS)
+    c = byte_bpe.Codec(ranks, long=3, run=4)
+    rnd = random.Random(4)
+    cases = ["".join(rnd.choice("ab'st  \n\t 　\x1c1.日") for _ in range(rnd.randint(4, 80))) for _ in range(3000)]
+    for text in [*texts(), *cases]:
+        assert "".join(p for p, _ in c.parts(text)) == text
+        assert c.encode(text).tolist() == c.lib.encode_ordinary(text), text
+
+
+def test_long_texts():
+    c = byte_bpe.codec(BYTE_RANKS)
+    words = " ".join(f"word{i}, and 'll" for i in range(60_000))
+    assert c.encode(words).tolist() == c.lib.encode_ordinary(words)
+    assert sum(1 for _ in c.parts(words)) > 5
+    for text in (" " * 3_000_000 + "x", "x" + "\n" * 2_000_000, "日" * 400_000, "a" * 1_000_000):
+        assert c.decode(c.encode(text)) == text.encode()
+    assert c.encode(" " * 200_000 + "x").tolist() == c.lib.encode_ordinary(" " * 200_000 + "x")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(1, "Hello World's", "x"), (2, None, "y"), (None, "été", None), (1, "Hello World's", "x"), (2**60, "", "z")]
+    return spark.createDataFrame(rows, "doc_id long, text string, ids string")
+
+
+def want(text):
+    ids = byte_bpe.codec(BYTE_RANKS).lib.encode_ordinary(text or "")
+    return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def test_rows_and_nulls(odd):
+    got = sorted((tuple(r) for r in byte_bpe.roundtrip(odd, BYTE_RANKS).collect()), key=repr)
+    assert got == sorted(((r.doc_id, *want(r.text)) for r in odd.collect()), key=repr)
+    assert byte_bpe.roundtrip(odd.limit(0), BYTE_RANKS).count() == 0
+
+
+def test_decode(odd):
+    encoded = byte_bpe.encode(odd, BYTE_RANKS)
+    assert {len(np.frombuffer(r.ids, "<u4")) for r in encoded.where("doc_id = 2").collect()} == {0}
+    got = sorted(((r.doc_id, bytes(r.bytes).decode()) for r in byte_bpe.decode(encoded, BYTE_RANKS).collect()), key=repr)
+    assert got == sorted(((r.doc_id, r.text or "") for r in odd.collect()), key=repr)
+
+
+def test_query_over_all_documents(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = {r.doc_id: tuple(r)[1:] for r in op13_byte_bpe(spark, sf_dir).collect()}
+    assert rows == {i: want(t) for i, t in docs.items()}
