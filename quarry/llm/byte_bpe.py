@@ -138,7 +138,7 @@ def roundtrip(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.PATT
             for text in batch.column("text"):
                 ids = c.encode(text.as_py())
                 n.append(len(ids))
-                a.append(hashlib.sha256(joined(numbers, ids)[:-1]).hexdigest())
+                a.append(hashlib.sha256(joined(numbers, ids)[0][:-1]).hexdigest())
                 b.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -146,8 +146,9 @@ def roundtrip(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.PATT
     return rows.mapInArrow(run, f"id {_kind(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
-def joined(entries: pa.Array, rows: np.ndarray) -> memoryview:
-    """The entries of these rows one after the other: the data of an Arrow array."""
-    taken = entries.take(pa.array(rows))
-    offsets = np.frombuffer(taken.buffers()[1], np.int32)
-    return memoryview(taken.buffers()[2] or b"")[: offsets[len(rows)]]
+def joined(entries: pa.Array, rows: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The entries of these rows one after the other, as the data of an Arrow array, and
+    where each begins, with the end of the last."""
+    taken = entries.take(pa.array(rows, pa.int64()))
+    offsets = np.frombuffer(taken.buffers()[1], np.int32)[: len(rows) + 1]
+    return memoryview(taken.buffers()[2] or b"").cast("B")[: offsets[-1]], offsets

@@ -7,10 +7,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, byte_bpe, fingerprint, html_text, jaccard, packing, pii, pipeline, pivot_topk, quality, sql, toxicity, url_filter
+from quarry.llm import alignment, bpe, byte_bpe, fingerprint, html_text, jaccard, packing, pii, pipeline, pivot_topk, quality, sql, toxicity, url_filter
 from quarry.llm.common import fold, materialize, table
 from quarry.llm.pipeline import TOKENIZER
 
+ALIGNED = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -82,6 +83,10 @@ def op10_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), *ALIGNED)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.roundtrip(table(spark, sf_dir, "documents"), BYTE_RANKS)
 
@@ -97,6 +102,7 @@ QUERIES = {
     "op8_jaccard_components": op8_jaccard_components,
     "op9_text_density": op9_text_density,
     "op10_hilbert_packing": op10_hilbert_packing,
+    "op11_token_alignment": op11_token_alignment,
     "op13_byte_bpe": op13_byte_bpe,
     "pipeline": pipeline.run,
 }
