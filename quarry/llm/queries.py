@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import alignment, bpe, byte_bpe, fingerprint, html_text, jaccard, packing, pii, pipeline, pivot_topk, quality, sql, toxicity, url_filter
+from quarry.llm import alignment, bpe, byte_bpe, conversation_repair, fingerprint, html_text, jaccard, packing, pii, pipeline, pivot_topk, quality, sql, toxicity, url_filter
 from quarry.llm.common import fold, materialize, table
 from quarry.llm.pipeline import TOKENIZER
 
@@ -87,6 +87,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), *ALIGNED)
 
 
+def op12_glr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.roundtrip(table(spark, sf_dir, "documents"), BYTE_RANKS)
 
@@ -103,6 +107,7 @@ QUERIES = {
     "op9_text_density": op9_text_density,
     "op10_hilbert_packing": op10_hilbert_packing,
     "op11_token_alignment": op11_token_alignment,
+    "op12_glr_repair": op12_glr_repair,
     "op13_byte_bpe": op13_byte_bpe,
     "pipeline": pipeline.run,
 }
