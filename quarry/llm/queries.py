@@ -112,4 +112,9 @@ QUERIES = {
     "pipeline": pipeline.run,
 }
 
-SQL: dict[str, str] = {"op1_pivot_topk": sql.TOP_K, "op2_url_aliases": sql.url_aliases(URL_RULES), "op8_jaccard_components": sql.JACCARD_COMPONENTS}
+SQL: dict[str, str] = {
+    "op1_pivot_topk": sql.TOP_K,
+    "op2_url_aliases": sql.url_aliases(URL_RULES),
+    "op8_jaccard_components": sql.JACCARD_COMPONENTS,
+    "op12_glr_repair": sql.CONVERSATION_REPAIR,
+}

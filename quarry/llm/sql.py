@@ -98,3 +98,61 @@ rows AS (SELECT page_id, url, {_host("url")} AS host, {_path("url")} AS path FRO
 SELECT page_id, host, path, {_rule("host", "path", rules, 1)} AS rule,
   coalesce({_rule("host", "path", rules, 0)}, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
 FROM rows LEFT JOIN decided ON rows.url = decided.url"""
+
+
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+#: By role initials: E nothing yet, S after a system row, U after a user's, A after an assistant's.
+CONVERSATION_REPAIR = rf"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+hashed AS (
+  SELECT *, xor(list_reduce(list_transform(string_split(name, ''), lambda c: CAST(unicode(c) AS BIGINT)),
+    lambda acc, b: list_reduce(range(8), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(acc, b)),
+    CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS hit FROM named),
+made AS (
+  SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+    CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE hit WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hashed),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM made),
+told AS (
+  SELECT conv_id, turn, role, text, i, right(rtrim(text, {_WHITE}), 1) AS ending, substr(role, 1, 1) AS initial,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS earlier,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM placed),
+faulty AS (
+  SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM told),
+inserts (came, reached, paid, word, lines) AS (VALUES
+  ('E', 'E', 0, '', ''), ('E', 'U', 2, 'I', chr(10) || 'user:'), ('E', 'A', 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  ('S', 'S', 0, '', ''), ('S', 'U', 2, 'I', chr(10) || 'user:'), ('S', 'A', 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  ('U', 'U', 0, '', ''), ('U', 'A', 2, 'I', chr(10) || 'assistant:'), ('A', 'A', 0, '', ''), ('A', 'U', 2, 'I', chr(10) || 'user:')),
+shifts (reached, symbol, goes_to) AS (VALUES ('E', 's', 'S'), ('E', 'u', 'U'), ('S', 'u', 'U'), ('U', 'a', 'A'), ('A', 'u', 'U')),
+acts (letter, takes, price, new_role) AS (VALUES ('K', NULL, 0, NULL), ('R', 'u', 2, 'user'), ('R', 'a', 2, 'assistant')),
+way AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 'E' AS place, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'lines': ''}} AS found FROM conversations
+  UNION ALL
+  SELECT conv_id, i, place, min(option) AS found FROM (
+    SELECT w.conv_id, f.i, goes_to AS place,
+      {{'cost': w.found.cost + paid + price + CASE fault WHEN 'truncated' THEN 1 ELSE 0 END, 'audit': w.found.audit || word || letter,
+        'lines': w.found.lines || inserts.lines || chr(10) || coalesce(new_role, role) || ':' || text}} AS option
+    FROM way w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 AND fault NOT IN ('blank', 'duplicate')
+      JOIN inserts ON came = place JOIN acts ON true JOIN shifts ON shifts.reached = inserts.reached AND symbol = coalesce(takes, initial)
+    UNION ALL
+    SELECT w.conv_id, f.i, place, {{'cost': w.found.cost + 3, 'audit': w.found.audit || 'D', 'lines': w.found.lines}} AS option
+    FROM way w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1) x
+  GROUP BY conv_id, i, place),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id),
+every AS (
+  SELECT conv_id, coalesce(n, 0) AS n, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal
+  FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN (SELECT conv_id AS of_conv, * EXCLUDE conv_id FROM counted) b ON conv_id IS NOT DISTINCT FROM of_conv),
+best AS (
+  SELECT w.conv_id, min({{'cost': found.cost + paid, 'audit': found.audit || word, 'lines': found.lines || inserts.lines}}) AS r
+  FROM way w JOIN every e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = e.n JOIN inserts ON came = place
+  WHERE reached = 'A' OR place = 'E' AND reached = 'E' GROUP BY w.conv_id)
+SELECT e.conv_id, CAST(gaps AS BIGINT) AS gaps, blank, duplicate, truncated, illegal, r.cost AS cost, r.audit AS audit, sha256(substr(r.lines, 2)) AS repaired_sha256
+FROM every e JOIN best ON best.conv_id IS NOT DISTINCT FROM e.conv_id"""
