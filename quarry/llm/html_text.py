@@ -10,14 +10,15 @@ those of its ancestors below the path reach the threshold.
 Elements whose tag or role says that they are menus, headers, footers, sidebars,
 notices, scripts or styles take no part in the densities and give no text, unless a
 menu and the like holds a main element. A header inside an article belongs to it.
+
 Names (class, id) and forms say less, as a page's frame may be `has-sidebar` or one
-form: such an element is left out only if it has no article or main with text below
-it and does not hold most of the text, links aside, of the body or of its article. A
-whole class that says nothing else (`ad`, `comment-list`) is left out also where it holds
-most, if an article or main has text outside it. One that says more (`related-work`,
-`no-sidebar`) or may well name a topic (`social`, `tags`) counts only against an element
-whose text is links for the greater part. If nothing is left, names and forms are
-disregarded.
+form. They are one weight of several, see Page.dropped: how surely a name speaks (`ad`,
+`user-comments`, `related-work`), how much of the text of its article or of the body
+the element has, whether all that text lies on one side of it, whether an article has text
+elsewhere, how much of its own text is links, and whether it looks like a section of its
+own (a heading and paragraphs as long as others, with text before and behind). What
+holds an article or main with text is never left out by name. If nothing is left, names
+and forms are disregarded.
 
 Edge cases: null html is the empty page, whose text is empty. Unclosed elements end
 where their parent ends, a paragraph where the next block begins. A comment or
@@ -53,14 +54,24 @@ DROP_NAMES = frozenset(
     "ad ads advert adverts advertisement adsense adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login "
     "sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus reply replies respond share sharing widget pagination pager".split()
 )
-# Names that may be those of a topic, and words that say nothing beside others.
+# Of these, the words that seldom say anything else.
+SURE_NAMES = frozenset("ad ads advert adverts advertisement adsense adbox sponsored cookie cookies gdpr newsletter comment comments disqus popup navbar breadcrumb breadcrumbs masthead".split())
+# Names that may be those of a topic, words that say nothing beside others, and words that turn a name round.
 TOPIC_NAMES = frozenset("side social related recommended tags skip".split())
-PLAIN_NAMES = frozenset("area bar block box bottom buttons col column container content global group inner item items left links list main outer page panel primary right row secondary section site slot thread top unit wrap wrapper".split())
+PLAIN_NAMES = frozenset("area bar block box body bottom buttons col column container content form global group inner item items left links list main outer page panel primary right row secondary section site slot thread top unit wrap wrapper".split())
+TURNING_NAMES = frozenset("no non not has have with without free enabled disabled is".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-# How surely an element is no content.
-HINT, FORM, NAMED, BESIDE, DROP = 1, 2, 3, 4, 5
+# What a tag or role says: beside the content, or none at all.
+BESIDE, DROP = 1, 2
+# What a name weighs: a form or nothing but words of DROP_NAMES, one that is named by such a word, one with
+# such a word, one that may be a topic. An element goes from OUT on.
+WHOLE, NAMED, PARTLY, TOPIC, OUT = 3.0, 2.0, 1.0, 0.5, 3.0
+
+#: A paragraph of so many characters is long, however long the others are.
+LONG_PARAGRAPH = 80
 
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -69,7 +80,7 @@ class Page:
     """A page's elements as parallel lists; node 0 is the document."""
 
     def __init__(self, text: str):
-        self.tag, self.parent, self.doubt, self.link = ["#document"], [-1], [0], [False]
+        self.tag, self.parent, self.doubt, self.weight, self.link = ["#document"], [-1], [0], [0.0], [False]
         self.runs: list[tuple[int, str]] = []  # (node, text) in page order; "" is a block's border
         self._open = [0]
         self._parse(text)
@@ -155,7 +166,9 @@ class Page:
         tag.append(name)
         self.parent.append(up)
         self.link.append(self.link[up] or name == "a")
-        self.doubt.append(self._not_content(name, rest))
+        doubt, weight = self._not_content(name, rest)
+        self.doubt.append(doubt)
+        self.weight.append(weight)
         if name not in INLINE:
             self.runs.append((node, ""))
         if name not in VOID and not rest.endswith("/"):
@@ -163,36 +176,37 @@ class Page:
         elif name == "br":
             self.runs.append((up, ""))
 
-    def _not_content(self, name: str, rest: str) -> int:
+    def _not_content(self, name: str, rest: str) -> tuple[int, float]:
         if name in DROP_TAGS:
-            return DROP
+            return DROP, 0.0
         if name in BESIDE_TAGS:
-            return BESIDE
+            return BESIDE, 0.0
         if name == "header":
-            return 0 if any(self.tag[x] in TEXT_TAGS for x in self._open) else BESIDE
-        doubt = FORM if name == "form" else 0
+            return 0 if any(self.tag[x] in TEXT_TAGS for x in self._open) else BESIDE, 0.0
+        weight = WHOLE if name == "form" else 0.0
         if rest and name not in ("html", "body", "article", "main") and ("=" in rest):
             for m in _NAMES.finditer(rest):
                 value = m[2] or m[3] or m[4] or ""
                 if m[1].lower() == "role":
                     if value.lower() in BESIDE_ROLES:
-                        return BESIDE
+                        return BESIDE, 0.0
                     if value.lower() == "form":
-                        doubt = max(doubt, FORM)
+                        weight = WHOLE
                 else:
-                    for one in value.split():
-                        words = {w.lower() for w in _WORD.findall(one)} - PLAIN_NAMES
-                        if words and words <= DROP_NAMES:
-                            doubt = max(doubt, NAMED)
-                        elif words & (DROP_NAMES | TOPIC_NAMES):
-                            doubt = max(doubt, HINT)
-        return doubt
+                    weight = max([weight, *map(name_weight, value.split())])
+        return 0, weight
 
     def dropped(self) -> tuple[list[bool], list[bool]]:
         """Which nodes are no content, and which lie in one that is content only since
-        it holds most of the text."""
+        it holds most of the text.
+
+        To the weight of a doubtful element's name are added: 1 if it has up to half of the
+        text (links aside) of its frame, the article or body around it, else -2; 1 if all
+        other text of the frame that is not in doubt lies before it, or all behind it; 2 if
+        it is in no article and an article has text; 2 if its own text is links for the
+        greater part; and -1.5 if it is a section of its own, within the text."""
         n = len(self.tag)
-        tag, parent, doubt = self.tag, self.parent, self.doubt
+        tag, parent, doubt, weight = self.tag, self.parent, self.doubt, self.weight
         out, most = [False] * n, [False] * n
         main = [t == "main" for t in tag]
         for i in range(n - 1, 0, -1):
@@ -201,7 +215,7 @@ class Page:
         for i in range(1, n):
             beside[i] = (beside[parent[i]] or doubt[i] == BESIDE) and tag[i] != "main"
             out[i] = out[parent[i]] or doubt[i] == DROP or beside[i] and not main[i]
-        if not any(doubt[i] in (HINT, FORM, NAMED) and not out[i] for i in range(1, n)):
+        if not any(weight[i] and not out[i] for i in range(1, n)):
             return out, most
         chars, plain = [0] * n, [0] * n  # with links and without
         for node, run in self.runs:
@@ -210,50 +224,84 @@ class Page:
                 chars[node] += size
                 if not self.link[node]:
                     plain[node] += size
-        holds, article = [False] * n, [0] * n
+        holds, frame = [False] * n, [0] * n
         for i in range(n - 1, 0, -1):
             if not out[i]:
                 chars[parent[i]] += chars[i]
                 plain[parent[i]] += plain[i]
                 holds[parent[i]] |= holds[i] or tag[i] in TEXT_TAGS and chars[i] > 0
-        told = 0  # text of all articles
+        body = next((i for i in range(n) if tag[i] == "body" and chars[i]), 0)
+        told = False  # whether an article has text
         for i in range(1, n):
-            article[i] = article[parent[i]]
+            frame[i] = frame[parent[i]]
             if tag[i] in TEXT_TAGS and not out[i]:
-                told += 0 if article[i] else plain[i]
-                article[i] = i
-        body = next((i for i in range(n) if tag[i] == "body" and chars[i]), 0)
+                told |= plain[i] > 0
+                frame[i] = i
+        large = [2 * plain[i] > plain[frame[i] or body] for i in range(n)]
+        # The doubtful element that a node lies in, if any, and where the text not in doubt begins and ends.
+        within = [0] * n
+        for i in range(1, n):
+            within[i] = i if weight[i] and not large[i] and not holds[i] else within[parent[i]]
+        firsts, lasts, began, ended = {}, {}, [len(self.runs)] * n, [-1] * n
+        for at, (node, run) in enumerate(self.runs):
+            if run.strip() and not out[node]:
+                began[node], ended[node] = min(began[node], at), at
+                if not within[node] and not self.link[node]:
+                    firsts.setdefault(frame[node], at)
+                    lasts[frame[node]] = at
+        for i in range(n - 1, 0, -1):
+            began[parent[i]], ended[parent[i]] = min(began[parent[i]], began[i]), max(ended[parent[i]], ended[i])
+        sections = self._sections(plain, within, frame)
         sure = out
         out = list(sure)
         for i in range(1, n):
             out[i] |= out[parent[i]]
             most[i] = most[parent[i]]
-            if doubt[i] in (HINT, FORM, NAMED) and not out[i] and not holds[i]:
-                large = 2 * plain[i] > plain[body]
-                if doubt[i] == NAMED:
-                    large = large and told <= (plain[i] if article[i] else 0)
-                else:
-                    large = large or article[i] > 0 and 2 * plain[i] > plain[article[i]]
-                most[i] |= large
-                out[i] = not large and (doubt[i] != HINT or 2 * plain[i] < chars[i])
+            if weight[i] and not out[i] and not holds[i]:
+                amid = firsts.get(frame[i], len(self.runs)) < began[i] and ended[i] < lasts.get(frame[i], -1)
+                told_elsewhere = told and not frame[i]
+                score = weight[i] + (-2 if large[i] else 1) + (not amid) + 2 * told_elsewhere + 2 * (2 * plain[i] < chars[i]) - 1.5 * (amid and i in sections)
+                out[i] = score >= OUT
+                most[i] |= large[i] and not out[i]
         if not any(run.strip() and not out[node] for node, run in self.runs):
             return sure, most
         return out, most
 
+    def _sections(self, plain: list[int], within: list[int], frame: list[int]) -> set[int]:
+        """Doubtful elements with a heading and two or more paragraphs, on average at least
+        half as long as the median paragraph of their frame that is not in doubt."""
+        usual: dict[int, list[int]] = {}
+        own: dict[int, list[int]] = {}
+        headed = set()
+        for i, tag in enumerate(self.tag):
+            if tag == "p" and plain[i]:
+                (own if within[i] else usual).setdefault(within[i] or frame[i], []).append(plain[i])
+            elif tag in HEADINGS and within[i]:
+                headed.add(within[i])
+        typical = {f: sorted(sizes)[len(sizes) // 2] for f, sizes in usual.items()}
+        return {i for i in headed if len(own.get(i, ())) > 1 and 2 * sum(own[i]) >= len(own[i]) * min(typical.get(frame[i], 0), LONG_PARAGRAPH)}
 
-def main_text(text: str | None) -> str:
-    """The main text of one page."""
-    page = Page(text or "")
-    n = len(page.tag)
-    chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-    parent = page.parent
-    dropped, most = page.dropped()
-    for node, run in page.runs:
-        if run and not dropped[node]:
-            size = len(run.strip())
-            chars[node] += size
-            if page.link[node]:
-                link_chars[node] += size
+
+def name_weight(name: str) -> float:
+    """How much a class or an id says that an element is no content."""
+    words = [w.lower() for w in _WORD.findall(name)]
+    if TURNING_NAMES.intersection(words):
+        return TOPIC
+    words = [w for w in words if w not in PLAIN_NAMES]
+    if not words:
+        return 0.0
+    if all(w in DROP_NAMES for w in words):
+        return WHOLE
+    if words[-1] in DROP_NAMES or SURE_NAMES.intersection(words):
+        return NAMED
+    return PARTLY if DROP_NAMES.intersection(words) else TOPIC if TOPIC_NAMES.intersection(words) else 0.0
+
+
+def densities(page: Page, dropped: list[bool], body: int, chars: list[int], link_chars: list[int]) -> list[float]:
+    """Characters per tag of each node, lowered by its share of link text. chars and
+    link_chars are those of the nodes' own text, and come out as those of their subtrees."""
+    n, parent = len(page.tag), page.parent
+    tags, link_tags = [0] * n, [0] * n
     for node in range(n - 1, 0, -1):  # children come after their parents
         if not dropped[node]:
             up = parent[node]
@@ -263,7 +311,6 @@ def main_text(text: str | None) -> str:
                 continue  # emphasis is not structure
             tags[up] += tags[node] + 1
             link_tags[up] += link_tags[node] + (page.tag[node] == "a")
-    body = next((i for i in range(n) if page.tag[i] == "body"), 0)
     if not chars[body]:
         body = 0
     whole_c, whole_l = max(1, chars[body]), link_chars[body]
@@ -276,7 +323,25 @@ def main_text(text: str | None) -> str:
         base = math.log(c / max(1, c - lc) * lc + whole_l / whole_c * c + math.e)
         return c / t * math.log(max(1.0, c / max(1, lc) * t / max(1, lt)) + 1) / math.log(base + 1)
 
-    dense = [0.0 if dropped[i] else density(i) for i in range(n)]
+    return [0.0 if dropped[i] else density(i) for i in range(n)]
+
+
+def main_text(text: str | None) -> str:
+    """The main text of one page."""
+    page = Page(text or "")
+    n, parent = len(page.tag), page.parent
+    chars, link_chars = [0] * n, [0] * n
+    dropped, most = page.dropped()
+    for node, run in page.runs:
+        if run and not dropped[node]:
+            size = len(run.strip())
+            chars[node] += size
+            if page.link[node]:
+                link_chars[node] += size
+    body = next((i for i in range(n) if page.tag[i] == "body"), 0)
+    dense = densities(page, dropped, body, chars, link_chars)
+    if not chars[body]:
+        body = 0
     total = [0.0] * n
     for i in range(1, n):
         if not dropped[i]:
