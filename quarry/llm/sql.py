@@ -69,20 +69,51 @@ def _settled(u: str) -> str:
     return f"CASE WHEN contains({u}, '://') THEN {bare} || CASE WHEN len({kept}) > 0 THEN '?' || array_to_string(list_sort({kept}), '&') ELSE '' END END"
 
 
+_BLANK = r"[ \t\n\f\r]"
+_RAW = "|".join(rf"<{name}[ \t\n\f\r/>].*?(?:</{name}[ \t\n\f\r/>]|\z)" for name in "script style textarea title xmp iframe noembed noframes".split())
+_ATTR = rf"""[^ \t\n\f\r/>=]+(?:{_BLANK}*={_BLANK}*(?:"[^"]*"|''[^'']*''|[^ \t\n\f\r>"''][^ \t\n\f\r>]*)|{_BLANK}*={_BLANK}*)?"""
+_TAGS = rf"regexp_extract_all(html, '(?i)<(?:link|meta|base)[ \t\n\f\r/](?:[ \t\n\f\r/]+|{_ATTR})*>')"
+_ENTITIES = """MAP {'amp': '&', 'AMP': '&', 'quot': '"', 'apos': '''', 'lt': '<', 'gt': '>', 'sol': '/', 'colon': ':', 'period': '.', 'quest': '?', 'num': '#', 'equals': '=', 'percnt': '%', 'lowbar': '_', 'commat': '@', 'plus': '+', 'semi': ';', 'comma': ','}"""
+
+
+def _numbered(code: str) -> str:
+    return f"CASE WHEN {code} BETWEEN 1 AND 1114111 AND {code} NOT BETWEEN 55296 AND 57343 THEN chr(CAST({code} AS INTEGER)) ELSE chr(65533) END"
+
+
+def _unescaped(v: str) -> str:
+    pieces = f"regexp_extract_all({v}, '&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[a-zA-Z]+;|&|[^&]+')"
+    digits = lambda base: f"coalesce(nullif(ltrim(regexp_extract(p, '^&#[xX]?({base}+)', 1), '0'), ''), '0')"
+    short = lambda base: f"CASE WHEN length({digits(base)}) < 8 THEN {digits(base)} ELSE '0' END"
+    hexed, decimal = f"CAST('0x' || {short('[0-9a-fA-F]')} AS BIGINT)", f"CAST({short('[0-9]')} AS BIGINT)"
+    one = f"CASE WHEN regexp_matches(p, '^&#[xX]') THEN {_numbered(hexed)} WHEN regexp_matches(p, '^&#[0-9]') THEN {_numbered(decimal)} ELSE coalesce({_ENTITIES}[regexp_extract(p, '^&([a-zA-Z]+);$', 1)], p) END"
+    return f"CASE WHEN contains({v}, '&') THEN array_to_string(list_transform({pieces}, lambda p: {one}), '') ELSE {v} END"
+
+
 def url_aliases(rules: list[tuple[str, str]]) -> str:
     """Verdicts over pages: rules, and components of redirects and canonical links."""
-    plain = lambda u: f"regexp_replace({u}, '(?i)&(amp|#38|#x26);', '&', 'g')"
-    value = "\\s*=\\s*[\"'']?"
-    target = value + "([^\"''\\s>]+)"
+    attr = lambda name: f"list_filter(attrs, lambda x: x.name = '{name}')[1].value"
+    link = lambda u: rf"regexp_replace(regexp_replace({u}, '^[\x00-\x20]+|[\x00-\x20]+\z', '', 'g'), '[\t\n\r]', '', 'g')"
     return rf"""
-WITH RECURSIVE tags AS (
-  SELECT DISTINCT url, html, unnest(regexp_extract_all(html, '(?i)<link\b[^>]*|<meta\b[^>]*')) AS tag FROM pages WHERE contains(url, '://')),
+WITH RECURSIVE shown AS (
+  SELECT DISTINCT url, regexp_replace(html, '(?is)<!--(?:-?>|.*?(?:--!?>|\z))|{_RAW}', ' ', 'g') AS html FROM pages
+  WHERE contains(url, '://') AND (contains(lower(html), 'canonical') OR contains(lower(html), 'refresh'))),
+tags AS (SELECT url, html, unnest({_TAGS}) AS tag, generate_subscripts({_TAGS}, 1) AS i FROM shown),
+split AS (
+  SELECT url, html, i, lower(regexp_extract(tag, '^<([a-zA-Z]+)', 1)) AS name, list_transform(regexp_extract_all(regexp_replace(tag, '^<[a-zA-Z]+', ''), '{_ATTR}'),
+    lambda a: {{'name': lower(regexp_extract(a, '^[^ \t\n\f\r/>=]+')), 'raw': CASE WHEN contains(a, '=') THEN regexp_replace(a, '^[^=]*={_BLANK}*', '') END}}) AS parts FROM tags),
+read AS (
+  SELECT url, html, i, name, list_transform(parts, lambda a: {{'name': a.name, 'value': CASE WHEN regexp_matches(a.raw, '^["'']') THEN a.raw[2:-2] ELSE a.raw END}}) AS parts FROM split),
+clear AS (SELECT url, html, i, name, list_transform(parts, lambda a: {{'name': a.name, 'value': {_unescaped("a.value")}}}) AS attrs FROM read),
+valued AS (
+  SELECT url, html, i, name, {attr("href")} AS href, {attr("rel")} AS rel, {attr("http-equiv")} AS equiv,
+    regexp_extract({attr("content")}, '(?is)^{_BLANK}*[0-9.]+(?:{_BLANK}*[;,]{_BLANK}*|{_BLANK}+)(?:url{_BLANK}*={_BLANK}*)?(.*)\z', 1) AS target FROM clear),
 raw AS (
-  SELECT url, html, CASE
-    WHEN regexp_matches(tag, '(?i)^<link\b[^>]*\brel{value}canonical\b') THEN regexp_extract(tag, '(?i)^<link\b[^>]*\bhref{target}', 1)
-    WHEN regexp_matches(tag, '(?i)^<meta\b[^>]*\bhttp-equiv{value}refresh\b') THEN regexp_extract(tag, '(?i)^<meta\b[^>]*\burl{target}', 1) END AS u,
-    nullif(regexp_extract(html, '(?i)<base\b[^>]*\bhref{target}', 1), '') AS base FROM tags),
-based AS (SELECT url, {plain("u")} AS u, {plain("base")} AS base FROM raw WHERE u <> ''),
+  SELECT url, html, i, name, CASE
+    WHEN name = 'base' OR name = 'link' AND list_contains(regexp_split_to_array(lower(rel), '{_BLANK}+'), 'canonical') THEN href
+    WHEN name = 'meta' AND regexp_matches(equiv, '(?i)^{_BLANK}*refresh{_BLANK}*$') THEN CASE WHEN left(target, 1) IN ('"', '''') THEN string_split(substr(target, 2), left(target, 1))[1] ELSE target END END AS u FROM valued),
+bare AS (SELECT url, html, i, name, {link("u")} AS u FROM raw),
+bases AS (SELECT url AS of_url, html AS of_html, arg_min(u, i) AS base FROM bare WHERE name = 'base' AND u <> '' GROUP BY ALL),
+based AS (SELECT url, u, base FROM bare LEFT JOIN bases ON url = of_url AND html = of_html WHERE u <> '' AND name <> 'base'),
 placed AS (SELECT url, u, coalesce({_resolved("base", "url")}, url) AS b FROM based),
 named AS (SELECT DISTINCT url, link FROM (SELECT url, {_resolved("u", "b")} AS link FROM placed) WHERE link IS NOT NULL),
 found AS (

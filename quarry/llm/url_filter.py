@@ -8,8 +8,12 @@ tracking parameters) and to the page's canonical link, and the connected compone
 of these edges are the aliases. A component with a url that a rule blocks is blocked,
 unless it also has one that a rule allows: an explicit allow takes precedence.
 
-Links are resolved against the page's url or its base element; `&amp;` in them stands for
-an ampersand. Links of schemes without "://" are no urls.
+Tags are read as HTML has them: comments and the text of scripts and the like are left out, a
+quoted value is one whatever it holds, attributes are told by their whole names (the first of
+a name counts), rel is a list of words, and character references in values are decoded (those
+by number, and the names of characters that urls have). A page is read only if it has the word
+canonical or refresh somewhere. Links are resolved against the page's url or its base element.
+Links of schemes without "://" are no urls.
 
 Edge cases: null urls and those without "://" have an empty host and path, no rule and
 no aliases, and are allowed. Null html has no edges. Pages that repeat a url share its
@@ -90,21 +94,85 @@ def resolved(link: Column, base: Column) -> Column:
     )
 
 
+# Fixed values of HTML: white space, elements whose content is no markup, an attribute, a tag.
+_WS = r"[ \t\n\f\r]"
+_HIDDEN = rf"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|<(script|style|textarea|title|xmp|iframe|noembed|noframes)(?=[ \t\n\f\r/>]).*?(?:</\1(?=[ \t\n\f\r/>])|\z)"
+_NAME = r"[^ \t\n\f\r/>=]++"
+_ATTRIBUTE = rf"""{_NAME}(?:{_WS}*+=(?:{_WS}*+"[^"]*+"|{_WS}*+'[^']*+'|{_WS}*+[^ \t\n\f\r>"'][^ \t\n\f\r>]*+|{_WS}*+(?=>)))?+"""
+_TAG = rf"(?i)<(?:link|meta|base)(?=[ \t\n\f\r/>])(?:[ \t\n\f\r/]++|{_ATTRIBUTE})*+>"
+_REFERENCE = "&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[a-zA-Z]+;|&|[^&]+"
+_NAMED = {"amp": "&", "AMP": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">", "sol": "/", "colon": ":", "period": ".", "quest": "?", "num": "#", "equals": "=", "percnt": "%", "lowbar": "_", "commat": "@", "plus": "+", "semi": ";", "comma": ","}
+
+
+def _character(reference: Column) -> Column:
+    """What one reference stands for; other text as it is."""
+    digits = F.regexp_replace(F.regexp_extract(reference, "^&#[xX]?([0-9a-fA-F]+)", 1), "^0+(?=.)", "")
+    short = F.when(F.length(digits) < 8, digits).otherwise("0")
+    code = F.when(reference.rlike("^&#[xX]"), F.conv(short, 16, 10)).otherwise(F.conv(short, 10, 10)).cast("long")
+    real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    by_number = F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+    names = F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair])
+    by_name = F.coalesce(F.try_element_at(names, F.regexp_extract(reference, "^&([a-zA-Z]+);$", 1)), reference)
+    return F.when(reference.rlike("^&#[xX]?[0-9a-fA-F]"), by_number).when(reference.startswith("&"), by_name).otherwise(reference)
+
+
+def decoded(value: Column) -> Column:
+    """An attribute's value with its character references decoded."""
+    return F.when(F.locate("&", value) > 0, F.array_join(F.transform(F.regexp_extract_all(value, F.lit(_REFERENCE), 0), _character), "")).otherwise(value)
+
+
+def attributes(tag: Column) -> Column:
+    """An array of (name, value) in the order of the tag; values decoded, null where there is none."""
+
+    def parts(a: Column) -> Column:
+        raw = F.when(F.locate("=", a) > 0, F.regexp_replace(a, rf"^[^=]*={_WS}*", ""))
+        bare = F.when(raw.rlike("^[\"']"), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+        return F.struct(F.lower(F.regexp_extract(a, f"^{_NAME}", 0)).alias("name"), decoded(bare).alias("value"))
+
+    return F.transform(F.regexp_extract_all(F.regexp_replace(tag, "^<[a-zA-Z]+", ""), F.lit(_ATTRIBUTE), 0), parts)
+
+
+def _value(attrs: Column, name: str) -> Column:
+    return F.get(F.filter(attrs, lambda x: x["name"] == name), F.lit(0))["value"]
+
+
+def _as_url(value: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(value, r"^[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
+
+
+def _refresh_to(content: Column) -> Column:
+    """The url in the content of a refresh."""
+    rest = F.regexp_extract(content, rf"(?is)^{_WS}*[0-9.]+{_WS}*(?:[;,]{_WS}*|(?<={_WS}))(?:url{_WS}*={_WS}*)?(.*)\z", 1)
+    inner = F.substring(rest, 2, 1 << 30)
+    return F.when(rest.startswith('"'), F.substring_index(inner, '"', 1)).when(rest.startswith("'"), F.substring_index(inner, "'", 1)).otherwise(rest)
+
+
 def named_links(url: Column, html: Column) -> Column:
     """Urls that the page names as its canonical link or refreshes to."""
     none, low = F.array().cast("array<string>"), F.lower(html)
-    found = lambda guard, pattern: F.when(F.locate(guard, low) > 0, F.regexp_extract_all(html, F.lit(pattern), 1))
-    canonical = found("canonical", r"""(?i)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""")
-    refresh = found("http-equiv", r"""(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)""")
-    bases = found("<base", r"""(?i)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""")
-    plain = lambda u: F.regexp_replace(u, "(?i)&(amp|#38|#x26);", "&")
-
-    def links(c: Column) -> Column:
-        base = F.coalesce(resolved(plain(F.get(bases, F.lit(0))), url), url)
-        return _with(base, lambda b: F.filter(F.transform(c, lambda u: resolved(plain(u), b)), lambda u: u.isNotNull()))
-
-    every = F.concat(F.coalesce(canonical, none), F.coalesce(refresh, none))
-    return F.when(F.locate("://", url) > 0, _with(every, lambda c: F.when(F.size(c) > 0, links(c)).otherwise(none))).otherwise(none)
+
+    def of_tag(tag: Column) -> Column:
+        """(kind, link) of a tag: base, or link for a canonical link or a refresh; else nulls."""
+
+        def told(attrs: Column) -> Column:
+            name = F.lower(F.regexp_extract(tag, "^<([a-zA-Z]+)", 1))
+            canonical = (name == "link") & F.array_contains(F.split(F.lower(_value(attrs, "rel")), f"{_WS}+"), "canonical")
+            refresh = (name == "meta") & (F.lower(F.btrim(_value(attrs, "http-equiv"), F.lit(" \t\n\f\r"))) == "refresh")
+            link = F.when(refresh, _refresh_to(_value(attrs, "content"))).otherwise(_value(attrs, "href"))
+            kind = F.when(name == "base", "base").when(canonical | refresh, "link")
+            return F.struct(kind.alias("kind"), F.when(kind.isNotNull(), _as_url(link)).alias("link"))
+
+        return _with(attributes(tag), told)
+
+    tags = F.regexp_extract_all(F.regexp_replace(html, _HIDDEN, " "), F.lit(_TAG), 0)
+
+    def links(found: Column) -> Column:
+        of = lambda kind: F.transform(F.filter(found, lambda x: (x["kind"] == kind) & (x["link"] != "")), lambda x: x["link"])
+        base = F.coalesce(resolved(F.get(of("base"), F.lit(0)), url), url)
+        return _with(base, lambda b: F.filter(F.transform(of("link"), lambda u: resolved(u, b)), lambda u: u.isNotNull()))
+
+    some = (F.locate("canonical", low) > 0) | (F.locate("refresh", low) > 0)
+    return F.when(some & (F.locate("://", url) > 0), _with(F.transform(tags, of_tag), links)).otherwise(none)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import re
+from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pytest
@@ -7,7 +8,7 @@ from compare import assert_equal
 from pyspark.sql import functions as F
 
 from quarry.llm.queries import SQL, URL_RULES, op2_url_aliases
-from quarry.llm.url_filter import judge, resolved
+from quarry.llm.url_filter import judge, named_links, resolved
 
 PAGES = [
     (1, "http://A.com/en/x", '<link rel="canonical" href="http://b.org/q">'),
@@ -99,6 +100,97 @@ def test_like_sql_with_links(spark, tmp_path, n):
     assert_equal(op2_url_aliases(spark, str(tmp_path)), str(tmp_path), SQL["op2_url_aliases"])
 
 
+NAMING = [
+    '<link rel="alternate canonical" href="http://q.net/1">',
+    '<link rel=canonical href="http://q.net/1" data-href="http://z.net/2">',
+    '<link title="a>b" rel=canonical href="http://q.net/1">',
+    '<link rel=canonical href="http:&#x2F;&#47;q.net&sol;1">',
+    '<link rel=canonical href = "  http://q.net/1 ">',
+    "<link rel='Canonical' href=http://q.net/1 href=http://z.net/2 />",
+]
+NOT_NAMING = [
+    '<!-- <link rel=canonical href="http://q.net/1"> -->',
+    '<link rel="canonical-x" href="http://q.net/1">',
+    '<link data-rel="canonical" href="http://q.net/1">',
+    '<script>var x = "<link rel=canonical href=http://q.net/1>";</script>',
+    '<link title="rel=canonical href=http://q.net/1">',
+    '<linked rel=canonical href="http://q.net/1">',
+]
+
+
+def test_links_that_are_there_and_that_are_not(spark, tmp_path):
+    """Blocked pages with some html, and what it may name, in Spark and in SQL."""
+    rows = []
+    for k, html in enumerate(NAMING + NOT_NAMING):
+        mine = re.sub(r"\b([qz])\.net", rf"\g<1>{k}.net", html)
+        rows += [(3 * k, f"http://spam.org/es/{k}", "<head>" + mine + "<p>x"), (3 * k + 1, f"http://q{k}.net/1", ""), (3 * k + 2, f"http://z{k}.net/2", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").toPandas().to_parquet(tmp_path / "pages.parquet")
+    assert_equal(op2_url_aliases(spark, str(tmp_path)), str(tmp_path), SQL["op2_url_aliases"])
+    got = {r.page_id: r.verdict for r in op2_url_aliases(spark, str(tmp_path)).collect()}
+    want = [["block", "block" if k < len(NAMING) else "allow", "allow"] for k in range(len(NAMING + NOT_NAMING))]
+    assert [got[i] for i in range(len(rows))] == [v for three in want for v in three]
+
+
+class Links(HTMLParser):
+    """Canonical links and refreshes, as the standard library reads tags."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.base, self.found = None, []
+
+    def handle_starttag(self, tag, attrs):
+        at = {}
+        for name, value in attrs:
+            at.setdefault(name, value)
+        if tag == "base" and self.base is None and (at.get("href") or "").strip():
+            self.base = at["href"].strip()
+        link = at.get("href") if tag == "link" and "canonical" in (at.get("rel") or "").lower().split() else None
+        if tag == "meta" and (at.get("http-equiv") or "").strip().lower() == "refresh":
+            m = re.match(r"""\s*[0-9.]+(?:\s*[;,]\s*|\s+)(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.*))""", at.get("content") or "", re.I | re.S)
+            link = next((g for g in m.groups() if g is not None), None) if m else None
+        if link and link.strip():
+            self.found.append(link.strip())
+
+
+def made_html(rnd):
+    url = lambda: rnd.choice(["http://q.net/1", "http://q.net/a&amp;b", "/es/1", "x?a=1&#38;b", "https:&#x2f;&#x2F;e.com/%20", "y", "../z", "http://h.org/&#233;"])
+    value = lambda v: rnd.choice([f'"{v}"', f"'{v}'", v.replace(" ", "") or '""', f'" {v}\n"'])
+    sp = lambda: rnd.choice(["", "", " ", "\n"])
+
+    def tag():
+        kind = rnd.choice(["link", "LINK", "link", "meta", "Meta", "base", "links"])
+        attrs = [("href", url()), ("rel", rnd.choice(["canonical", "CANONICAL", "alternate canonical", "canonical-x"])), ("http-equiv", rnd.choice(["refresh", "Refresh", "content-type"])),
+                 ("content", rnd.choice(["0; url=", "5;URL=", "0, ", "1 url = '", "x; url="]) + url()), ("title", "a>b"), ("data-rel", "canonical"), ("data-href", "http://w.org/"), ("hidden", None), ("HREF", url()), ("title", "it''s rel=canonical")]
+        chosen = rnd.sample(attrs, rnd.randint(5, 9))
+        body = "".join(rnd.choice([" ", "\n", "\t "]) + name + ("" if v is None else sp() + "=" + sp() + (f'"{v}"' if ">" in v or "'" in v or " " in v else value(v))) for name, v in chosen)
+        return f"<{kind}{body}{rnd.choice(['', ' ', ' /'])}>"
+
+    parts = [rnd.choice([tag, tag, tag, lambda: "<!-- " + tag() + " -->", lambda: "<script>x = '" + tag() + "'</script>", lambda: "<p>text &lt;link rel=canonical>", lambda: "<style>" + tag() + "</style>"])() for _ in range(rnd.randint(1, 6))]
+    return "<html><head>" + "".join(parts)
+
+
+def test_links_like_the_standard_parser(spark):
+    rnd = random.Random(9)
+    pages = [(i, "http://e.com/a/b", made_html(rnd)) for i in range(600)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: (r.links, r.html) for r in df.select("page_id", "html", named_links(F.col("url"), F.col("html")).alias("links")).collect()}
+    some = 0
+    for i, url, html in pages:
+        parser = Links()
+        parser.feed(html)
+        base = urljoin(url, parser.base or "")
+        want = [urljoin(base, u) for u in parser.found]
+        assert got[i][0] == want, html
+        some += bool(want)
+    assert some > 200
+
+
+def test_very_long_pages(spark):
+    pages = ["canonical <link" + " a='1'" * 20_000 + " rel=canonical href=ok>", "<!--" * 30_000 + "canonical", "canonical" + "<link rel=canonical href='" * 3_000, "canonical &" + "&#" * 50_000 + "<link rel=canonical href='" + "&#x;&" * 20_000 + "'>"]
+    df = spark.createDataFrame([("http://e.com/", p) for p in pages], "url string, html string")
+    assert [len(r.links) for r in df.select(named_links(F.col("url"), F.col("html")).alias("links")).collect()] == [1, 0, 0, 1]
+
+
 def plain(url):
     """Host, path, rule and verdict without aliases."""
     _, found, rest = (url or "").partition("://")
