@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.columns import refuse, unused
+
 
 def as_of_join(left: DataFrame, right: DataFrame, by: str, time: str, values: list[str], span_seconds: int = 86_400) -> DataFrame:
     """left with, for each row, the values of right's latest row of the same `by` at or
@@ -15,9 +17,7 @@ def as_of_join(left: DataFrame, right: DataFrame, by: str, time: str, values: li
     Both sides are dealt by key and span of time, so that a key with very many rows is
     many groups. A row whose span has nothing earlier takes the last values of the
     nearest span before, from a table with one row for each key and span."""
-    clash = {"_by", "_at", "_v", "_span", "_side"} & {c.lower() for c in left.columns}
-    if clash:
-        raise ValueError(f"left has columns named {sorted(clash)}")
+    refuse(left, ["_by", "_at", "_v", "_span", "_side"], "left")
     marked = F.struct(*[F.col(v) for v in values])
     span = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / span_seconds)
     right = right.select(F.col(by).alias("_by"), F.col(time).alias("_at"), marked.alias("_v")).withColumn("_span", span("_at")).where("_by is not null and _at is not null")
@@ -36,13 +36,17 @@ def as_of_join(left: DataFrame, right: DataFrame, by: str, time: str, values: li
 
 def within_join(left: DataFrame, right: DataFrame, by: str, time: str, seconds: int, prefix: str = "next_") -> DataFrame:
     """Pairs of a left row and a right row of the same `by` that is up to `seconds`
-    later. The right side's columns get the prefix; left may not have such names, nor _span.
+    later. The right side's columns get the prefix; it is an error if left has such names. Rows
+    of a null `by` or time have no partner.
 
     Time is cut into spans of that length: a left row meets its own span and the next,
     so the join is an equi-join with a filter."""
+    refuse(left, [prefix + c for c in right.columns], "left")
     span = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / seconds)
-    right = right.select(*[F.col(c).alias(prefix + c) for c in right.columns]).withColumn("_span", span(prefix + time))
-    left = left.withColumn("_span", F.explode(F.array(span(time), span(time) + 1)))
+    right = right.select(*[F.col(c).alias(prefix + c) for c in right.columns])
+    mine, other = unused(left, "_span"), unused(right, "_span_of_right")
+    right = right.withColumn(other, span(prefix + time))
+    left = left.withColumn(mine, F.explode(F.array(span(time), span(time) + 1)))
     gap = F.col(prefix + time) - F.col(time)
     zero, most = F.expr("INTERVAL '0' SECOND"), F.make_dt_interval(secs=F.lit(seconds))
-    return left.join(right, (left["_span"] == right["_span"]) & (F.col(by) == F.col(prefix + by))).where((gap > zero) & (gap <= most)).drop("_span")
+    return left.join(right, (F.col(mine) == F.col(other)) & (F.col(by) == F.col(prefix + by))).where((gap > zero) & (gap <= most)).drop(mine, other)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import words
-from quarry.operators.grouping import first_of_each
+from quarry.operators.grouping import first_of_each, folded_text
 from quarry.sources import table
 
 
@@ -63,8 +63,7 @@ def longest_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation's roles in order, and a digest of its text."""
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    return rows.select("conv_id", F.array_join(F.transform("m", lambda x: x["role"]), ">").alias("roles"), F.md5(F.array_join(F.transform("m", lambda x: x["text"]), "\n").cast("binary")).alias("digest"))
+    return folded_text(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], "text", "role").withColumnRenamed("labels", "roles")
 
 
 def vocabulary_of_roles(spark: SparkSession, sf_dir: str) -> DataFrame:

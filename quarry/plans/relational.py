@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import host
-from quarry.operators.grouping import first_of_each, places, sessions
+from quarry.operators.grouping import first_of_each, medians, places, sessions
 from quarry.operators.joins import as_of_join, within_join
 from quarry.sources import table
 
@@ -157,9 +157,11 @@ def nations_of_both(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistical aggregates."""
-    rows = table(spark, sf_dir, "part").groupBy("p_brand")
-    return rows.agg(F.round(F.stddev("p_retailprice"), 6).alias("sd"), F.round(F.percentile("p_retailprice", 0.5), 6).alias("median"), F.round(F.corr("p_size", "p_retailprice"), 6).alias("corr"), F.min_by("p_partkey", F.struct("p_retailprice", "p_partkey")).alias("cheapest"))
+    """Statistical aggregates; the median by places, as a brand may have any number of parts."""
+    part = table(spark, sf_dir, "part")
+    rest = part.groupBy("p_brand").agg(F.round(F.stddev("p_retailprice"), 6).alias("sd"), F.round(F.corr("p_size", "p_retailprice"), 6).alias("corr"), F.min_by("p_partkey", F.struct("p_retailprice", "p_partkey")).alias("cheapest"))
+    middle = medians(part, "p_brand", "p_retailprice", [0.5], ["median"]).select(F.col("p_brand").alias("of_brand"), F.round("median", 6).alias("median"))
+    return rest.join(middle, F.col("p_brand").eqNullSafe(F.col("of_brand")), "left").drop("of_brand")
 
 
 def above_average_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

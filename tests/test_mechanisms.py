@@ -1,0 +1,149 @@
+"""Frames, percentiles, folds, sketches and layouts on small inputs with nulls, ties, hot keys
+and clashing names."""
+
+import datetime as dt
+import hashlib
+import random
+from statistics import median
+
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.operators.bucketed import bucketed
+from quarry.operators.frames import range_frame
+from quarry.operators.grouping import folded_text, medians, places
+from quarry.operators.joins import within_join
+from quarry.operators.sketches import merged, summarised
+from quarry.plans import mechanisms
+from quarry.sources import table
+
+T0 = dt.datetime(2024, 1, 1)
+
+
+def at(minutes):
+    return T0 + dt.timedelta(minutes=minutes)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_range_frame(spark):
+    rnd = random.Random(1)
+    rows = [(i, rnd.choice(["a", "b", None]), at(rnd.randrange(-300, 900)), rnd.choice([None, 1, 2, 5])) for i in range(300)]
+    rows += [(1000, "a", None, 3), (1001, "a", None, 4), (1002, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, k string, ts timestamp_ntz, v int").withColumns({"_at": F.lit(1), "_span": F.lit(2), "_own": F.lit(3)})
+    got = range_frame(df, "k", "ts", 3600, {"n": F.count("*"), "total": F.sum("v")})
+    assert got.columns == [*df.columns, "n", "total"]
+    got = {r.id: (r.n, r.total) for r in got.collect()}
+    for i, k, ts, _ in rows:
+        near = [v for _, k2, t, v in rows if k2 == k and (t is None if ts is None else t is not None and ts - dt.timedelta(hours=1) <= t <= ts)]
+        values = [v for v in near if v is not None]
+        assert got[i] == (len(near), sum(values) if values else None)
+    assert len(got) == len(rows)
+    assert range_frame(df.limit(0), "k", "ts", 3600, {"n": F.count("*")}).count() == 0
+    with pytest.raises(ValueError):
+        range_frame(df, "k", "ts", 3600, {"ID": F.count("*")})
+
+
+def test_range_frame_splits_one_key(spark):
+    """All rows have one key, and still all partitions have rows."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(4000).select(F.lit(1).alias("k"), F.timestamp_seconds(F.col("id") * 60).alias("ts"))
+        got = range_frame(df, "k", "ts", 3600, {"n": F.count("*")})
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(sizes) == 4 and max(sizes) < 2000
+    assert got.where("n <> 61").count() == 60  # the first hour's
+
+
+def test_places_with_any_names(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 1), (None, 2)], "by string, v int")
+    odd = df.withColumns({c: F.lit(7) for c in ("_range", "_of", "_lift", "n", "d", "span", "rows")})
+    got = places(odd, "by", ["v"])
+    assert sorted((r.by or "", r.v, r._row, r._rows, r._range, r.n, r["rows"]) for r in got.collect()) == [("", 2, 1, 1, 7, 7, 7), ("a", 1, 1, 2, 7, 7, 7), ("a", 3, 2, 2, 7, 7, 7)]
+    with pytest.raises(ValueError):
+        places(df.withColumn("_row", F.lit(1)), "by", ["v"])
+    named = places(df.withColumn("_row", F.lit(1)), "by", ["v"], prefix="place_")
+    assert {(r.v, r.place_row, r._row) for r in named.collect()} == {(3, 2, 1), (1, 1, 1), (2, 1, 1)}
+
+
+def test_within_join_with_any_names(spark):
+    left = spark.createDataFrame([(1, at(0), 5)], "k int, ts timestamp_ntz, _span int")
+    right = spark.createDataFrame([(1, at(1), 6)], "k int, ts timestamp_ntz, _span int")
+    got = within_join(left, right, "k", "ts", 600)
+    assert [tuple(r) for r in got.collect()] == [(1, at(0), 5, 1, at(1), 6)]
+    with pytest.raises(ValueError):
+        within_join(left.withColumn("next_k", F.lit(1)), right, "k", "ts", 600)
+
+
+def test_medians(spark):
+    rnd = random.Random(2)
+    rows = [(g, float(rnd.randrange(20))) for g in ("a", "b", "c", None) for _ in range(rnd.randint(1, 30))] + [("hot", float(i)) for i in range(501)] + [("none", None), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.low, r.mid, r.high) for r in medians(df, "g", "v", [0.0, 0.5, 1.0], ["low", "mid", "high"]).collect()}
+    want = {g: [v for h, v in rows if h == g and v is not None] for g in {g for g, _ in rows}}
+    assert got == {g: (min(v), median(v), max(v)) for g, v in want.items() if v}
+    quarter = {r.g: r.q for r in medians(df.where("g = 'hot'"), "g", "v", [0.2505], ["q"]).collect()}
+    assert quarter["hot"] == pytest.approx(125.25)
+
+
+def test_folded_text(spark):
+    rows = [("a", 2, "x", "two"), ("a", 1, "y", "one"), ("a", 3, None, None), ("b", 1, "z", ""), (None, 1, "w", "null"), (None, 0, "v", None)]
+    rows += [("hot", i, "r", f"line {i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, by int, label string, text string").repartition(3)
+    got = {r.g: (r.labels, r.digest) for r in folded_text(df, "g", ["by"], "text", "label").collect()}
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    assert got == {"a": ("y>x", md5("one\ntwo")), "b": ("z", md5("")), None: ("v>w", md5("null")), "hot": (">".join("r" * 3000), md5("\n".join(f"line {i}" for i in range(3000))))}
+    assert folded_text(df.limit(0), "g", ["by"], "text", "label").count() == 0
+
+
+def test_sketches_merge_to_any_range(spark):
+    """Sketches of parts, merged in two ways, tell as much as one of the whole."""
+    df = spark.range(60_000).select((F.col("id") % 30).alias("day"), (F.col("id") * 7919 % 20_011).alias("user"), (F.col("id") * 104_729 % 60_000).cast("double").alias("v"))
+    days = summarised(df, [F.col("day")], "user", "v")
+    for parts in (1, 7):
+        by_part = merged(days, [F.floor(F.col("day") / parts).alias("part")])
+        r = merged(by_part, []).select(F.hll_sketch_estimate("users").alias("users"), F.kll_sketch_get_quantile_double("spread", F.lit(0.9)).alias("q"), "n").first()
+        assert r.n == 60_000 and abs(r.users - 20_011) < 20_011 * 0.05 and abs(r.q - 54_000) < 60_000 * 0.02
+    empty = spark.createDataFrame([(1, None, None)], "day int, user long, v double")
+    one = merged(summarised(empty, [F.col("day")], "user", "v"), []).select(F.hll_sketch_estimate("users").alias("users"), "n").first()
+    assert (one.users, one.n) == (0, 0)
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, sf_dir):
+    orders = bucketed(table(spark, sf_dir, "orders"), "o_orderkey", 4)
+    lines = bucketed(table(spark, sf_dir, "lineitem"), "l_orderkey", 4)
+    joined = mechanisms.order_lines(orders, lines)
+    rows = joined.count()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    assert rows == table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).count()
+
+
+def test_lateral_join_is_no_nested_loop(spark, sf_dir):
+    plan = mechanisms.dearest_orders(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Window" in plan
+
+
+def test_variants_of_odd_text(spark, tmp_path):
+    rows = [("a", '{"k": 3}'), ("a", "{k"), ("a", None), ("a", '{"k": "x"}'), ("a", '{"j": 1}'), ("a", '{"k": 30, "nested": {"deeper": ["y"]}}'), ("a", "[1]"), (None, "")]
+    spark.createDataFrame(rows, "event_type string, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r.event_type, r.quarter): (r.n, r.total, r.malformed, r.missing) for r in mechanisms.variant_properties(spark, str(tmp_path)).collect()}
+    assert got == {("a", 0): (1, 3, 0, 1), ("a", 1): (1, 30, 0, 0), ("a", None): (5, None, 1, 5), (None, None): (1, None, 1, 1)}
+
+
+def test_bands_of_odd_vectors(spark, tmp_path):
+    rows = [(1, None), (2, []), (3, [1.0, None]), (4, [1.0, 2.0, 3.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = mechanisms.band_energies(spark, str(tmp_path)).collect()
+    assert {r.vec_id for r in got} == {4} and len(got) == mechanisms.BANDS and got[0].energy == 36.0
+
+
+def test_months_without_orders(spark, tmp_path):
+    rows = [(1, dt.datetime(2024, 1, 31), 2.5), (2, dt.datetime(2024, 4, 1), 1.0), (3, None, 9.0)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderdate timestamp_ntz, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    got = sorted(tuple(r) for r in mechanisms.months_of_orders(spark, str(tmp_path)).collect())
+    assert got == [("2024-01", 1, 2.5), ("2024-02", 0, 0.0), ("2024-03", 0, 0.0), ("2024-04", 1, 1.0)]

@@ -3,9 +3,9 @@
 import pytest
 from compare import assert_equal
 
-from quarry.plans import conversations, relational, streams
+from quarry.plans import conversations, mechanisms, relational, streams
 
-CASES = [(name, f, m.SQL[name]) for m in (conversations, relational, streams) for name, f in m.QUERIES.items()]
+CASES = [(name, f, m.SQL[name]) for m in (conversations, relational, mechanisms, streams) for name, f in m.QUERIES.items()]
 
 
 @pytest.mark.parametrize("name,query,sql", CASES, ids=[c[0] for c in CASES])
