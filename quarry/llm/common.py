@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.columns import unused
 from quarry.sources.shared import materialize, shared_dir
 
 __all__ = ["fold", "materialize", "partitions", "shared_dir", "table", "unused"]
@@ -18,14 +19,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def unused(df: DataFrame, name: str) -> str:
-    """The name, with underscores behind it while df has a column of that name."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def fold(id_col, n: int):
     """crc32 of the id as text (null: empty), modulo n."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % F.lit(n)

@@ -22,7 +22,7 @@ other than the id and the text are ignored.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,8 @@ from quarry.llm import bpe
 from quarry.llm.common import materialize, partitions
 
 SLOTS, DIMS, BITS = 1024, 4, 10
+#: A worker forgets chunks beyond this number, some 150 MB.
+MAX_CHUNKS = 800_000
 #: Sequence ids are the partition's number times this, and on from there.
 STRIDE = 1 << 33
 
@@ -75,6 +77,22 @@ def curve_numbers(vectors: np.ndarray, bits: int = BITS) -> np.ndarray:
     return hilbert_number(scaled.astype(np.int64), bits)
 
 
+class _Ids(bpe._Chunks):
+    """Packed ids by chunk; a chunk is encoded the first time that it is looked up."""
+
+    def __init__(self, of_word: Callable[[str], bytes]):
+        super().__init__()
+        self.of_word = of_word
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            words = [chunk] if chunk.isalpha() else bpe._WORDS.findall(chunk)
+            ids = self.of_word(chunk) if words == [chunk] else b"".join([self[w] for w in words])
+        self[chunk] = ids
+        return ids
+
+
 class Codec(bpe.Codec):
     """Ids packed as narrow as the vocabulary allows; a word that the worker has not met
     yet goes through the tokenizers library's model, which costs less than the trie where
@@ -83,13 +101,23 @@ class Codec(bpe.Codec):
     def _prepare(self, model: dict) -> None:
         self._model = self.lib.model.tokenize
         self.kind, self._letter = ("<u2", "H") if self.vocab_size <= 1 << 16 else ("<u4", "I")
+        self.chunks = _Ids(self._of_word)
 
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self._letter}", *ids)
 
+    def _of_word(self, word: str) -> bytes:
+        return self.pack([t.id for t in self._model(self._symbols(word))])
+
     def _encode_words(self, words: list[str]) -> dict[str, bytes]:
         return {w: self.pack([t.id for t in self._model(w)]) for w in words}
 
+    def _encode_all(self, texts: list[str]) -> list[bytes]:
+        if len(self.chunks) > MAX_CHUNKS // 2:
+            self.chunks.turn()
+        look, unusual = self.chunks.__getitem__, bpe._UNUSUAL.search
+        return [self._encode_unusual(t) if "<|" in t or unusual(t) else b"".join(map(look, t.lower().split())) for t in texts]
+
 
 _CODECS: dict[str, Codec] = {}
 
