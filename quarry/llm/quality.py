@@ -10,9 +10,13 @@ texts, of the share of all documents above to the positives' share above; docume
 positives that the first classifier has learned from (half of them, by a hash of the id)
 do not count.
 
-The gradient steps alone use bounded samples (max_positive, max_unlabelled ids, the first
-by a hash; of an id's rows the one of the least statistics); all else reads every whole
-text.
+Every document counts in the risk that is minimised. The many small gradient steps use a
+bounded sample of unlabelled ids (max_unlabelled, the first by a hash; of an id's rows the
+one of the least statistics) in place of all documents, and ROUNDS times a pass over all of
+them gives the gradient and the mean there: their differences from the sample's are added to
+each step that follows, so near there the steps are those that all documents would give.
+(Jordan, Lee and Yang: communication-efficient surrogate likelihoods.) Labelled positives are
+a bounded sample (max_positive ids).
 
 Edge cases: null text counts as empty and is scored like any text. Without positives
 or documents every score is 0.5. Repeated rows get equal scores; an id that is labelled
@@ -23,6 +27,7 @@ one of the score's name is replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
@@ -85,46 +90,81 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[self.bins(x)].sum(1) + self.bias, -30, 30)))
 
 
-def _minimise(model: Model, p: np.ndarray, u: np.ndarray, gradient, steps: int = 400, rate: float = 0.05, decay: float = 2e-4) -> None:
-    """Adam on weights and bias; gradient(f_p, f_u) gives the derivatives by the sums."""
-    w = np.zeros(STATISTICS * BINS + 1)
+class Unlabelled:
+    """Bins of a sample of the unlabelled texts, and how far all of them are from it: the
+    difference of the gradients by the weights and of the mean scores, at some weights."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows, self.apart, self.drift = rows, np.zeros(STATISTICS * BINS + 1), 0.0
+
+    def correct(self, w: np.ndarray, slope, everywhere) -> None:
+        """everywhere(w): the sum of the slopes by weight, of the scores, and the number of texts."""
+        f = _sigmoid(w[self.rows].sum(1) + w[-1])
+        here = _by_weight(self.rows, slope(f) / len(f))
+        total, score, n = everywhere(w)
+        if n:
+            # Sums over many tasks differ in their last digits by the tasks' order.
+            self.apart, self.drift = np.round(total / n - here, 12), round(score / n - f.mean(), 12)
+
+
+def _by_weight(rows: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Sums of the rows' parts for each of their bins, and for the bias."""
+    return np.append(np.bincount(rows.ravel(), np.repeat(part, rows.shape[1]), minlength=STATISTICS * BINS), part.sum())
+
+
+def _minimise(p: np.ndarray, u: Unlabelled, gradient, start: np.ndarray | None = None, steps: int = 400, rate: float = 0.05, decay: float = 2e-4) -> np.ndarray:
+    """Adam on the weights, the last of which is the bias; gradient(f_p, f_u, drift) gives the
+    derivatives by the sums, and the sign with which the unlabelled texts count."""
+    w = np.zeros(STATISTICS * BINS + 1) if start is None else start.copy()
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        g_p, g_u = gradient(w[p].sum(1) + w[-1], w[u].sum(1) + w[-1])
-        g = decay * w
-        for rows, part in ((p, g_p), (u, g_u)):
-            g += np.bincount(rows.ravel(), np.repeat(part, rows.shape[1]), minlength=len(w))
-            g[-1] += part.sum()
+        g_p, g_u, sign = gradient(w[p].sum(1) + w[-1], w[u.rows].sum(1) + w[-1], u.drift)
+        g = decay * w + _by_weight(p, g_p) + _by_weight(u.rows, g_u) + sign * u.apart
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+#: How often all documents are gone through, and the steps after each.
+ROUNDS, MORE_STEPS = 2, 150
+
+
+def _solve(model: Model, positive: np.ndarray, unlabelled: np.ndarray, gradient, slope, everywhere=None) -> Model:
+    """The weights that minimise a risk over positives and unlabelled texts (rows x STATISTICS)."""
+    p, u = model.bins(positive), Unlabelled(model.bins(unlabelled))
+    w = _minimise(p, u, gradient)
+    for _ in range(ROUNDS if everywhere else 0):
+        u.correct(w, slope, everywhere)
+        w = _minimise(p, u, gradient, w, MORE_STEPS, 0.02)
     model.weights, model.bias = w[:-1], w[-1]
+    return model
 
 
 def _sigmoid(f: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(f, -30, 30)))
 
 
-def tell_apart(edges: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+#: How a loss of the unlabelled texts changes with the score that a text's sum gives.
+LOGISTIC, SIGMOID = (lambda score: score), (lambda score: score * (1 - score))
+
+
+def tell_apart(edges: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, everywhere=None) -> Model:
     """The first classifier: positives against unlabelled texts (rows x STATISTICS)."""
-    model = Model(edges)
-    _minimise(model, model.bins(positive), model.bins(unlabelled), lambda fp, fu: ((_sigmoid(fp) - 1) / len(fp), _sigmoid(fu) / len(fu)))
-    return model
+    return _solve(Model(edges), positive, unlabelled, lambda fp, fu, _: ((_sigmoid(fp) - 1) / len(fp), LOGISTIC(_sigmoid(fu)) / len(fu), 1), LOGISTIC, everywhere)
 
 
-def risk_gradient(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+def risk_gradient(fp: np.ndarray, fu: np.ndarray, prior: float, drift: float = 0.0) -> tuple[np.ndarray, np.ndarray, int]:
     """Of the non-negative risk with the sigmoid loss, by the sums of positive and of
     unlabelled rows. Where the unlabelled texts' part of the risk is negative, it is not to
     be lowered further: its gradient is turned round."""
     sp, su = _sigmoid(fp), _sigmoid(fu)
-    dp, du = prior * sp * (1 - sp) / len(fp), su * (1 - su) / len(fu)
-    return (-2 * dp, du) if su.mean() >= prior * sp.mean() else (dp, -du)
+    dp, du = prior * SIGMOID(sp) / len(fp), SIGMOID(su) / len(fu)
+    return (-2 * dp, du, 1) if su.mean() + drift >= prior * sp.mean() else (dp, -du, -1)
 
 
-def learn(edges: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
+def learn(edges: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, everywhere=None) -> Model:
     """The classifier itself (rows x STATISTICS)."""
-    model = Model(edges, prior=prior)
-    _minimise(model, model.bins(positive), model.bins(unlabelled), lambda fp, fu: risk_gradient(fp, fu, prior))
-    return model
+    return _solve(Model(edges, prior=prior), positive, unlabelled, lambda fp, fu, drift: risk_gradient(fp, fu, prior, drift), SIGMOID, everywhere)
 
 
 def measure(text: Column) -> Column:
@@ -161,6 +201,31 @@ def _above(x: Column, model: Model, thresholds: np.ndarray) -> Column:
     return run(x)
 
 
+def over_all(measured: DataFrame, edges: np.ndarray, slope):
+    """everywhere() for Unlabelled.correct: one pass over these documents, each task giving one
+    sum for each weight."""
+
+    def everywhere(w: np.ndarray) -> tuple[np.ndarray, float, int]:
+        model = Model(edges, w[:-1], w[-1])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(len(w) + 2)
+            for batch in batches:
+                if batch.num_rows:
+                    rows = model.bins(_matrix(batch.column("x")))
+                    f = _sigmoid(w[rows].sum(1) + w[-1])
+                    sums += np.append(_by_weight(rows, slope(f)), [f.sum(), len(f)])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums)], ["i", "total"])
+
+        sums = measured.select("x").mapInArrow(run, "i int, total double").groupBy("i").agg(F.sum("total").alias("total"))
+        found = np.zeros(len(w) + 2)
+        for r in sums.collect():
+            found[r["i"]] = r["total"]
+        return found[:-2], float(found[-2]), int(found[-1])
+
+    return everywhere
+
+
 #: Quantiles of the bins' edges, denser in the tails.
 CUTS = [0.01, 0.03, 0.06, 0.1, 0.25, 0.5, 0.75, 0.9, 0.94, 0.97, 0.99]
 
@@ -187,7 +252,7 @@ def fit(measured: DataFrame, positive_ids: DataFrame, max_positive: int = 10_000
     edges = np.array([list(e) for e in edges], float)
     prior = 0.5
     if all((p == a)[seen_rows == b].any() for a in (True, False) for b in (True, False)):
-        model = tell_apart(edges, x[p & seen_rows], x[~p & seen_rows])
+        model = tell_apart(edges, x[p & seen_rows], x[~p & seen_rows], over_all(measured.where(F.col("id").isNotNull() & seen), edges, LOGISTIC))
         scores = np.sort(model.score(x[p & ~seen_rows]))
         at = scores[: max(1, len(scores) // 20)]  # thresholds that at most one positive in 20 is below
         above_p = 1 - np.searchsorted(scores, at) / len(scores)
@@ -197,7 +262,7 @@ def fit(measured: DataFrame, positive_ids: DataFrame, max_positive: int = 10_000
             reached[r["n"]] += r["count"]
         above_u = (reached.sum() - np.cumsum(reached)[:-1]) / reached.sum()
         prior = float(np.clip((above_u / above_p).min(), 0.05, 0.98))
-    return learn(edges, x[p], x[~p], prior)
+    return learn(edges, x[p], x[~p], prior, over_all(measured.where("id is not null"), edges, SIGMOID))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "quality_score") -> DataFrame:

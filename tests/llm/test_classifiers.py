@@ -57,7 +57,9 @@ def test_risk_gradient_is_that_of_the_risk():
 
         above = parts(fp, fu)[1] >= 0
         risk = (lambda p, u: sum(parts(p, u))) if above else (lambda p, u: -parts(p, u)[1])
-        dp, du = quality.risk_gradient(fp, fu, prior)
+        dp, du, sign = quality.risk_gradient(fp, fu, prior)
+        assert sign == (1 if above else -1)
+        assert quality.risk_gradient(fp, fu, prior, 1.0 if not above else -1.0)[2] == -sign  # all documents' mean decides
         for f, d, at in ((fp, dp, 0), (fu, du, 1)):
             for i in range(len(f)):
                 step = np.zeros(len(f))
@@ -66,6 +68,37 @@ def test_risk_gradient_is_that_of_the_risk():
                 assert abs((hi - lo) / 2e-6 - d[i]) < 1e-6
 
 
+def test_all_documents_count_beyond_the_sample(spark):
+    """The sample is a small part of the documents, and an odd one: the first by the hash are of
+    another kind. The scores come nearer to those that steps over all documents lead to, and the
+    first classifier's gradient over all documents is small."""
+    rng, n = np.random.default_rng(4), 6000
+    order = np.array([r.id for r in spark.range(n).orderBy(F.xxhash64("id"), "id").collect()])
+    good = rng.random(n) < np.where(np.isin(np.arange(n), order[:1500]), 0.7, 0.5)
+    x = rng.normal(0, 1, (n, quality.STATISTICS)) + good[:, None] * 1.0
+    measured = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, [9.0] * quality.STATISTICS)], "id long, x array<double>").repartition(5).cache()
+    trusted = spark.createDataFrame([(int(i),) for i in np.flatnonzero(good)[-400:]], "doc_id long")
+    gold = x[np.flatnonzero(good)[-400:]]
+    few, whole = quality.fit(measured, trusted, max_unlabelled=1500), quality.fit(measured, trusted, max_unlabelled=n)
+    gap = lambda a, b: np.abs(a.score(x) - b.score(x)).mean()
+    alone = quality.learn(few.edges, gold, x[order[:1500]], few.prior)
+    print("gaps", gap(few, whole), gap(alone, whole), few.prior, whole.prior)
+    assert gap(few, whole) < gap(alone, whole)
+
+    # The first classifier's risk has one least place, where the gradient is none.
+    everywhere = quality.over_all(measured.where("id is not null"), few.edges, quality.LOGISTIC)
+
+    def slope(model):
+        w = np.append(model.weights, model.bias)
+        total, score, rows = everywhere(w)
+        f, g = model.score(x), model.score(gold)
+        assert rows == n and score == pytest.approx(f.sum()) and total == pytest.approx(quality._by_weight(model.bins(x), f))
+        return np.abs(quality._by_weight(model.bins(gold), (g - 1) / len(g)) + total / n + 2e-4 * w).max()
+
+    assert slope(quality.tell_apart(few.edges, gold, x[order[:1500]], everywhere)) < 0.2 * slope(quality.tell_apart(few.edges, gold, x[order[:1500]]))
+    measured.unpersist()
+
+
 def test_ftrl_like_a_plain_loop():
     rng = np.random.default_rng(2)
     rows = [(np.unique(rng.integers(0, 30, 6)), float(rng.random() < 0.4)) for _ in range(200)]
@@ -101,9 +134,9 @@ def test_samples_are_bounded_though_ids_repeat(spark):
     ids = spark.createDataFrame([(7,), (59_970,)], "doc_id long")
     seen = []
 
-    def noted(edges, positive, unlabelled, prior, learn=quality.learn):
+    def noted(edges, positive, unlabelled, prior, everywhere, learn=quality.learn):
         seen.append((len(positive), len(unlabelled)))
-        return learn(edges, positive, unlabelled, prior)
+        return learn(edges, positive, unlabelled, prior, everywhere)
 
     with pytest.MonkeyPatch.context() as m:
         m.setattr(quality, "learn", noted)
