@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm.pivot_topk import LONG, Cell, top_k
+from quarry.llm.pivot_topk import LONG, Cell, top_k, work
 
 
 def brute(rows, is_query, k):
@@ -51,6 +51,25 @@ def test_clusters_are_skipped():
     assert cell.evaluated < 0.25 * 40 * 4000
 
 
+def test_cells_are_skipped_before_they_are_sent(spark):
+    """Clustered vectors through top_k(): less than half of the candidates is evaluated and of the
+    cells sent; and of directions without clusters all are that must be."""
+    rng = np.random.default_rng(5)
+    middles = rng.normal(0, 1, (30, 16))
+    clustered = middles[rng.integers(0, 30, 3000)] + rng.normal(0, 0.02, (3000, 16))
+    scattered = rng.normal(0, 1, (1000, 16))
+    scattered /= np.linalg.norm(scattered, axis=1, keepdims=True)
+    for v, share in ((clustered, 0.5), (scattered, 1.0)):
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+        sizes = {"query_block": 10, "row_block": 200}
+        got = sorted(tuple(r) for r in top_k(df, F.col("vec_id") % 50 == 0, **sizes).collect())
+        assert got == brute([(i, x.tolist()) for i, x in enumerate(v)], lambda i: i % 50 == 0, 5)
+        done = work(df, F.col("vec_id") % 50 == 0, **sizes)
+        print(done)
+        assert done["pairs"] == len(v) * len(range(0, len(v), 50))
+        assert done["evaluated"] <= share * done["pairs"] and done["sent"] <= share * done["cells"]
+
+
 @pytest.mark.parametrize("big", [3e9, 1e15, 1e30])
 def test_large_components(spark, big):
     rows = [(0, [big, 1.0]), (1, [big / 2, 3.0]), (2, [7.0, -2.0]), (3, [-big, 5.0]), (4, [big / 2, 2.0])]
@@ -68,11 +87,11 @@ def test_copies_do_not_take_all_pivots(spark, monkeypatch):
 
     seen = {}
 
-    def noted(k, pivots, compare=pivot_topk._compare):
+    def noted(k, pivots, compare=pivot_topk._own_cell):
         seen.update(pivots)
         return compare(k, pivots)
 
-    monkeypatch.setattr(pivot_topk, "_compare", noted)
+    monkeypatch.setattr(pivot_topk, "_own_cell", noted)
     df = spark.range(3000).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 3 == 0, F.array(F.lit(0.5), F.lit(0.5))).when(F.col("id") < 2990, F.array(F.rand(1), F.rand(2))).otherwise(F.array(F.rand(1), F.rand(2), F.lit(0.1))).alias("embedding"))
-    top_k(df, F.col("vec_id") == 0, number_pivots=8).collect()
+    top_k(df, F.col("vec_id").isin(0, 2995), number_pivots=8).collect()
     assert sorted(seen) == [2, 3] and len(seen[2]) == len({tuple(x) for x in seen[2].tolist()}) == 8 and len(seen[3]) > 3 and (seen[3] != 0).any()
