@@ -4,8 +4,8 @@ Base patterns find emails, IP addresses, cards and phone numbers; matches that f
 their check (octets, Luhn, number of digits) are no base spans. The method may add
 spans: candidates are the failing matches and looser patterns (emails and phone numbers
 written in other ways). Labelers vote on every candidate: shape (regex), validity,
-gazetteer (issuers, top domains, area prefixes), context words before it, and what it
-is set off by. A labeler that has nothing to say abstains (0). Candidates with the same
+public registers (top domains, networks, issuers, country and area codes), context words
+before and behind it, and what it is set off by. A labeler that has nothing to say abstains (0). Candidates with the same
 votes are counted together, over all documents; from these counts, whose number is bounded
 by the number of vote patterns, expectation-maximisation estimates each labeler's
 reliability within each kind, base spans being known to be true, with what all kinds
@@ -49,19 +49,30 @@ LOOSE = {
     "phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
 LOOSE_GUARD = {"email": r"(?i)[(\[] ?at ?[)\]]", "phone": r"[0-9]{3}[ .-][0-9]{4}"}
-#: Gazetteers: top domains, private and local networks' first octets, issuers, country codes.
+# Public registers, as what is listed and what is known not to be. Top domains:
+# two letters are a country's, and the common others. Addresses: networks that are no hosts of
+# the public network (this network, loopback, link-local, multicast, reserved), and those for
+# private use, shared space and documentation, of which nothing is said. Cards: the issuers'
+# first digits with their lengths. Phones: country codes, and North American area and
+# exchange codes, which begin with 2 to 9.
+_TOP = "[a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|pro|aero|coop|museum|jobs|mobi|travel|asia|post|app|dev|cloud|online|site|shop|store|tech|blog|xyz|email|agency|company|digital|live|news|world"
+_OWN_NETWORKS = r"10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|192\.0\.2\.|198\.51\.100\.|203\.0\.113\.|198\.1[89]\."
+_NO_HOSTS = r"0+\.|127\.|169\.254\.|22[4-9]\.|2[3-9][0-9]\.|[3-9][0-9][0-9]\."
+_COUNTRY = "1|7|2[07]|2[1-69][0-9]|3[0-469]|3[578][0-9]|4[013-9]|42[0-9]|5[1-8]|5[09][0-9]|6[0-6]|6[789][0-9]|8[1246]|8[0578][0-9]|9[0-58]|9[679][0-9]"
+_ISSUER = r"4([0-9]{12}|[0-9]{15}|[0-9]{18})|(5[1-5][0-9]{2}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12}|3[47][0-9]{13}|(6011|64[4-9][0-9]|65[0-9]{2}|62[0-9]{2})[0-9]{12,15}|(30[0-5]|309|36[0-9]|3[89][0-9])[0-9]{11,16}|35(2[89]|[3-8][0-9])[0-9]{12,15}"
 LISTED = {
-    "email": r"(?i)[.)\]] ?(com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$",
-    "ip": r"^(10|127|172|192|203|198|[1-9][0-9]?|1[0-9][0-9]|2[0-2][0-9])\.",
-    "card": r"^(4|5[1-5]|2[2-7]|3[47]|6011|65|35)",
-    "phone": r"^(\+(1|33|34|44|49|39|7|8[126]|9[0158])|\(?[2-9][0-9]{2})",
+    "email": (rf"(?i)(\.|[)\]] ?)({_TOP})$", r"(?i)(\.|[)\]] ?)(?!({_TOP})$)[a-z0-9-]+$".replace("{_TOP}", _TOP)),
+    "ip": (rf"^(?!{_OWN_NETWORKS}|{_NO_HOSTS})", rf"^({_NO_HOSTS})"),
+    "card": (rf"^({_ISSUER})$", rf"^(?!({_ISSUER})$)"),
+    "phone": (rf"^(\+({_COUNTRY})|\(?[2-9][0-8][0-9]\)?[ .-][2-9])", rf"^(\+(?!{_COUNTRY})|\(?([01][0-9][0-9]|[2-9]9[0-9]|[2-9][0-8][0-9]\)?[ .-][01]))"),
 }
 SHAPE = {"email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]* ?[@(\[][^@]*[A-Za-z]$", "ip": r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$", "card": r"^([0-9]{16}|[0-9]{15}|[0-9]{4}([ -][0-9]{4}){3})$", "phone": r"^(\+[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ .-]?[0-9]{2,4}[ .-]?[0-9]{2,4}"}
+#: Words before a candidate that speak for it, behind it, and before it that speak for something else.
 NEAR = {
-    "email": r"(?i)\b(e-?mail|mail|contact|write|correo|courriel)\b",
-    "ip": r"(?i)\b(ip|address|host|server|adresse|direcci)",
-    "card": r"(?i)\b(card|visa|mastercard|amex|credit|payment|karte|carte|tarjeta)\b",
-    "phone": r"(?i)\b(phone|tel|call|mobile|cell|fax|telefon|t.l.phone|tel.fono)\b",
+    "email": (r"(?i)\b(e-?mail|mail|contact|write|reach|correo|courriel|schreiben|escrib|adresse)", r"(?i)^\W{0,3}(is (my|the|our) (e-?mail|address)|\(?(e-?mail|work|home)\b)", r"(?i)\b(git|ssh|scp|repo|image|version)\W*$"),
+    "ip": (r"(?i)\b(ip|address|host|server|client|login|adresse|direcci|rechner|servidor|serveur)", r"(?i)^\W{0,3}(is (my|the|our) (ip|host|server)|port\b|:[0-9]{2,5}\b)", r"(?i)\b(version|release|v|section|chapter|build|kapitel|abschnitt|secci.n)\W*$"),
+    "card": (r"(?i)\b(card|visa|mastercard|amex|credit|debit|payment|pay|karte|carte|tarjeta)", r"(?i)^\W{0,3}(exp|cvv|cvc|valid|is (my|the) card)", r"(?i)\b(isbn|order|invoice|serial|tracking|reference|ref|number|id|part|bestellung|pedido|commande)\W*$"),
+    "phone": (r"(?i)\b(phone|tel|call|mobile|cell|fax|dial|ring|whatsapp|telefon|t.l.phone|tel.fono|anrufen|llam|appele)", r"(?i)^\W{0,3}(is (my|the|our) (number|phone|mobile)|\(?(mobile|cell|home|work|office|ext)\b)", r"(?i)\b(isbn|order|invoice|serial|tracking|part|id|sku)\W*$"),
 }
 
 
@@ -85,7 +96,7 @@ def _running(sizes: Column, block: int = 256) -> Column:
     return F.when(F.size(sizes) > 0, blocks(sizes)).otherwise(F.array().cast("array<bigint>"))
 
 
-_FOUND = "array<struct<start:bigint,end:bigint,text:string,before:string,after:string>>"
+_FOUND = "array<struct<start:bigint,end:bigint,text:string,before:string,after:string,behind:string>>"
 
 
 def _found(text: Column, pattern: str, guard: str) -> Column:
@@ -104,6 +115,7 @@ def _found(text: Column, pattern: str, guard: str) -> Column:
                         m.alias("text"),
                         F.right(F.get(pieces, i), F.lit(40)).alias("before"),
                         F.left(F.get(pieces, i + 1), F.lit(1)).alias("after"),
+                        F.left(F.get(pieces, i + 1), F.lit(25)).alias("behind"),
                     ),
                 ),
             )
@@ -140,6 +152,12 @@ def _valid(kind: str, x: Column) -> Column:
     return (n >= 10) & (n <= 15)
 
 
+def _listed(kind: str, x: Column) -> Column:
+    """1 for what the public registers have, -1 for what they can't have, 0 for neither."""
+    told = _digits(x) if kind == "card" else x
+    return F.when(told.rlike(LISTED[kind][0]), 1).when(told.rlike(LISTED[kind][1]), -1).otherwise(0)
+
+
 def _vary(f, *args):
     """f of one column, the other arguments set."""
     return lambda x: f(x, *args)
@@ -163,8 +181,8 @@ def candidates(docs: DataFrame, text_col: str = "text", out_col: str = "candidat
                 (ok if base else F.lit(False)).alias("base"),
                 vote(x["text"].rlike(SHAPE[kind])).alias("shape"),
                 (F.lit(0) if kind == "email" else vote(ok)).alias("valid"),
-                F.when(x["text"].rlike(LISTED[kind]), 1).otherwise(0).alias("listed"),
-                F.when(x["before"].rlike(NEAR[kind]), 1).otherwise(0).alias("near"),
+                _listed(kind, x["text"]).alias("listed"),
+                F.when(x["before"].rlike(NEAR[kind][0]) | x["behind"].rlike(NEAR[kind][1]), 1).when(x["before"].rlike(NEAR[kind][2]), -1).otherwise(0).alias("near"),
                 vote(~lead.rlike(r"[\p{L}\p{N}_=\"]") & ~x["after"].rlike(r"[\p{L}\p{N}_\"]")).alias("apart"),
                 F.least(F.lit(LENGTHS - 1), F.floor((x["end"] - x["start"]) / 4)).cast("int").alias("size"),
             )

@@ -100,6 +100,79 @@ def test_reliabilities_are_recovered(spark):
                 assert abs(model["reliability"]["phone"][v][c][vote + 1] - seen.count(vote) / len(seen)) < 0.06, (v, c, vote)
 
 
+def plain_em(rows, rounds=50):
+    """Reliabilities by loops over candidates and labelers."""
+    kinds, labelers, votes = range(len(pii.KINDS)), range(len(pii.LABELERS)), (-1, 0, 1)
+    lean = {0: {-1: 4.0, 0: 2.0, 1: 1.0}, 1: {-1: 1.0, 0: 2.0, 1: 4.0}}
+    p = [1.0 if r[3] else 0.2 for r in rows]
+    for _ in range(rounds):
+        trust, prior = {}, {}
+        for k in kinds:
+            known = sum(1 for r in rows if r[0] == k and r[3])
+            held = sum(q for r, q in zip(rows, p) if r[0] == k and not r[3])
+            loose = sum(1 for r in rows if r[0] == k and not r[3])
+            trust[k], prior[k] = min(1.0, known / max(1e-9, held)), (1 + held) / (5 + loose)
+        seen = {(k, j, c, v): 0.0 for k in kinds for j in labelers for c in (0, 1) for v in votes}
+        for r, q in zip(rows, p):
+            for j in labelers:
+                seen[r[0], j, 1, r[4 + j]] += 1.0 if r[3] else q * trust[r[0]]
+                seen[r[0], j, 0, r[4 + j]] += 1 - q
+        table = {}
+        for j in labelers:
+            for c in (0, 1):
+                every = {v: lean[c][v] + sum(seen[k, j, c, v] for k in kinds) for v in votes}
+                for k in kinds:
+                    own = {v: seen[k, j, c, v] + 7 * every[v] / sum(every.values()) for v in votes}
+                    for v in votes:
+                        table[k, j, c, v] = own[v] / sum(own.values())
+        for i, r in enumerate(rows):
+            if not r[3]:
+                yes, no = prior[r[0]], 1 - prior[r[0]]
+                for j in labelers:
+                    yes *= table[r[0], j, 1, r[4 + j]]
+                    no *= table[r[0], j, 0, r[4 + j]]
+                p[i] = yes / (yes + no)
+    return table
+
+
+def test_em_like_plain_loops(spark):
+    rnd = random.Random(12)
+    rows = [r for _, r in made_votes({v: 0.8 for v in pii.LABELERS}, 300)]
+    rows += [(rnd.choice([0, 2]), *r[1:]) for _, r in made_votes({v: 0.7 for v in pii.LABELERS}, 200, 9)]
+    got, want = pii.fit(spark.createDataFrame([(rows[:250],), (rows[250:],)], CANDIDATES))["reliability"], plain_em(rows)
+    for k, kind in enumerate(pii.KINDS):
+        for j, labeler in enumerate(pii.LABELERS):
+            for c in (0, 1):
+                for v in (-1, 0, 1):
+                    assert got[kind][labeler][c][v + 1] == pytest.approx(want[k, j, c, v], abs=1e-9)
+
+
+@pytest.mark.parametrize(
+    "kind,text,vote",
+    [("email", "a@b.de", 1), ("email", "a@b.museum", 1), ("email", "icon@2x.png", -1), ("email", "a (at) b (dot) com", 1), ("email", "a@b.c_d", 0)]
+    + [("ip", x, 1) for x in ("8.8.8.8", "93.184.216.34", "100.128.0.1")]
+    + [("ip", x, -1) for x in ("0.1.2.3", "127.0.0.1", "169.254.3.4", "224.0.0.1", "255.255.255.255", "999.1.1.1")]
+    + [("ip", x, 0) for x in ("10.0.0.1", "192.168.1.1", "172.20.1.1", "203.0.113.9", "100.64.0.1")]
+    + [("card", x, 1) for x in ("4111 1111 1111 1111", "378282246310005", "2221000000000009", "6011000990139424", "30569309025904", "3530111333300000")]
+    + [("card", x, -1) for x in ("9999 9999 9999 9999", "37828224631000", "1234567890123456")]
+    + [("phone", x, 1) for x in ("+49 30 1234567", "+1 640 555 0199", "640-555-0199", "(640) 555-0199", "+420 123 456 789")]
+    + [("phone", x, -1) for x in ("140-555-0199", "640-155-0199", "+0 123 456 7890")],
+)
+def test_registers(spark, kind, text, vote):
+    assert spark.range(1).select(pii._listed(kind, F.lit(text)).alias("v")).first().v == vote
+
+
+def test_no_labeler_votes_alike_on_all(spark):
+    """On the given documents each says different things; of addresses also the register."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    made = [(-1, "host 8.8.8.8 up"), (-2, "net 10.1.2.3"), (-3, "version 0.9.8.1 out")]
+    one = pii.candidates(docs.unionByName(spark.createDataFrame(made, "doc_id long, text string"))).select(F.explode("candidates").alias("c")).select("c.*").cache()
+    for v in pii.LABELERS:
+        assert one.select(v).distinct().count() > 1, v
+    assert {r.listed for r in one.where("kind = 1").select("listed").distinct().collect()} == {-1, 0, 1}
+    one.unpersist()
+
+
 def test_two_labelers_outvote_a_third(spark):
     """Whichever the third is, also the check: it is trusted as far as the others bear it out."""
     for weak in ("shape", "valid", "apart"):
