@@ -21,8 +21,9 @@ is at least similarity (given in hundredths). The result is exact; no link is lo
    are walked from the top and dropped when the greatest possible overlap is below the
    least that a link needs, or when all their sets are already connected.
 4. A component too large for one task is dealt into blocks, first compared within
-   blocks that all hold some common pivots, then, by pairs of blocks, the classes
-   outside the component's largest connected part against all others.
+   blocks that all hold some common pivots, then, by pairs of blocks whose sets are not
+   too different in size to link, the classes outside the component's largest connected
+   part against all others.
 
 Edge cases: null or wordless text has an empty set, size 0, and links with nothing,
 so its component is its own id, or that of the id's other texts. A text of fewer words than a shingle is one shingle.
@@ -32,6 +33,7 @@ each row keeps its own set and they count as connected. A null id stays alone. A
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -277,7 +279,7 @@ def _compare(size: int, similarity: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Connected parts of one cell's sets, by the names of their classes. Sets with
         a label are known to be connected with the others of that label."""
-        sets = [shingle_set(t, size) for t in pdf["text"]]
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]] if "set" in pdf else [shingle_set(t, size) for t in pdf["text"]]
         order = sorted((i for i in range(len(sets)) if len(sets[i])), key=lambda i: (int(sets[i][0]), len(sets[i])))
         if not order:
             return pd.DataFrame({"a": [], "b": []}, dtype=str)
@@ -333,7 +335,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, similarity: int = 80,
     links = materialize(cells.groupBy("grp", "cell").applyInPandas(compare, "a string, b string").where("a <> b"), "jaccard-links")
 
     if placed.where("blocks > 1").limit(1).count():
-        links = links.union(_across_blocks(placed, rows, links, compare, cell_rows, cell_shingles))
+        links = links.union(_across_blocks(placed, rows, links, shingle, similarity, cell_rows, cell_shingles))
     # Classes of one id count as connected: ids with several, or with an empty set too.
     digest = F.when(F.col("n") > 0, F.struct("h1", "h2"))
     several = sums.where("id is not null").groupBy("id").agg(F.min(digest).alias("first"), F.max(digest).alias("last"), F.max(F.col("n") == 0).alias("empty"))
@@ -376,23 +378,58 @@ def _small(written: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(written) if written.limit(rows + 1).count() <= rows else written
 
 
-def _across_blocks(placed: DataFrame, rows: DataFrame, links: DataFrame, compare, cell_rows: int, cell_shingles: int) -> DataFrame:
+def _in_block_pairs(large: DataFrame, similarity: int, cell_rows: int, cell_shingles: int) -> DataFrame:
+    """large (name, grp, n, main, and others) with cells: the pairs of blocks that a set is in, each
+    of a block of the rest and any other.
+
+    Blocks are of one band of sizes. Sets of bands that are not neighbours differ in size
+    by more than linked sets can, so only blocks of one band or of two neighbours meet."""
+    # A little wide, so that rounding leaves no linked sizes two bands apart.
+    width = max(1e-3, math.log(100 / similarity)) * 1.0001
+    large = large.withColumn("band", F.floor(F.log("n") / width).cast("int"))
+    half = lambda rows: F.greatest(F.ceil(2 * F.count(F.when(rows, 1)) / cell_rows), F.ceil(2 * F.coalesce(F.sum(F.when(rows, F.col("n"))), F.lit(0)) / cell_shingles)).cast("int")
+    counts = large.groupBy("grp", "band").agg(half(~F.col("main")).alias("rest"), half(F.col("main")).alias("mains"))
+    # A row for each component with all its bands, which are about a hundred at most.
+    counts = materialize(counts.groupBy("grp").agg(F.collect_list(F.struct("band", "rest", "mains")).alias("bands")).where(F.exists("bands", lambda b: b["rest"] > 0)), "jaccard-halves")
+    large = large.join(counts, "grp")
+    own = F.filter("bands", lambda b: b["band"] == F.col("band"))[0]
+    number = F.pmod(F.xxhash64("name", F.lit(2)), F.when(F.col("main"), own["mains"]).otherwise(own["rest"]))
+    block = lambda kind, band, i: F.concat_ws(" ", F.lit(kind), band.cast("string"), i.cast("string"))
+    mine = F.when(F.col("main"), block("main", F.col("band"), number)).otherwise(block("rest", F.col("band"), number))
+    near = F.filter("bands", lambda b: F.abs(b["band"] - F.col("band")) <= 1)
+    none = F.array().cast("array<string>")
+
+    def blocks(kind: str, count: str):
+        some = lambda b: F.transform(F.sequence(F.lit(0), b[count] - 1), lambda i: block(kind, b["band"], i))
+        return F.flatten(F.transform(near, lambda b: F.when(b[count] > 0, some(b)).otherwise(none)))
+
+    others = F.when(F.col("main"), blocks("rest", "rest")).otherwise(F.concat(blocks("rest", "rest"), blocks("main", "mains")))
+    large = large.withColumn("mine", mine)
+    return large.withColumn("cells", F.transform(others, lambda o: F.concat_ws("|", F.least(o, F.col("mine")), F.greatest(o, F.col("mine"))))).drop("mine", "bands", "band")
+
+
+def _sets(size: int):
+    """Texts as the bytes of their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([shingle_set(t, size).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("cells"), batch.column("label"), sets], ["grp", "cells", "label", "set"])
+
+    return run
+
+
+def _across_blocks(placed: DataFrame, rows: DataFrame, links: DataFrame, shingle: int, similarity: int, cell_rows: int, cell_shingles: int) -> DataFrame:
     """Links between blocks of large components: all sets outside the largest connected
-    part (the rest) against every set."""
+    part (the rest) against every set that is not too large or small for them. A text becomes
+    its set before it is copied to the cells."""
     parts = components(links, hashed=True)
     large = placed.where("blocks > 1").select("id", "t", "name", "grp", "n")
     large = materialize(large.join(parts, large.name == parts.node, "left").select("id", "t", "name", "grp", "n", F.coalesce("label", "name").alias("label")), "jaccard-large")
     biggest = large.groupBy("grp", "label").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
     large = materialize(large.join(materialize(biggest, "jaccard-main"), "grp").withColumn("main", F.col("label") == F.col("main")), "jaccard-split")
-    half = lambda rows: F.greatest(F.ceil(2 * F.count(F.when(rows, 1)) / cell_rows), F.ceil(2 * F.coalesce(F.sum(F.when(rows, F.col("n"))), F.lit(0)) / cell_shingles))
-    counts = large.groupBy("grp").agg(half(~F.col("main")).alias("rest"), half(F.col("main")).alias("mains")).where("rest > 0")
-    large = large.join(materialize(counts, "jaccard-halves"), "grp")
-    i = F.when(F.col("main"), F.col("rest") + F.pmod(F.xxhash64("name", F.lit(2)), F.col("mains"))).otherwise(F.pmod(F.xxhash64("name", F.lit(2)), F.col("rest")))
-    large = large.withColumn("i", i.cast("long"))
-    # Cells are pairs (x, y), x <= y and x a block of the rest.
-    as_x = F.transform(F.sequence(F.col("i"), F.col("rest") + F.col("mains") - 1), lambda y: F.struct(F.col("i").alias("x"), y.cast("long").alias("y")))
-    as_y = F.transform(F.sequence(F.lit(0).cast("long"), F.least(F.col("i"), F.col("rest")) - 1), lambda x: F.struct(x.cast("long").alias("x"), F.col("i").alias("y")))
-    pairs = F.when(F.col("main"), as_y).when(F.col("i") == 0, as_x).otherwise(F.concat(as_x, as_y))
-    large = materialize(large.select("id", "t", "grp", "label", "main", "i", "rest", "mains"), "jaccard-pairs")
-    cells = rows.join(_small(large), ["id", "t"]).select("grp", F.explode(pairs).alias("cell"), "text", "label")
-    return materialize(cells.groupBy("grp", "cell").applyInPandas(compare, "a string, b string").where("a <> b"), "jaccard-links2")
+    paired = _in_block_pairs(large, similarity, cell_rows, cell_shingles).where(F.size("cells") > 0)
+    paired = materialize(paired.select("id", "t", "grp", "label", "cells"), "jaccard-pairs")
+    sets = rows.join(paired, ["id", "t"]).select("grp", "cells", "label", "text").mapInArrow(_sets(shingle), f"grp {paired.schema['grp'].dataType.simpleString()}, cells array<string>, label string, set binary")
+    cells = materialize(sets, "jaccard-sets").select("grp", F.explode("cells").alias("cell"), "set", "label")
+    return materialize(cells.groupBy("grp", "cell").applyInPandas(_compare(shingle, similarity), "a string, b string").where("a <> b"), "jaccard-links2")

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm.components import components
 from quarry.llm.jaccard import Bands, SignatureTree, jaccard_components, keys_of, shingle_set
@@ -85,6 +86,60 @@ def test_hot_keys_are_dealt_out(spark):
         assert sorted(map(tuple, jaccard._shared_keys(rows, keys, one_in, hot).collect())) == want
 
 
+def test_large_unconnected_component(spark, monkeypatch):
+    """Sets of very different sizes that are candidates of one another and mostly not linked: the
+    component is dealt into blocks, and only pairs of blocks of near sizes are compared."""
+    from quarry.llm import jaccard
+
+    rnd, rows = random.Random(15), []
+    for i in range(160):
+        n = int(6 * 1.35 ** rnd.uniform(0, 12))
+        words = [f"w{i}x{j}" for j in range(n)]
+        rows.append((2 * i, " ".join(words)))
+        if i % 3 == 0:  # a near copy, for the longer ones close enough to link
+            words[rnd.randrange(n)] = "other"
+            rows.append((2 * i + 1, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sums = df.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("t"), "text").mapInArrow(jaccard._summaries(3), "id long, t long, n long, h1 long, h2 long")
+    calls, pairs, in_pairs = [], [], jaccard._in_block_pairs
+
+    def all_candidates(edges, **how):
+        """What the first call finds: that all classes are one candidate component."""
+        calls.append(1)
+        found = sums.select(F.col("h1").alias("node"), F.lit(0).cast("long").alias("label")).distinct()
+        return found if len(calls) == 1 else components(edges, **how)
+
+    def noted(*args):
+        out = in_pairs(*args)
+        cells = {c for r in out.select("cells").collect() for c in r.cells}
+        pairs.append((len(cells), len({b for c in cells for b in c.split("|")})))
+        return out
+
+    monkeypatch.setattr(jaccard, "components", all_candidates)
+    monkeypatch.setattr(jaccard, "_in_block_pairs", noted)
+    got = {r[0]: (r[1], r[2]) for r in jaccard_components(df, 3, 90, cell_rows=12, pivots=4).collect()}
+    assert got == all_pairs(rows, 3, 90)
+    (compared, blocks), = pairs
+    assert blocks > 25 and compared < 0.35 * blocks * (blocks + 1) / 2
+
+
+def test_block_pairs_are_those_of_near_sizes(spark):
+    from quarry.llm import jaccard
+
+    rnd = random.Random(16)
+    rows = [(str(i), "g", max(1, int(1.3 ** rnd.uniform(0, 30))), i % 5 == 0) for i in range(2000)]
+    large = spark.createDataFrame(rows, "name string, grp string, n long, main boolean")
+    got = {r.name: set(r.cells) for r in jaccard._in_block_pairs(large, 80, 100, 10**9).collect()}
+    some = rnd.sample(rows, 300)
+    for i, (a, _, n, main) in enumerate(some):
+        for b, _, m, other in some[:i]:
+            if 100 * min(n, m) >= 80 * max(n, m) and not (main and other):
+                assert got[a] & got[b], (n, m)
+    cells = set().union(*got.values())
+    blocks = {b for c in cells for b in c.split("|")}
+    assert len(cells) < 0.25 * len(blocks) * (len(blocks) + 1) / 2
+
+
 def test_keys_meet_whenever_sets_link():
     rng, bands = np.random.default_rng(0), Bands(90)
     for n in (10, 19, 20, 57, 300, 1500):
