@@ -42,6 +42,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from quarry.llm.common import materialize
 from quarry.llm.components import components
@@ -296,7 +297,9 @@ def _compare(size: int, similarity: int):
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = 4096, cell_shingles: int = 1_000_000, pivots: int = 64) -> DataFrame:
-    """(id, n_shingles, component_id) for every document; ids are integers."""
+    """(id, n_shingles, component_id) for every document; ids are integers, others an error."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col} is {docs.schema[id_col].dataType.simpleString()}, not an integer")
     # t tells the texts of one id apart.
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
     sums = materialize(rows.mapInArrow(_summaries(shingle), "id long, t long, n long, h1 long, h2 long"), "jaccard-sums")

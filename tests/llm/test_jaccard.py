@@ -57,6 +57,8 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, grp int")
     assert sorted((tuple(r) for r in jaccard_components(docs, 3, 90).collect()), key=repr) == sorted([(5, 38, 3), (5, 38, 3), (3, 38, 3), (None, 38, None), (8, 39, 3)], key=repr)
     assert jaccard_components(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        jaccard_components(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
 @pytest.mark.parametrize("limits", [{}, {"cell_rows": 2, "pivots": 1}])
