@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, unused
+from quarry.llm.common import materialize, partitions, unused
 
 HASH_BITS = 48
 
@@ -100,11 +100,40 @@ def _bucket_heads(ids: DataFrame, shift: int) -> DataFrame:
     return heads.withColumn("lag", F.lag("bucket").over(w)).join(linked, "up", "left").select("bucket", "head", F.coalesce("lag", "last").alias("before"))
 
 
-def with_next(rows: DataFrame, columns: list[str], shift: int = 11, broadcast_rows: int = 100_000) -> DataFrame:
+def with_next(rows: DataFrame, columns: list[str], shift: int = 11, broadcast_rows: int = 100_000, most_rows: int = 50_000) -> DataFrame:
     """rows (with `id`) and, as next_<column>, the columns of the row next by id; after
     the last comes the first. Rows of one id follow each other in the order of columns.
     Null ids have none.
 
+    An id of more than most_rows rows is set apart: its distinct rows (by the columns) are sorted
+    by ranges, and only the least of them goes on with the other ids, to be next to the id before
+    and to find what follows the id. Of equal rows all but one have their equal next."""
+    numbers = materialize(rows.where("id is not null").groupBy("id").count().where(F.col("count") > most_rows).select("id"), "fp-crowded")
+    if not numbers.limit(1).count():
+        return _with_next(rows, columns, shift, broadcast_rows)
+    value, tie, last, span, head, following, of, at = (unused(rows, f"_{n}") for n in ("value", "tie", "last", "span", "head", "following", "of", "at"))
+    whole = F.struct(*columns)
+    crowd = materialize(rows.join(numbers, "id", "left_semi").withColumns({value: whole, tie: F.monotonically_increasing_id()}), "fp-crowd")
+    one = crowd.groupBy("id", value).agg(F.max(tie).alias(last))
+    dealt = materialize(one.repartitionByRange(partitions(rows.sparkSession), "id", value).withColumn(span, F.spark_partition_id()), "fp-spans")
+    # The first row of each id's next range: a row for each id and range.
+    heads = dealt.groupBy("id", span).agg(F.min(value).alias(head)).withColumn(head, F.lead(head).over(Window.partitionBy("id").orderBy(span)))
+    ordered = dealt.withColumn(following, F.lead(value).over(Window.partitionBy(span, "id").orderBy(value))).join(heads, ["id", span])
+    ordered = materialize(ordered.select("id", value, last, F.coalesce(following, head).alias(following)), "fp-ordered")
+    least = ordered.groupBy("id").agg(F.min(value).alias(value)).select("id", F.lit(True).alias(at), *[F.col(value)[c].alias(c) for c in columns])
+    others = rows.join(numbers, "id", "left_anti").select("*", F.lit(False).alias(at))
+    told = materialize(_with_next(others.unionByName(least, allowMissingColumns=True), columns, shift, broadcast_rows), "fp-told")
+    behind = told.where(at).select("id", F.struct(*[F.col(f"next_{c}").alias(c) for c in columns]).alias(head))
+    ends = ordered.join(behind, "id").select(F.struct("id", value).alias(of), last, F.coalesce(following, head).alias(following))
+    back = crowd.join(ends, F.struct("id", value) == F.col(of))
+    then = F.when(F.col(tie) == F.col(last), F.col(following)).otherwise(F.col(value))
+    crowded = back.select(*rows.columns, *[then[c].alias(f"next_{c}") for c in columns])
+    return told.where(~F.col(at)).drop(at).unionByName(crowded)
+
+
+def _with_next(rows: DataFrame, columns: list[str], shift: int, broadcast_rows: int) -> DataFrame:
+    """with_next() where no id has very many rows.
+
     Rows are dealt to buckets of 2**shift ids. The rows of a bucket's least id go to the
     bucket before too, where they only serve as the next ones. All moves once."""
     heads = materialize(_bucket_heads(rows.select("id").where("id is not null"), shift), "fp-buckets")

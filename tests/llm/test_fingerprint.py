@@ -82,6 +82,22 @@ def test_clashing_columns_and_long_texts(spark):
     assert long.sketch == brute("word2 " * 9) and long.n_chars == 1_200_000
 
 
+@pytest.mark.parametrize("most", [2, 10, 100_000])
+def test_ids_of_very_many_rows(spark, most):
+    """Many rows of one id, equal ones too: set apart and as they are."""
+    rnd = random.Random(7)
+    rows = [(rnd.choice([1, 5, 5, 5, 9, 12]), rnd.choice(["a", "b", "c", "d", None, "a longer one"]), i) for i in range(120)] + [(3, "only", 200), (None, "none", 201), (40, "last", 202)]
+    df = spark.createDataFrame(rows, "id long, text string, _value int").repartition(6)
+    got = fp.with_next(df, ["text"], most_rows=most)
+    assert got.columns == ["id", "text", "_value", "next_text"]
+    key = lambda t: (t is not None, t or "")
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], key(r[1])))
+    want = sorted((i, key(t), key(order[(k + 1) % len(order)][1])) for k, (i, t, _) in enumerate(order))
+    assert sorted((r.id, key(r.text), key(r.next_text)) for r in got.where("id is not null").collect()) == want
+    assert sorted(r._value for r in got.collect()) == sorted(r[2] for r in rows)
+    assert [r.next_text for r in got.where("id is null").collect()] == [None]
+
+
 def test_odd_texts(spark):
     rows = [(1, None), (2, ""), (3, "  "), (4, "one"), (5, "ONE"), (5, "one"), (None, "one")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
