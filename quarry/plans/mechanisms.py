@@ -35,7 +35,7 @@ def weekly_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     week = F.date_trunc("week", "day").cast("date").alias("week")
     told = merged(days, [week, F.col("event_type")]).select("week", "event_type", "n", F.hll_sketch_estimate("users").alias("users"), F.kll_sketch_get_quantile_double("spread", F.lit(0.5)).alias("middle"))
     exact = rows.groupBy(week, "event_type").agg(F.count_distinct("user_id").alias("exact_users"))
-    upto = rows.join(F.broadcast(told.select(F.col("week").alias("w"), F.col("event_type").alias("e"), "middle")), (F.date_trunc("week", "day").cast("date") == F.col("w")) & (F.col("event_type") == F.col("e")))
+    upto = rows.join(told.select(F.col("week").alias("w"), F.col("event_type").alias("e"), "middle"), (F.date_trunc("week", "day").cast("date") == F.col("w")) & (F.col("event_type") == F.col("e")))
     ranks = upto.groupBy(F.col("w").alias("week"), "event_type").agg(F.avg((F.col("value") <= F.col("middle")).cast("double")).alias("rank"))
     both = told.join(exact, ["week", "event_type"]).join(ranks, ["week", "event_type"])
     near = F.abs(F.col("users") - F.col("exact_users")) <= F.greatest(F.lit(1.0), F.col("exact_users") * 4 * 1.04 / 64)
@@ -62,6 +62,7 @@ SELECT m FROM months"""),
         )
     finally:
         spark.conf.set("spark.sql.cteRecursionLevelLimit", before)
+        spark.catalog.dropTempView("orders_of_months")
     counted = table(spark, sf_dir, "orders").groupBy(F.trunc("o_orderdate", "MM").alias("m")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
     return months.join(counted, "m", "left").select(F.date_format("m", "yyyy-MM").alias("month"), F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("total", F.lit(0.0)), 2).alias("total"))
 
