@@ -40,7 +40,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -280,7 +280,7 @@ def _compare(size: int, similarity: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Connected parts of one cell's sets, by the names of their classes. Sets with
         a label are known to be connected with the others of that label."""
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]] if "set" in pdf else [shingle_set(t, size) for t in pdf["text"]]
+        sets = [shingle_set(t, size) for t in pdf["text"]]
         order = sorted((i for i in range(len(sets)) if len(sets[i])), key=lambda i: (int(sets[i][0]), len(sets[i])))
         if not order:
             return pd.DataFrame({"a": [], "b": []}, dtype=str)
@@ -390,36 +390,35 @@ def _in_block_pairs(large: DataFrame, similarity: int, cell_rows: int, cell_shin
     # A little wide, so that rounding leaves no linked sizes two bands apart.
     width = max(1e-3, math.log(100 / similarity)) * 1.0001
     large = large.withColumn("band", F.floor(F.log("n") / width).cast("int"))
-    half = lambda rows: F.greatest(F.ceil(2 * F.count(F.when(rows, 1)) / cell_rows), F.ceil(2 * F.coalesce(F.sum(F.when(rows, F.col("n"))), F.lit(0)) / cell_shingles)).cast("int")
-    counts = large.groupBy("grp", "band").agg(half(~F.col("main")).alias("rest"), half(F.col("main")).alias("mains"))
-    # A row for each component with all its bands, which are about a hundred at most.
-    counts = materialize(counts.groupBy("grp").agg(F.collect_list(F.struct("band", "rest", "mains")).alias("bands")).where(F.exists("bands", lambda b: b["rest"] > 0)), "jaccard-halves")
+    half = lambda count, n: F.greatest(F.ceil(2 * count / cell_rows), F.ceil(2 * n / cell_shingles)).cast("int")
+    sums = {f"{kind}_{what}": F.sum(F.when(F.col("main") == (kind == "main"), value).otherwise(0)) for kind in ("rest", "main") for what, value in (("rows", F.lit(1)), ("n", F.col("n")))}
+    by_band = large.groupBy("grp", "band").agg(*[v.alias(k) for k, v in sums.items()])
+    # A row for each component with all its bands, which are about a hundred at most. What fits
+    # into one block as a whole is one, whatever its bands.
+    number = {kind: half(F.col(f"{kind}_rows"), F.col(f"{kind}_n")) for kind in ("rest", "main")}
+    whole = {kind: half(F.sum(f"{kind}_rows"), F.sum(f"{kind}_n")) <= 1 for kind in ("rest", "main")}
+    counts = by_band.groupBy("grp").agg(F.collect_list(F.struct("band", *[v.alias(k) for k, v in number.items()])).alias("bands"), *[v.alias(f"one_{k}") for k, v in whole.items()])
+    counts = materialize(counts.where(F.exists("bands", lambda b: b["rest"] > 0)), "jaccard-halves")
     large = large.join(counts, "grp")
     own = F.filter("bands", lambda b: b["band"] == F.col("band"))[0]
-    number = F.pmod(F.xxhash64("name", F.lit(2)), F.when(F.col("main"), own["mains"]).otherwise(own["rest"]))
-    block = lambda kind, band, i: F.concat_ws(" ", F.lit(kind), band.cast("string"), i.cast("string"))
-    mine = F.when(F.col("main"), block("main", F.col("band"), number)).otherwise(block("rest", F.col("band"), number))
     near = F.filter("bands", lambda b: F.abs(b["band"] - F.col("band")) <= 1)
     none = F.array().cast("array<string>")
 
-    def blocks(kind: str, count: str):
-        some = lambda b: F.transform(F.sequence(F.lit(0), b[count] - 1), lambda i: block(kind, b["band"], i))
-        return F.flatten(F.transform(near, lambda b: F.when(b[count] > 0, some(b)).otherwise(none)))
+    def mine(kind: str) -> Column:
+        """The block of a set of this kind."""
+        banded = F.concat_ws(" ", F.lit(kind), F.col("band").cast("string"), F.pmod(F.xxhash64("name", F.lit(2)), own[kind]).cast("string"))
+        return F.when(F.col(f"one_{kind}"), F.lit(kind)).otherwise(banded)
 
-    others = F.when(F.col("main"), blocks("rest", "rest")).otherwise(F.concat(blocks("rest", "rest"), blocks("main", "mains")))
-    large = large.withColumn("mine", mine)
-    return large.withColumn("cells", F.transform(others, lambda o: F.concat_ws("|", F.least(o, F.col("mine")), F.greatest(o, F.col("mine"))))).drop("mine", "bands", "band")
+    def blocks(kind: str) -> Column:
+        """All blocks of this kind that may have sets of a near size."""
+        some = lambda b: F.transform(F.sequence(F.lit(0), b[kind] - 1), lambda i: F.concat_ws(" ", F.lit(kind), b["band"].cast("string"), i.cast("string")))
+        banded = F.flatten(F.transform(near, lambda b: F.when(b[kind] > 0, some(b)).otherwise(none)))
+        return F.when(~F.col(f"one_{kind}"), banded).when(F.exists(near, lambda b: b[kind] > 0), F.array(F.lit(kind))).otherwise(none)
 
-
-def _sets(size: int):
-    """Texts as the bytes of their sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = pa.array([shingle_set(t, size).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("cells"), batch.column("label"), sets], ["grp", "cells", "label", "set"])
-
-    return run
+    large = large.withColumn("mine", F.when(F.col("main"), mine("main")).otherwise(mine("rest")))
+    others = F.when(F.col("main"), blocks("rest")).otherwise(F.concat(blocks("rest"), blocks("main")))
+    large = large.withColumn("cells", F.transform(others, lambda o: F.concat_ws("|", F.least(o, F.col("mine")), F.greatest(o, F.col("mine")))))
+    return large.drop("mine", "bands", "band", "one_rest", "one_main")
 
 
 def _across_blocks(placed: DataFrame, rows: DataFrame, links: DataFrame, shingle: int, similarity: int, cell_rows: int, cell_shingles: int) -> DataFrame:
@@ -433,6 +432,7 @@ def _across_blocks(placed: DataFrame, rows: DataFrame, links: DataFrame, shingle
     large = materialize(large.join(materialize(biggest, "jaccard-main"), "grp").withColumn("main", F.col("label") == F.col("main")), "jaccard-split")
     paired = _in_block_pairs(large, similarity, cell_rows, cell_shingles).where(F.size("cells") > 0)
     paired = materialize(paired.select("id", "t", "grp", "label", "cells"), "jaccard-pairs")
-    sets = rows.join(paired, ["id", "t"]).select("grp", "cells", "label", "text").mapInArrow(_sets(shingle), f"grp {paired.schema['grp'].dataType.simpleString()}, cells array<string>, label string, set binary")
-    cells = materialize(sets, "jaccard-sets").select("grp", F.explode("cells").alias("cell"), "set", "label")
+    # Names of cells take under 50 bytes; so many are broadcast at most.
+    few = (paired.agg(F.sum(F.size("cells"))).first()[0] or 0) <= 1_000_000
+    cells = rows.join(F.broadcast(paired) if few else paired, ["id", "t"]).select("grp", F.explode("cells").alias("cell"), "text", "label")
     return materialize(cells.groupBy("grp", "cell").applyInPandas(_compare(shingle, similarity), "a string, b string").where("a <> b"), "jaccard-links2")
