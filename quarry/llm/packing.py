@@ -34,8 +34,8 @@ from quarry.llm import bpe
 from quarry.llm.common import materialize, partitions
 
 SLOTS, DIMS, BITS = 1024, 4, 10
-#: A worker forgets chunks beyond this number, some 150 MB.
-MAX_CHUNKS = 800_000
+#: A worker forgets chunks beyond this number, some 70 MB.
+MAX_CHUNKS = 400_000
 #: Sequence ids are the partition's number times this, and on from there.
 STRIDE = 1 << 33
 
