@@ -79,6 +79,25 @@ def test_funnels_drop_late_rows_and_time_out(spark, tmp_path):
     assert got == [(1, at(0), None, None, at(300)), (2, at(0), at(250), at(255), at(255))]
 
 
+def test_funnels_take_an_event_at_the_watermark(spark, tmp_path):
+    batches = [[(1, at(0), 1, "view"), (2, at(10), 1, "click"), (3, at(240), 1, "purchase"), (4, at(160), 2, "error")], [(5, at(300), 2, "error")]]
+    got = rows_of(state.funnels(spark, written(tmp_path, batches), 5, files_per_batch=1))
+    assert got == [(1, at(0), at(10), at(240), at(240))]
+
+
+def test_funnels_set_timers_by_users_not_by_events(spark, tmp_path):
+    rnd, progress = random.Random(5), []
+    rows = [(i, at(i * 0.2 + rnd.random()), int(i % 300 == 0), rnd.choice(["view", "click", "purchase"])) for i in range(state.PACKED + 2_000)]
+    rnd.shuffle(rows)
+    batches = [rows, [(-1, at(len(rows) * 0.2 + 60), 2, "error")]]
+    got = rows_of(state.funnels(spark, written(tmp_path, batches), 1, files_per_batch=1, progress=progress))
+    assert got == plain_funnels(rows, 1, until(batches)) and {r[0] for r in got} == {0, 1} and len(got) > 100
+    # For each of two values of many events and each rest one timer, and one for an open funnel.
+    timers = [p.stateOperators[0].customMetrics for p in progress]
+    assert 2 <= sum(m["numRegisteredTimers"] for m in timers) <= 12
+    assert sum(m["numExpiredTimers"] for m in timers) <= 12
+
+
 def plain_pairs(rows, settled):
     hour, out = dt.timedelta(hours=1), []
     for i, ts, user, kind in rows:
