@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from quarry.llm.common import materialize
+from quarry.llm.common import give_back, lean, materialize, texts_of
 from quarry.llm.components import components
 
 FANOUT = 16
@@ -135,7 +135,7 @@ def _summaries(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, one, two = [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in texts_of(batch):
                 s = shingle_set(text, size)
                 h1, h2 = _digest(s)
                 n.append(len(s))
@@ -143,7 +143,7 @@ def _summaries(size: int):
                 two.append(h2)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), *(pa.array(x, pa.int64()) for x in (n, one, two))], ["id", "t", "n", "h1", "h2"])
 
-    return run
+    return lean(run)
 
 
 def _keys(size: int, similarity: int):
@@ -155,7 +155,7 @@ def _keys(size: int, similarity: int):
         known: dict[int, list[int]] = {}
         for batch in batches:
             ids, tops, needs, keys, ends = [], [], [], [], [0]
-            for text in batch.column("text").to_pylist():
+            for text in texts_of(batch):
                 s = shingle_set(text, size)
                 if not len(s):
                     continue
@@ -175,7 +175,7 @@ def _keys(size: int, similarity: int):
                     ids, tops, needs, keys, ends = [], [], [], [], [0]
             yield _key_batch(ids, tops, needs, keys, ends)
 
-    return run
+    return lean(run)
 
 
 def _key_batch(ids, tops, needs, keys, ends) -> pa.RecordBatch:
@@ -190,16 +190,15 @@ class SignatureTree:
     def __init__(self, sets: list[np.ndarray], similarity: int):
         self.s, self.sets = similarity, sets
         size = np.array([len(x) for x in sets], np.int64)
-        words, bit = np.unique(np.concatenate(sets), return_inverse=True)
+        words = np.unique(np.concatenate(sets))
         width = 64
         while width < len(words) and width * 2 * len(sets) <= TREE_BITS:
             width *= 2
         self.exact = len(words) <= width
-        if not self.exact:
-            bit = (words[bit] & np.uint64(width - 1)).astype(np.int64)
         maps = np.zeros((len(sets), width // 64), np.uint64)
-        row = np.repeat(np.arange(len(sets)), size)
-        np.bitwise_or.at(maps.reshape(-1), row * (width // 64) + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+        for row, s in zip(maps, sets):  # set by set: all bits' numbers at once take more than the bitmaps
+            bit = np.searchsorted(words, s).astype(np.uint64) if self.exact else s & np.uint64(width - 1)
+            np.bitwise_or.at(row, bit >> np.uint64(6), np.uint64(1) << (bit & np.uint64(63)))
         excess = size - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
         self.maps, self.low, self.high, self.excess = [maps], [size], [size], [excess]
         while len(self.low[-1]) > 1:
@@ -276,10 +275,8 @@ class SignatureTree:
         return [self.find(i) for i in range(len(self.sets))]
 
 
-def _compare(size: int, similarity: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Connected parts of one cell's sets, by the names of their classes. Sets with
-        a label are known to be connected with the others of that label."""
+def _compare(size: int, similarity: int, large: int = 500):
+    def parts(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = [shingle_set(t, size) for t in pdf["text"]]
         order = sorted((i for i in range(len(sets)) if len(sets[i])), key=lambda i: (int(sets[i][0]), len(sets[i])))
         if not order:
@@ -293,6 +290,14 @@ def _compare(size: int, similarity: int):
         names = np.array(["%d %d" % _digest(sets[i]) for i in order], object)
         return pd.DataFrame({"a": names, "b": names[tree.connect()]})
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Connected parts of one cell's sets, by the names of their classes. Sets with
+        a label are known to be connected with the others of that label."""
+        out = parts(pdf)
+        if len(pdf) >= large:  # small cells are many, and take little
+            give_back()
+        return out
+
     return run
 
 
@@ -364,15 +369,20 @@ def _shared_keys(reps: DataFrame, keys, one_in: int = 128, hot: int = 64) -> Dat
     share are dealt out by class as well: those that occur `hot` times and in two classes
     among one text in one_in, by a hash of the id, are known to be shared. All others are
     decided by the window, whose groups are thereby short."""
-    emitted = lambda rows: rows.mapInArrow(keys, "id long, band int, need int, keys array<long>").select("id", "band", "need", F.explode("keys").alias("key"))
+    # Rows are few columns wide, since a task sorts all that it gets: band and need are one number.
+    both = (F.shiftleft(F.col("band").cast("long"), 32) + F.col("need")).alias("both")
+    emitted = lambda rows: rows.mapInArrow(keys, "id long, band int, need int, keys array<long>").select("id", both, F.explode("keys").alias("key"))
     some = emitted(reps.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0))
     often = some.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("first"), F.max("id").alias("last"))
     often = materialize(often.where(f"c >= {hot} and first < last").select("key", F.lit(True).alias("often")), "jaccard-often")
-    rows = emitted(reps)
-    rows = rows.join(_small(often), "key", "left") if often.limit(1).count() else rows.withColumn("often", F.lit(None).cast("boolean"))
-    alike = Window.partitionBy("key", F.when(F.col("often"), F.col("id")))
+    rows, alike, known = emitted(reps), Window.partitionBy("key"), F.lit(False)
+    if often.limit(1).count():
+        # dealt: the id where the key is shared by very many, else null.
+        rows = rows.join(_small(often), "key", "left").select("id", "both", "key", F.when(F.col("often"), F.col("id")).alias("dealt"))
+        alike, known = Window.partitionBy("key", "dealt"), F.col("dealt").isNotNull()
     rows = rows.withColumns({"first": F.min("id").over(alike), "last": F.max("id").over(alike)})
-    return rows.where("often or first < last").select("id", "band", "need", "key")
+    rows = rows.where(known | (F.col("first") < F.col("last")))
+    return rows.select("id", F.shiftright("both", 32).cast("int").alias("band"), F.col("both").bitwiseAND(0xFFFFFFFF).cast("int").alias("need"), "key")
 
 
 def _small(written: DataFrame, rows: int = 1_000_000) -> DataFrame:

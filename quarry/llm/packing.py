@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe
-from quarry.llm.common import materialize, partitions
+from quarry.llm.common import give_back, materialize, partitions
 
 SLOTS, DIMS, BITS = 1024, 4, 10
 #: A worker forgets chunks beyond this number, some 70 MB.
@@ -129,6 +129,20 @@ def codec_of(path: str) -> Codec:
     return _CODECS[path]
 
 
+_KINDS: dict[str, str] = {}
+
+
+def kind_of(path: str) -> str:
+    """How the ids are packed. The worker's codecs go, with the words that they have met: this is
+    asked for when tokens are written, and what the worker runs next needs the memory."""
+    if path not in _KINDS:
+        _KINDS[path] = codec_of(path).kind
+    if _CODECS:
+        _CODECS.clear()
+        give_back()
+    return _KINDS[path]
+
+
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """(id, number, ids): ids as unsigned 16-bit integers where the vocabulary allows."""
 
@@ -201,7 +215,7 @@ def pack(docs: DataFrame, tokenizer: str, max_len: int = 2048, end_id: int = 1,
     out = f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = codec_of(tokenizer).kind
+        width = kind_of(tokenizer)
         stream = _Stream(TaskContext.get().partitionId() * STRIDE, max_len)
         kind = None
 

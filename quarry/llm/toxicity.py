@@ -30,6 +30,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import lean, texts_of
+
 SLOT_BITS = 22
 STEMS = (4, 5, 6, 7)  # letters
 _TO_SPACE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -102,11 +104,11 @@ def sample(docs: DataFrame, labelled: DataFrame, max_toxic: int, max_clean: int)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(features(t)).astype("<u4").tobytes() for t in batch.column("text").to_pylist()]
+            sets = [np.unique(features(t)).astype("<u4").tobytes() for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y").cast(pa.int32()), pa.array(sets, pa.binary())], ["id", "y", "at"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(sparse, f"id {kind}, y int, at binary").groupBy("id").agg(F.max("y").alias("y"), F.min("at").alias("at")).select("y", "at")
+    return rows.mapInArrow(lean(sparse), f"id {kind}, y int, at binary").groupBy("id").agg(F.max("y").alias("y"), F.min("at").alias("at")).select("y", "at")
 
 
 def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 3000, max_clean: int = 8000, epochs: int = 10, least_docs: int = 3, most_share: float = 0.2) -> Model:
@@ -140,7 +142,7 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
         kept = np.append(np.flatnonzero(w[:-1]), len(slots))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(slots, 1 << SLOT_BITS)[kept], pa.int64()), pa.array(w[kept], pa.float64())], ["slot", "w"])
 
-    got = sets.coalesce(1).mapInArrow(train, "slot long, w double").toPandas()
+    got = sets.coalesce(1).mapInArrow(lean(train), "slot long, w double").toPandas()
     slot, w = got["slot"].to_numpy(np.int64), got["w"].to_numpy(float)
     keep = slot < 1 << SLOT_BITS
     return Model(slot[keep].astype(np.uint32), w[keep], float(w[~keep].sum()) + shift)

@@ -191,3 +191,31 @@ def test_components(spark, hashed):
     df = spark.createDataFrame(edges, "a long, b long")
     assert {r.node: r.label for r in components(df, hashed=hashed).collect()} == want
     assert components(df.limit(0), hashed=hashed).count() == 0
+
+
+def test_tree_takes_little_beside_its_bitmaps():
+    """A cell of the largest size, as many sets as a cell has shingles for: while its tree is
+    built, little more than the bitmaps (32 MB), the shingles and their sorted copy is held."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, 250, np.uint64)
+    sets = [np.unique(np.concatenate([base[:240], rng.integers(0, 2**64, 10, np.uint64)])) for _ in range(4000)]
+    tracemalloc.start()
+    tree = SignatureTree(sets, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tree.exact and [int(x) for x in tree.low[0][:3]] == [250] * 3
+    assert peak < 64 << 20
+
+
+def test_key_rows_are_narrow(spark):
+    """What a task sorts to find shared keys has three columns where no key is hot."""
+    from quarry.llm import jaccard
+
+    texts = [(i, i, " ".join(f"w{i}x{j // 2}" for j in range(40))) for i in range(20)]
+    shared = jaccard._shared_keys(spark.createDataFrame(texts, "id long, t long, text string"), jaccard._keys(5, 80))
+    plan = shared._jdf.queryExecution().optimizedPlan()
+    while "Window" != plan.nodeName():
+        plan = plan.children().apply(0)
+    assert plan.children().apply(0).output().size() == 3

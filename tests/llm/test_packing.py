@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -83,3 +84,20 @@ def test_query_over_all_documents(spark, sf_dir):
     alike = np.mean([vectors[a] @ vectors[b] for a, b in zip(walk, walk[1:])])
     mixed = np.random.default_rng(0).permutation(walk).tolist()
     assert alike > 1.2 * np.mean([vectors[a] @ vectors[b] for a, b in zip(mixed, mixed[1:])])
+
+
+def test_workers_forget_words_once_tokens_are_written(spark):
+    """Workers are used again by other stages, beside which a codec and its words would stay."""
+    from quarry.llm import packing
+
+    docs = spark.createDataFrame([(i, f"some words and number {i}") for i in range(40)], "doc_id long, text string").repartition(8)
+    # As many tasks as partitions: each worker packs after it has tokenised.
+    assert packing.pack(docs, TOKENIZER, number_partitions=40).count() >= 40
+
+    def kept(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([len(packing._CODECS)], pa.int64())], ["n"])
+
+    counts = [r.n for r in spark.range(0, 64, 1, 16).mapInArrow(kept, "n long").collect()]
+    assert counts == [0] * 16
